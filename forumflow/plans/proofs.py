@@ -323,7 +323,7 @@ def q_media_type(spark: SparkSession, d: str) -> DataFrame:
     meta = F.when(b.isin(2, 6), F.create_map(F.lit("a"), meta_item("Image"), F.lit("b"), second))
     video = F.when(b == 4, F.create_map(F.lit("reddit_video"), F.to_json(F.struct(
         F.concat(F.lit("https://v.test/"), sid, F.lit("/hls")).alias("hls_url"), F.lit(720).alias("height")))))
-    override = F.when(~((b == 1) & (i % 4 == 3)), F.rtrim(F.col("url"), "/"))
+    override = F.when(~((b == 1) & (i % 4 == 3)), F.rtrim(F.col("url"), F.lit("/")))
     detail = F.struct(sid.alias("id"), F.col("permalink"), F.col("url"), override.alias("url_overridden_by_dest"),
                       F.col("is_gallery"), video.alias("secure_media"), preview.alias("preview"),
                       meta.alias("media_metadata"))
