@@ -3,8 +3,9 @@
 
 One ``CASE WHEN`` waterfall decides ``_type``; the branch order *is* the
 semantics (first match wins). Every branch builder is a native higher-order
-expression (``transform`` / ``filter`` / ``array_sort``), so the whole thing
-runs inside whole-stage codegen with no Python.
+expression (``transform`` / ``filter`` / ``array_sort``) evaluated per row in
+the JVM next to the scan: no Python, no shuffle, no explode/re-group of the
+nested arrays.
 """
 
 from __future__ import annotations
@@ -141,11 +142,13 @@ def media_type_expr(d: Column) -> Column:
             .when(has_meta, F.lit("gallery")))
 
 
-def classify_media(df: DataFrame, detail_col: str, post_id_col: str, out_col: str = "media") -> DataFrame:
-    """Adds ``out_col``: the tagged media struct; NULL for M7."""
+def classify_media(df: DataFrame, detail_col: str, post_id_col: str, out_col: str = "media",
+                   type_col: str = "media_type") -> DataFrame:
+    """Adds ``type_col`` (the waterfall result, cheap to filter on) and
+    ``out_col``: the tagged media struct (SURVEY §1.3); both NULL for M7."""
     d = F.col(detail_col)
     pid = F.col(post_id_col)
-    t = F.col("__mtype")
+    t = F.col(type_col)
     first_img = F.get(d.getField("preview").getField("images"), 0)
     img_res = with_source(sorted_resolutions(first_img.getField("resolutions")), first_img.getField("source"))
     link = F.struct(
@@ -182,7 +185,7 @@ def classify_media(df: DataFrame, detail_col: str, post_id_col: str, out_col: st
         F.when(t == "gallery", gallery).alias("gallery"),
         F.when(t == "multi", multi).alias("multi"),
     ))
-    return df.withColumn("__mtype", media_type_expr(d)).withColumn(out_col, media).drop("__mtype")
+    return df.withColumn(type_col, media_type_expr(d)).withColumn(out_col, media)
 
 
 _RES_OUT = StructType([StructField("width", IntegerType()), StructField("height", IntegerType()),

@@ -330,7 +330,7 @@ def q_media_type(spark: SparkSession, d: str) -> DataFrame:
     landed = v.select("doc_id", F.to_json(detail).alias("payload"))
     parsed = landed.withColumn("__detail", F.from_json("payload", POST_DETAIL))
     out = classify_media(parsed, "__detail", "doc_id")
-    return out.select("doc_id", F.coalesce(F.col("media._type"), F.lit("none")).alias("media_type"))
+    return out.select("doc_id", F.coalesce(F.col("media_type"), F.lit("none")).alias("media_type"))
 
 
 def _asset_payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -363,7 +363,7 @@ def _asset_payloads(spark: SparkSession, d: str) -> DataFrame:
 def q_media_sort(spark: SparkSession, d: str) -> DataFrame:
     parsed = _asset_payloads(spark, d).withColumn("__detail", F.from_json("payload", POST_DETAIL))
     classified = source_flags(classify_media(parsed, "__detail", "post_id"), "__detail")
-    assets = media_assets(classified, "post_id")
+    assets = media_assets(classified.drop("media_type"), "post_id")
     return assets.select("post_id", "media_type", _bigint("item_ord").alias("item_ord"),
                          _bigint("res_ord").alias("res_ord"), "height", "width", "url", "is_source", "asset_id")
 
@@ -391,7 +391,7 @@ def q_media_multi(spark: SparkSession, d: str) -> DataFrame:
     parsed = per_post.select("post_id", F.from_json(F.to_json(detail), POST_DETAIL).alias("__detail"))
     out = classify_media(parsed, "__detail", "post_id")
     tags = F.array_distinct(F.transform(F.map_values("__detail.media_metadata"), lambda v: v.getField("e")))
-    return out.where(F.col("media._type") == "multi").select(
+    return out.where(F.col("media_type") == "multi").select(
         "post_id", _bigint(F.size(tags)).alias("n_tags"), _bigint(F.size("media.multi")).alias("n_items"))
 
 
