@@ -71,7 +71,7 @@ def request_plan(on_demand: DataFrame, topic_communities: DataFrame,
     tc = topic_communities.select(F.coalesce(F.col("title"), F.lit("")).alias("title"),
                                   F.lit(default_limit).cast("bigint").alias("post_limit"),
                                   F.col("ord").cast("bigint").alias("ord"), F.lit(1).alias("__src"))
-    claimed = keep_first(od.unionByName(tc), [F.lower(F.col("title"))], ["__src", "ord"])
+    claimed = keep_first(od.unionByName(tc), [F.lower(F.col("title"))], ["__src", "ord", "title"])
     valid = (F.col("__src") == 1) | ((F.col("title") != "") & (F.col("post_limit") != 0))
     return (claimed.where(valid)
             .select("title", "post_limit",

@@ -88,6 +88,11 @@ def split_envelopes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, rejects
 
 
+def payload_text(payload: str = "payload") -> Column:
+    """A payload that is a JSON *string* (an HTML page) -> its text."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), F.col(payload), F.lit("}")), "$.v")
+
+
 def status_counts(df: DataFrame) -> DataFrame:
     """(endpoint, ok, n) - landing health per endpoint."""
     return (df.groupBy("endpoint", envelope_ok(df).alias("ok"))
