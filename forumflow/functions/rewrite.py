@@ -42,10 +42,16 @@ def _pattern(s: str) -> str:
     return "(?iu)\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def rewrite_expr(c, mapping: Sequence[tuple[str, str]], exact_entities: bool = True) -> Column:
+def replace_chain(c, mapping: Sequence[tuple[str, str]]) -> Column:
+    """The ordered case-insensitive literal replacements, NULL -> ''."""
     out = F.coalesce(_c(c), F.lit(""))
     for src, dst in mapping:
         out = F.regexp_replace(out, F.lit(_pattern(src)), F.lit(_java_replacement(dst)))
+    return out
+
+
+def rewrite_expr(c, mapping: Sequence[tuple[str, str]], exact_entities: bool = True) -> Column:
+    out = replace_chain(c, mapping)
     return decode_entities(out) if exact_entities else decode_entities_native(out)
 
 
@@ -73,7 +79,10 @@ def rewrite_text(df: DataFrame, paths: Sequence[str], mapping: Sequence[tuple[st
             name = top[:-2]
             df = df.withColumn(name, F.transform(F.col(name), lambda x: _apply_at(x, parts[1:], fn)))
         elif len(parts) == 1:
-            df = df.withColumn(top, fn(F.col(top)))
+            # two projections: the chain is computed once, then decoded (the
+            # Python step would otherwise re-evaluate its input expression)
+            df = df.withColumn(top, replace_chain(F.col(top), mapping))
+            df = df.withColumn(top, decode_entities(F.col(top)))
         else:
             df = df.withColumn(top, _apply_at(F.col(top), parts[1:], fn))
     return df

@@ -32,10 +32,6 @@ def extract_pairs(df: DataFrame, id_col: str, html_col: str, pattern: str = ANCH
                     F.col("__m.a").alias(names[0]), F.col("__m.b").alias(names[1])))
 
 
-def _cell_text(fragment) -> "F.Column":
-    return decode_entities(F.regexp_replace(fragment, TAG_RE, ""))
-
-
 def extract_table_rows(df: DataFrame, id_col: str, html_col: str, scheme: str | None = None,
                        two_line: bool = False) -> DataFrame:
     """Table rows that hold an image.
@@ -51,13 +47,18 @@ def extract_table_rows(df: DataFrame, id_col: str, html_col: str, scheme: str |
             .withColumn("__src", F.regexp_extract(F.col("__row"), IMG_SRC_RE, 1))
             .where(F.col("__src") != ""))
     link = F.concat(F.lit(scheme), F.col("__src")) if scheme else F.col("__src")
+    cell = F.col("__row") if two_line else F.regexp_extract(F.col("__row"), FIRST_P_RE, 1)
+    # tags stripped in one projection, entities decoded in the next: the
+    # exact decoder's input is then a column, evaluated once
+    rows = rows.withColumn("__txt", F.regexp_replace(cell, TAG_RE, ""))
+    rows = rows.withColumn("__txt", decode_entities(F.col("__txt")))
     if two_line:
-        txt = F.regexp_replace(_cell_text(F.col("__row")), r"^\s+|\s+$", "")
+        txt = F.regexp_replace(F.col("__txt"), r"^\s+|\s+$", "")
         lines = F.filter(F.transform(F.split(txt, r"\n"), lambda s: F.trim(s)), lambda s: s != "")
         title = F.coalesce(F.get(lines, 0), F.lit(""))
         desc = F.coalesce(F.get(lines, 1), title)
     else:
-        title = F.trim(_cell_text(F.regexp_extract(F.col("__row"), FIRST_P_RE, 1)))
+        title = F.trim(F.col("__txt"))
         desc = F.lit(None).cast("string")
     return rows.select(F.col(id_col), F.col("ord").cast("bigint").alias("ord"), title.alias("title"),
                        desc.alias("description"), link.alias("image_link"))
