@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from forumflow.functions.rewrite import MERGE_REWRITE_MAP, rewrite_text
 from forumflow.functions.text import is_nonblank, strip_all
 from forumflow.operators.assign import assign_capped
 from forumflow.operators.communities import community_columns, eligible, flair_rows
-from forumflow.operators.dedup import distinct_rows, keep_first, split_by_position
-from forumflow.operators.enrich import user_row
+from forumflow.operators.dedup import distinct_rows, keep_first, positional_index, split_by_position
+from forumflow.operators.enrich import seeded_int, seeded_sample, user_row
 from forumflow.operators.media import classify_media, media_assets, source_flags
 from forumflow.operators.members import join_members, member_refs, users_table
 from forumflow.operators.posts import DEFAULT_POSTS_PER_COMMUNITY, not_deleted, post_columns, request_plan
@@ -45,7 +46,8 @@ from forumflow.sources.landed import (explode_community_search, explode_moderato
 # The collections of a finished dataset and how each is
 # de-duplicated when datasets are merged (by id, first wins; or whole row).
 KINDS_BY_ID = ("communities", "posts", "users")
-KINDS_WHOLE_ROW = ("topics", "awards", "trophies")
+KINDS_WHOLE_ROW = ("topics", "awards", "trophies", "community_rules", "community_flairs", "community_members",
+                   "comments", "media_assets")
 # The text paths the merge pass rewrites, per collection.
 MERGE_PATHS = {
     "awards": ["title"],
@@ -53,9 +55,9 @@ MERGE_PATHS = {
     "communities": ["title", "public_description"],
     "community_rules": ["description"],
     "community_members": ["name"],
-    "posts": ["community", "title", "author", "text", "text_html"],
+    "posts": ["community", "title", "author", "text", "text_html", "awards[].title"],
     "comments": ["author", "body", "body_html"],
-    "users": ["name", "public_description"],
+    "users": ["name", "public_description", "trophies[].title", "trophies[].description"],
 }
 
 
@@ -164,6 +166,16 @@ def build_posts(spark: SparkSession, env: DataFrame, communities: DataFrame, req
             "community_members": members, "users": users}
 
 
+def attach_sample(df: DataFrame, key: str, catalog: DataFrame, out_col: str, order: str, salt: str,
+                  max_k: int = 3) -> DataFrame:
+    """X4 + J8: 0..max_k distinct catalog entries per row, seeded by the key
+    (awards on posts, trophies on users). The catalog gets a dense index by
+    ``order`` without a single-partition window."""
+    indexed = positional_index(catalog, [order] + [c for c in catalog.columns if c != order], "__idx")
+    k = seeded_int(F.col(key), f"{salt}-k", 0, max_k)
+    return seeded_sample(df, key, indexed, "__idx", k, salt, out_col=out_col, max_k=max_k)
+
+
 def build_catalogs(env: DataFrame) -> dict[str, DataFrame]:
     """Award and trophy catalogs from landed HTML pages."""
     pages = {e: _ok(env, e).withColumn("html", payload_text()) for e in ("awards_page", "trophies_page")}
@@ -181,7 +193,11 @@ def build_forum(spark: SparkSession, landing: str, topics_path: str, requests_pa
     requests = read_requests(spark, requests_path)
     c = build_communities(spark, env, topics, requests, opts)
     p = build_posts(spark, env, c["communities"], requests, c["moderators"], opts)
-    tables = {**{k: v for k, v in c.items() if k != "moderators"}, **p, **build_catalogs(env), "topics": topics}
+    cat = build_catalogs(env)
+    p["posts"] = attach_sample(p["posts"], "id", cat["awards"], "awards", "title", salt="awards")
+    if opts.enrich_users:
+        p["users"] = attach_sample(p["users"], "id", cat["trophies"], "trophies", "title", salt="trophies")
+    tables = {**{k: v for k, v in c.items() if k != "moderators"}, **p, **cat, "topics": topics}
     _, rejects = split_envelopes(env)
     tables["rejects"] = rejects
     if out:
@@ -196,7 +212,10 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
     keep distinct rows; then the ordered text rewrite."""
     merged = {}
     for kind in KINDS_BY_ID + KINDS_WHOLE_ROW:
-        rows = read_datasets(spark, root, kind, fmt)
+        try:
+            rows = read_datasets(spark, root, kind, fmt)
+        except AnalysisException:  # no dataset holds this kind
+            continue
         if kind in KINDS_BY_ID:
             rows = keep_first(rows.where(is_nonblank("id")), ["id"], ["src_file", "src_row"])
             rows = rows.drop("from_set", "src_file", "src_row")
@@ -221,5 +240,5 @@ def write_split(users: DataFrame, out: str, fmt: str = "parquet") -> None:
     write_table(p2, f"{out}/users_p2", fmt)
 
 
-__all__ = ["BuildOptions", "build_communities", "build_posts", "build_catalogs", "build_forum",
+__all__ = ["BuildOptions", "attach_sample", "build_communities", "build_posts", "build_catalogs", "build_forum",
            "merge_datasets", "split_users", "write_split"]

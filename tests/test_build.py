@@ -95,6 +95,7 @@ def test_build_forum_end_to_end(spark):
     users = {r.id for r in t["users"].collect()}
     assert users == {"bob", "cat", "dan", "m1", "mod1"}  # users are keyed by id, members by name
     assert [r.title for r in t["awards"].collect()] == ["Gold"]
+    assert all(len(r.awards) <= 1 and all(a.title == "Gold" for a in r.awards) for r in t["posts"].collect())
     assert os.path.isdir(os.path.join(out, "communities"))
 
 
