@@ -110,3 +110,16 @@ def test_users_table_priorities(spark):
     mems = spark.createDataFrame([(1, "b"), (2, "z"), (2, "y")], "user_id long, community string")
     got = sorted((r.user_id, r.source, r.community) for r in users_table(mods, mems, "community").collect())
     assert got == [(1, "moderator", "c"), (2, "member", "y")]
+
+
+def test_seeded_sample_broadcast_equals_shuffle_path(spark):
+    from forumflow.operators.dedup import positional_index
+    from forumflow.operators.enrich import seeded_int, seeded_sample
+    keys = spark.createDataFrame([(i,) for i in range(200)], "key long")
+    cat = positional_index(spark.createDataFrame([(c,) for c in "abcde"], "t string"), "t", "idx")
+    k = seeded_int(F.col("key"), "k", 0, 3)
+    a = {r.key: [x.t for x in r.picks] for r in seeded_sample(keys, "key", cat, "idx", k, "s").collect()}
+    b = {r.key: [x.t for x in r.picks]
+         for r in seeded_sample(keys, "key", cat, "idx", k, "s", broadcast_max_rows=0).collect()}
+    assert a == b and len(a) == 200
+    assert all(len(set(v)) == len(v) <= 3 for v in a.values())
