@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumflow.operators.joins import broadcast_if_small
 from forumflow.session import cut_lineage
 
 
@@ -50,12 +51,13 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
 
 
 def candidates_from_positions(df: DataFrame, group: str, item: str, order_col: str) -> DataFrame:
-    """Build (group, group_order, item, pos) from raw rows: an item repeated
-    within a group keeps its first position; groups are numbered in sorted
-    order (code-point order, like the reference's sorted topic list)."""
-    firsts = df.groupBy(group, item).agg(F.min(order_col).alias("__first"))
-    pos = F.row_number().over(Window.partitionBy(group).orderBy("__first", item))
-    groups = df.select(group).distinct()
-    gorder = groups.withColumn("group_ord", F.row_number().over(Window.orderBy(group)))
-    return (firsts.withColumn("pos", pos).drop("__first")
-            .join(F.broadcast(gorder), group))
+    """Build (group, group_ord, item, pos) from raw rows: an item repeated
+    within a group keeps its first position (a hash aggregate with map-side
+    combine; ``pos`` is that first position, no per-group numbering needed);
+    groups are numbered in sorted order (code-point order, like the
+    reference's sorted topic list). Groups are a seed-sized list (topics), so
+    numbering them in one window is bounded."""
+    firsts = df.groupBy(group, item).agg(F.min(order_col).alias("pos"))
+    gorder = (df.select(group).distinct()
+              .withColumn("group_ord", F.row_number().over(Window.orderBy(group))))
+    return firsts.join(broadcast_if_small(gorder), group)

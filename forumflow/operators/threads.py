@@ -62,12 +62,17 @@ def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
     """Root-down walk: every reachable node with its depth (roots = 1).
 
     ``keep`` (a boolean Column over ``edges``) prunes the subtree below any
-    node where it is false (T3). The kept edges are hash-partitioned once on
-    the join key ``(post, parent)`` and checkpointed; each level then only
-    shuffles the (much smaller) frontier.
+    node where it is false (T3). The kept edges are checkpointed once (the
+    filter and any upstream parsing are not redone per level). Each level is
+    a plain equi-join on (post, parent) that Spark plans at run time: a
+    small frontier is broadcast (AQE), a large one is a shuffle join whose
+    skewed partitions AQE splits - a parent holding a third of all replies
+    does not land in one task. Edges are deliberately *not* pre-partitioned
+    on the join key: that would pin such a hot parent to one partition that
+    AQE could not split.
     """
     e = edges if keep is None else edges.where(keep)
-    e = cut_lineage(e.repartition(post, parent))
+    e = cut_lineage(e)
     roots = e.where(F.col(parent).isNull()).withColumn(depth_col, F.lit(1))
     frontier = cut_lineage(roots)
     levels = [frontier]
