@@ -123,3 +123,38 @@ def test_seeded_sample_broadcast_equals_shuffle_path(spark):
          for r in seeded_sample(keys, "key", cat, "idx", k, "s", broadcast_max_rows=0).collect()}
     assert a == b and len(a) == 200
     assert all(len(set(v)) == len(v) <= 3 for v in a.values())
+
+
+def _prune_spec(edges):
+    """DFS from roots; a failing node hides its whole subtree."""
+    kids = {}
+    for post, node, parent, ok in edges:
+        kids.setdefault((post, parent), []).append((node, ok))
+    out = {}
+
+    def walk(post, node, depth):
+        out[(post, node)] = depth
+        for child, ok in kids.get((post, node), []):
+            if ok:
+                walk(post, child, depth + 1)
+
+    for post, node, parent, ok in edges:
+        if parent is None and ok:
+            walk(post, node, 1)
+    return out
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(min_value=0, max_value=10**6))
+def test_prune_threads_equals_dfs(spark, seed):
+    from forumflow.operators.threads import prune_threads
+    rnd = random.Random(seed)
+    edges = []
+    for post in range(rnd.randint(1, 4)):
+        n = rnd.randint(1, 25)
+        for node in range(n):
+            parent = None if node == 0 or rnd.random() < 0.15 else rnd.randrange(node)
+            edges.append((post, node, parent, rnd.random() > 0.2))
+    df = spark.createDataFrame(edges, "post int, node int, parent int, ok boolean")
+    got = {(r.post, r.node): r.depth for r in prune_threads(df, "post", "node", "parent", F.col("ok")).collect()}
+    assert got == _prune_spec(edges)
