@@ -31,6 +31,9 @@ def clean_url(c) -> Column:
     redirect = F.coalesce(F.try_url_decode(redirect_value), redirect_value)
     ent = decode_entities_native(c)
     plain = F.coalesce(F.try_url_decode(F.replace(ent, F.lit("+"), F.lit("%2B"))), ent)
+    # fast path: without '%' or '&' there is nothing to decode
+    untouched = (F.instr(c, "%") == 0) & (F.instr(c, "&") == 0)
     return (F.when(F.coalesce(c, F.lit("")) == "", F.lit(""))
             .when(F.instr(c, MEDIA_REDIRECT_MARKER) > 0, redirect)
+            .when(untouched, c)
             .otherwise(plain))
