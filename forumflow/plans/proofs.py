@@ -35,8 +35,8 @@ from forumflow.sinks.writers import write_table
 from forumflow.sources.datasets import read_datasets
 from forumflow.sources.html import extract_pairs, extract_sections
 from forumflow.sources.landed import (explode_moderators, explode_post_listing, explode_topic_map,
-                                      parse_community_about, parse_flairs, read_landed, split_article,
-                                      status_counts)
+                                      parse_community_about, parse_flairs, parse_once, read_landed,
+                                      split_article, status_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -328,7 +328,7 @@ def q_media_type(spark: SparkSession, d: str) -> DataFrame:
                       F.col("is_gallery"), video.alias("secure_media"), preview.alias("preview"),
                       meta.alias("media_metadata"))
     landed = v.select("doc_id", F.to_json(detail).alias("payload"))
-    parsed = landed.withColumn("__detail", F.from_json("payload", POST_DETAIL))
+    parsed = parse_once(landed, "payload", POST_DETAIL, "__detail")
     out = classify_media(parsed, "__detail", "doc_id")
     return out.select("doc_id", F.coalesce(F.col("media_type"), F.lit("none")).alias("media_type"))
 
@@ -361,7 +361,7 @@ def _asset_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_media_sort(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _asset_payloads(spark, d).withColumn("__detail", F.from_json("payload", POST_DETAIL))
+    parsed = parse_once(_asset_payloads(spark, d), "payload", POST_DETAIL, "__detail")
     classified = source_flags(classify_media(parsed, "__detail", "post_id"), "__detail")
     assets = media_assets(classified.drop("media_type"), "post_id")
     return assets.select("post_id", "media_type", _bigint("item_ord").alias("item_ord"),
@@ -388,7 +388,8 @@ def q_media_multi(spark: SparkSession, d: str) -> DataFrame:
     detail = F.struct(pid.alias("id"), F.concat(F.lit("/r/x/"), pid).alias("permalink"),
                       F.concat(F.lit("https://i.redd.it/"), pid).alias("url"), F.lit(False).alias("is_gallery"),
                       F.col("mm").alias("media_metadata"))
-    parsed = per_post.select("post_id", F.from_json(F.to_json(detail), POST_DETAIL).alias("__detail"))
+    parsed = parse_once(per_post.select("post_id", F.to_json(detail).alias("payload")), "payload", POST_DETAIL,
+                        "__detail")
     out = classify_media(parsed, "__detail", "post_id")
     tags = F.array_distinct(F.transform(F.map_values("__detail.media_metadata"), lambda v: v.getField("e")))
     return out.where(F.col("media_type") == "multi").select(

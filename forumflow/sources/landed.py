@@ -59,6 +59,18 @@ ARTICLE_POST = StructType([StructField("data", StructType([StructField("children
     StructField("data", POST_DETAIL)])))]))])
 
 
+def parse_once(df: DataFrame, payload, schema, out_col: str) -> DataFrame:
+    """Add ``out_col`` = ``from_json(payload, schema)``, parsed exactly once.
+
+    The struct leaves through a one-row generator (``inline``). A later
+    filter on anything derived from it (media type, eligibility, ...) cannot
+    be pushed below a generator's output, so the optimizer cannot inline the
+    parse into the filter and parse every payload twice.
+    """
+    pc = F.col(payload) if isinstance(payload, str) else payload
+    return df.select("*", F.inline(F.array(F.struct(F.from_json(pc, schema).alias(out_col)))))
+
+
 # --------------------------------------------------------------------------
 # envelopes
 # --------------------------------------------------------------------------
@@ -129,8 +141,9 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def parse_community_about(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """About payload -> ``data`` struct."""
-    return df.withColumn("__about", F.from_json(F.col(payload), COMMUNITY_ABOUT).getField("data"))
+    """About payload -> ``data`` struct (parsed once)."""
+    return (parse_once(df, payload, COMMUNITY_ABOUT, "__about_env")
+            .withColumn("__about", F.col("__about_env.data")).drop("__about_env"))
 
 
 def explode_community_search(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -150,8 +163,8 @@ def explode_rules(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def parse_flairs(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Flair payload -> ARRAY of flair structs in ``__flairs``."""
-    return df.withColumn("__flairs", F.from_json(F.col(payload), FLAIRS))
+    """Flair payload -> ARRAY of flair structs in ``__flairs`` (parsed once)."""
+    return parse_once(df, payload, FLAIRS, "__flairs")
 
 
 def explode_moderators(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -172,13 +185,13 @@ def split_article(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Article payload = two-element array. Element 0 holds the post
     detail (media), element 1 the comment roots. Only a non-empty list
     counts as found (``article_found``)."""
-    parts = F.from_json(F.col(payload), ArrayType(StringType()))
-    detail = F.get(F.from_json(F.get(parts, 0), ARTICLE_POST).getField("data").getField("children"), 0)\
+    parts = parse_once(df, payload, ArrayType(StringType()), "__parts")
+    detail = F.get(F.from_json(F.get("__parts", 0), ARTICLE_POST).getField("data").getField("children"), 0)\
         .getField("data")
-    roots = F.get_json_object(F.get(parts, 1), "$.data.children")
-    return (df.withColumn("article_found", F.coalesce(F.size(parts) > 0, F.lit(False)))
-            .withColumn("__detail", detail)
-            .withColumn("__roots", roots))
+    roots = F.get_json_object(F.get("__parts", 1), "$.data.children")
+    both = F.struct(F.coalesce(F.size("__parts") > 0, F.lit(False)).alias("article_found"),
+                    detail.alias("__detail"), roots.alias("__roots"))
+    return parts.select("*", F.inline(F.array(both))).drop("__parts")
 
 
 def comment_roots(df: DataFrame, roots_col: str = "__roots") -> Column:
