@@ -39,3 +39,9 @@ def test_filter_and_columns_reach_the_scan(plans):
     p = plans["child_attach"]
     assert "GreaterThan(s_acctbal,8000.0)" in p
     assert "ReadSchema: struct<s_suppkey:bigint,s_name:string,s_nationkey:int,s_acctbal:double>" in p
+
+
+def test_payload_parsed_once_under_a_filter(plans):
+    # media_multi filters on the media type; the detail JSON must still be
+    # parsed by exactly one from_json in the physical plan
+    assert plans["media_multi"].count("from_json(StructField(id") == 1
