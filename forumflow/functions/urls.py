@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import decode_entities_native
+from forumflow.functions.entities import NATIVE_ENTITIES, decode_entities_native
 
 # Fixed value: the host marker of media-redirect URLs.
 MEDIA_REDIRECT_MARKER = "https://www.reddit.com/media"
@@ -37,3 +37,26 @@ def clean_url(c) -> Column:
             .when(F.instr(c, MEDIA_REDIRECT_MARKER) > 0, redirect)
             .when(untouched, c)
             .otherwise(plain))
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def native_entities_sql(x: str) -> str:
+    """SQL text of ``decode_entities_native`` for an SQL expression ``x``."""
+    out = x
+    for src, dst in NATIVE_ENTITIES:
+        out = f"replace({out}, {_lit(src)}, {_lit(dst)})"
+    return f"CASE WHEN instr({x}, '&') = 0 THEN {x} ELSE {out} END"
+
+
+def clean_url_sql(x: str) -> str:
+    """SQL text of ``clean_url`` for an SQL expression ``x`` (usable inside
+    SQL lambdas); same semantics as the Column version."""
+    rv = f"regexp_extract({x}, '=([^&]+)', 1)"
+    ent = native_entities_sql(x)
+    return (f"CASE WHEN coalesce({x}, '') = '' THEN '' "
+            f"WHEN instr({x}, {_lit(MEDIA_REDIRECT_MARKER)}) > 0 THEN coalesce(try_url_decode({rv}), {rv}) "
+            f"WHEN instr({x}, '%') = 0 AND instr({x}, '&') = 0 THEN {x} "
+            f"ELSE coalesce(try_url_decode(replace({ent}, '+', '%2B')), {ent}) END")

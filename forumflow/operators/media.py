@@ -6,6 +6,10 @@ semantics (first match wins). Every branch builder is a native higher-order
 expression (``transform`` / ``filter`` / ``array_sort``) evaluated per row in
 the JVM next to the scan: no Python, no shuffle, no explode/re-group of the
 nested arrays.
+
+The expressions are generated as SQL text and handed to the JVM in one
+``F.expr`` call each: the same plan as building them node by node through
+the Column API, without thousands of Python-to-JVM round trips per query.
 """
 
 from __future__ import annotations
@@ -15,8 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, MapType, StringType,
                                StructField, StructType)
 
-from forumflow.functions.text import is_nonempty, rstrip_slash
-from forumflow.functions.urls import clean_url
+from forumflow.functions.urls import clean_url_sql
 
 # Host prefixes the classification depends on.
 PERMALINK_HOST = "https://www.reddit.com"
@@ -54,190 +57,201 @@ POST_DETAIL = StructType([
 ])
 
 
-def _sid(*parts) -> Column:
-    """Deterministic surrogate id (was a random uuid)."""
-    return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
+RES_DDL = "ARRAY<STRUCT<width:INT,height:INT,url:STRING>>"
+VIDEO_DDL = ("STRUCT<hls_url:STRING,dash_url:STRING,fallback_url:STRING,scrubber_media_url:STRING,"
+             "height:INT,width:INT>")
 
-def _res(h, w, u) -> Column:
-    return F.struct(F.coalesce(w, F.lit(0)).alias("width"), F.coalesce(h, F.lit(0)).alias("height"),
-                    clean_url(u).alias("url"))
 
+def _q(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def sorted_resolutions(arr: Column, key: str = "height") -> Column:
-    """A1 + A2 + A4: stable sort by ``key`` (ties keep input order), drop
-    blank urls, map each to (width, height, cleaned url)."""
-    keyed = F.transform(F.coalesce(arr, F.array()), lambda x, i: F.struct(x.getField(key).alias("k"),
-                                                                          i.alias("i"), x.alias("v")))
-    ordered = F.transform(F.array_sort(keyed), lambda s: s.getField("v"))
-    kept = F.filter(ordered, lambda v: F.coalesce(v.getField("url"), F.lit("")) != "")
-    return F.transform(kept, lambda v: _res(v.getField("height"), v.getField("width"), v.getField("url")))
 
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def with_source(res: Column, source: Column) -> Column:
-    """A3: append the source last when it has a url."""
-    has = F.coalesce(source.getField("url"), F.lit("")) != ""
-    return F.when(has, F.concat(res, F.array(_res(source.getField("height"), source.getField("width"),
-                                                  source.getField("url"))))).otherwise(res)
+
+class _Names:
+    """Fresh lambda variable names, so nested lambdas never shadow."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __call__(self, base: str) -> str:
+        self.n += 1
+        return f"{base}{self.n}"
+
+
+def _ne(x: str) -> str:
+    """C17: present and non-empty (array or map)."""
+    return f"coalesce(size({x}) > 0, false)"
 
 
-def _p_to_res(p: Column) -> Column:
-    return _res(p.getField("y"), p.getField("x"), p.getField("u"))
+def _sid(*parts: str) -> str:
+    """Deterministic surrogate id (was a random uuid); parts are SQL."""
+    return f"md5(concat_ws('|', {', '.join(f'CAST({p} AS STRING)' for p in parts)}))"
+
+
+def _res(h: str, w: str, u: str) -> str:
+    """A4: one resolution, url cleaned."""
+    return f"named_struct('width', coalesce({w}, 0), 'height', coalesce({h}, 0), 'url', {clean_url_sql(u)})"
+
+
+def _sorted_res(arr: str, nm: _Names, key: str = "height") -> str:
+    """A1 + A2 + A4: stable sort by ``key`` (ties keep input order), drop
+    blank urls, build each resolution."""
+    x, i, s, v, r = nm("x"), nm("i"), nm("s"), nm("v"), nm("r")
+    keyed = f"transform(coalesce({arr}, array()), ({x}, {i}) -> named_struct('k', {x}.{key}, 'i', {i}, 'v', {x}))"
+    ordered = f"transform(array_sort({keyed}), {s} -> {s}.v)"
+    kept = f"filter({ordered}, {v} -> coalesce({v}.url, '') <> '')"
+    return f"transform({kept}, {r} -> {_res(f'{r}.height', f'{r}.width', f'{r}.url')})"
+
+
+def _with_source(res: str, h: str, w: str, u: str) -> str:
+    """A3: append the source last when it has a url."""
+    return f"CASE WHEN coalesce({u}, '') <> '' THEN concat({res}, array({_res(h, w, u)})) ELSE {res} END"
 
 
-def _gallery_item(v: Column) -> Column:
+def _gallery_item(v: str, nm: _Names) -> str:
     """M6 per id: p sorted by y (stable), blank u dropped, source appended."""
-    p = F.transform(F.coalesce(v.getField("p"), F.array()),
-                    lambda x: F.struct(x.getField("y").alias("height"), x.getField("x").alias("width"),
-                                       x.getField("u").alias("url")))
-    s = v.getField("s")
-    src = F.struct(s.getField("y").alias("height"), s.getField("x").alias("width"), s.getField("u").alias("url"))
-    return with_source(sorted_resolutions(p), src)
-
-
-def _multi_item(v: Column) -> Column:
-    """M2 per entry: Image (p + s.u), AnimatedImage (p + s.gif), RedditVideo."""
-    e = F.coalesce(v.getField("e"), F.lit(""))
-    s = v.getField("s")
-    p_res = F.transform(F.coalesce(v.getField("p"), F.array()), _p_to_res)
-    img = F.when(s.isNotNull(), F.concat(p_res, F.array(_res(s.getField("y"), s.getField("x"), s.getField("u")))))\
-        .otherwise(p_res)
-    gif = F.when(s.isNotNull(), F.concat(p_res, F.array(_res(s.getField("y"), s.getField("x"), s.getField("gif")))))\
-        .otherwise(p_res)
-    kind = (F.when(e == "Image", F.lit("image")).when(e == "AnimatedImage", F.lit("gif"))
-            .when(e == "RedditVideo", F.lit("video")))
-    return F.struct(
-        kind.alias("_type"),
-        F.when(e == "Image", img).when(e == "AnimatedImage", gif).alias("resolutions"),
-        F.when(e == "RedditVideo", clean_url(v.getField("hlsUrl"))).alias("hlsUrl"),
-        F.when(e == "RedditVideo", clean_url(v.getField("dashUrl"))).alias("dashUrl"),
-        F.when(e == "RedditVideo", F.coalesce(v.getField("x"), F.lit(0))).alias("x"),
-        F.when(e == "RedditVideo", F.coalesce(v.getField("y"), F.lit(0))).alias("y"),
-    )
-
-
-def media_type_expr(d: Column) -> Column:
-    """The waterfall (M0-M7) over a parsed post-detail struct."""
-    permalink = F.concat(F.lit(PERMALINK_HOST), rstrip_slash(F.coalesce(d.getField("permalink"), F.lit(""))))
-    url_raw = F.coalesce(d.getField("url"), F.lit(""))
-    url = rstrip_slash(url_raw)
-    override = rstrip_slash(F.coalesce(d.getField("url_overridden_by_dest"), F.lit("")))
-    gallery_flag = F.coalesce(d.getField("is_gallery"), F.lit(False))
-    meta = d.getField("media_metadata")
-    has_meta = is_nonempty(meta)
-    has_secure = is_nonempty(d.getField("secure_media"))
-    first_img = F.get(d.getField("preview").getField("images"), 0)
-    has_preview = d.getField("preview").isNotNull()
-    n_tags = F.size(F.array_distinct(F.transform(F.map_values(meta), lambda v: F.coalesce(v.getField("e"), F.lit("")))))
-    video_txt = d.getField("secure_media").getItem("reddit_video")
-    has_video = F.coalesce(F.size(F.from_json(video_txt, MapType(StringType(), StringType()))) > 0, F.lit(False))
-    is_link = ((permalink != url) & (override == url) & (F.instr(url_raw, DIRECT_IMAGE_HOST) == 0)
-               & ~has_secure & ~has_meta & ~gallery_flag)
-    return (F.when(is_link, F.lit("link"))
-            .when(has_meta & ~gallery_flag & (n_tags >= 2), F.lit("multi"))
-            .when(has_preview & is_nonempty(first_img.getField("variants").getField("gif").getField("resolutions")),
-                  F.lit("gif"))
-            .when(has_secure & has_video, F.lit("video"))
-            .when(has_preview & is_nonempty(first_img.getField("resolutions")), F.lit("image"))
-            .when(has_meta, F.lit("gallery")))
+    x = nm("p")
+    p = f"transform(coalesce({v}.p, array()), {x} -> named_struct('height', {x}.y, 'width', {x}.x, 'url', {x}.u))"
+    return _with_source(_sorted_res(p, nm), f"{v}.s.y", f"{v}.s.x", f"{v}.s.u")
+
+
+def _multi_item(v: str, nm: _Names) -> str:
+    """M2 per entry: Image (p + s.u), AnimatedImage (p + s.gif), RedditVideo;
+    other tags give NULL and are dropped by the caller."""
+    x = nm("p")
+    e = f"coalesce({v}.e, '')"
+    p_res = f"transform(coalesce({v}.p, array()), {x} -> {_res(f'{x}.y', f'{x}.x', f'{x}.u')})"
+    img = f"CASE WHEN {v}.s IS NOT NULL THEN concat({p_res}, array({_res(f'{v}.s.y', f'{v}.s.x', f'{v}.s.u')})) ELSE {p_res} END"
+    gif = f"CASE WHEN {v}.s IS NOT NULL THEN concat({p_res}, array({_res(f'{v}.s.y', f'{v}.s.x', f'{v}.s.gif')})) ELSE {p_res} END"
+    is_vid = f"{e} = 'RedditVideo'"
+    return (f"named_struct("
+            f"'_type', CASE {e} WHEN 'Image' THEN 'image' WHEN 'AnimatedImage' THEN 'gif' WHEN 'RedditVideo' THEN 'video' END, "
+            f"'resolutions', CASE {e} WHEN 'Image' THEN {img} WHEN 'AnimatedImage' THEN {gif} END, "
+            f"'hlsUrl', CASE WHEN {is_vid} THEN {clean_url_sql(f'{v}.hlsUrl')} END, "
+            f"'dashUrl', CASE WHEN {is_vid} THEN {clean_url_sql(f'{v}.dashUrl')} END, "
+            f"'x', CASE WHEN {is_vid} THEN coalesce({v}.x, 0) END, "
+            f"'y', CASE WHEN {is_vid} THEN coalesce({v}.y, 0) END)")
+
+
+def media_type_sql(d: str) -> str:
+    """The waterfall (M0-M7) over a parsed post-detail struct (SQL text)."""
+    nm = _Names()
+    permalink = f"concat({_q(PERMALINK_HOST)}, TRIM(TRAILING '/' FROM coalesce({d}.permalink, '')))"
+    url_raw = f"coalesce({d}.url, '')"
+    url = f"TRIM(TRAILING '/' FROM {url_raw})"
+    override = f"TRIM(TRAILING '/' FROM coalesce({d}.url_overridden_by_dest, ''))"
+    gallery_flag = f"coalesce({d}.is_gallery, false)"
+    meta = f"{d}.media_metadata"
+    has_meta, has_secure = _ne(meta), _ne(f"{d}.secure_media")
+    first_img = f"get({d}.preview.images, 0)"
+    has_preview = f"({d}.preview IS NOT NULL)"
+    v = nm("v")
+    n_tags = f"size(array_distinct(transform(map_values({meta}), {v} -> coalesce({v}.e, ''))))"
+    has_video = f"coalesce(size(from_json({d}.secure_media['reddit_video'], 'MAP<STRING,STRING>')) > 0, false)"
+    is_link = (f"({permalink} <> {url} AND {override} = {url} AND instr({url_raw}, {_q(DIRECT_IMAGE_HOST)}) = 0 "
+               f"AND NOT {has_secure} AND NOT {has_meta} AND NOT {gallery_flag})")
+    return (f"CASE WHEN {is_link} THEN 'link' "
+            f"WHEN {has_meta} AND NOT {gallery_flag} AND {n_tags} >= 2 THEN 'multi' "
+            f"WHEN {has_preview} AND {_ne(f'{first_img}.variants.gif.resolutions')} THEN 'gif' "
+            f"WHEN {has_secure} AND {has_video} THEN 'video' "
+            f"WHEN {has_preview} AND {_ne(f'{first_img}.resolutions')} THEN 'image' "
+            f"WHEN {has_meta} THEN 'gallery' END")
+
+
+def media_type_expr(d: Column | str) -> Column:
+    """The waterfall as a Column; ``d`` names the parsed detail column."""
+    if isinstance(d, Column):
+        raise TypeError("pass the detail column by name")
+    return F.expr(media_type_sql(_ident(d)))
+
+
+def media_struct_sql(d: str, pid: str, t: str) -> str:
+    """The tagged media struct for type ``t`` (SQL text)."""
+    nm = _Names()
+    fi = f"get({d}.preview.images, 0)"
+    img_res = _with_source(_sorted_res(f"{fi}.resolutions", nm), f"{fi}.source.height", f"{fi}.source.width",
+                           f"{fi}.source.url")
+    link = (f"named_struct('id', {_sid(pid, _q('link'))}, 'link', coalesce({d}.url, ''), "
+            f"'image', named_struct('id', {_sid(pid, _q('link'), _q('image'))}, 'resolutions', "
+            f"CASE WHEN {fi} IS NOT NULL THEN {img_res} ELSE CAST(array() AS {RES_DDL}) END))")
+    image = f"named_struct('id', {_sid(pid, _q('image'))}, 'resolutions', {img_res})"
+    gif = (f"named_struct('id', {_sid(pid, _q('gif'))}, 'resolutions', "
+           f"{_sorted_res(f'{fi}.variants.gif.resolutions', nm)})")
+    vid = f"from_json({d}.secure_media['reddit_video'], {_q(VIDEO_DDL)})"
+    video = (f"named_struct('id', {_sid(pid, _q('video'))}, "
+             + ", ".join(f"'{f}', {clean_url_sql(f'{vid}.{f}')}"
+                         for f in ("hls_url", "dash_url", "fallback_url", "scrubber_media_url"))
+             + f", 'height', coalesce({vid}.height, 0), 'width', coalesce({vid}.width, 0))")
+    entries = f"map_entries({d}.media_metadata)"
+    en1, en2, en3, m, i = nm("en"), nm("en"), nm("en"), nm("m"), nm("i")
+    gal_items = f"filter({entries}, {en1} -> {_ne(f'{en1}.value.p')})"
+    gallery = (f"named_struct('id', {_sid(pid, _q('gallery'))}, 'images', "
+               f"transform({gal_items}, {en2} -> {_gallery_item(f'{en2}.value', nm)}))")
+    multi_items = f"filter(transform({entries}, {en3} -> {_multi_item(f'{en3}.value', nm)}), {m} -> {m}._type IS NOT NULL)"
+    mm = nm("m")
+    multi = (f"transform({multi_items}, ({mm}, {i}) -> named_struct('id', {_sid(pid, _q('multi'), i)}, "
+             f"'_type', {mm}._type, 'resolutions', {mm}.resolutions, 'hlsUrl', {mm}.hlsUrl, "
+             f"'dashUrl', {mm}.dashUrl, 'x', {mm}.x, 'y', {mm}.y))")
+    branch = lambda name, body: f"CASE WHEN {t} = '{name}' THEN {body} END"
+    return (f"CASE WHEN {t} IS NOT NULL THEN named_struct('_type', {t}, "
+            f"'link', {branch('link', link)}, 'image', {branch('image', image)}, 'gif', {branch('gif', gif)}, "
+            f"'video', {branch('video', video)}, 'gallery', {branch('gallery', gallery)}, "
+            f"'multi', {branch('multi', multi)}) END")
 
 
 def classify_media(df: DataFrame, detail_col: str, post_id_col: str, out_col: str = "media",
                    type_col: str = "media_type") -> DataFrame:
     """Adds ``type_col`` (the waterfall result, cheap to filter on) and
     ``out_col``: the tagged media struct (SURVEY §1.3); both NULL for M7."""
-    d = F.col(detail_col)
-    pid = F.col(post_id_col)
-    t = F.col(type_col)
-    first_img = F.get(d.getField("preview").getField("images"), 0)
-    img_res = with_source(sorted_resolutions(first_img.getField("resolutions")), first_img.getField("source"))
-    link = F.struct(
-        _sid(pid, "link").alias("id"),
-        F.coalesce(d.getField("url"), F.lit("")).alias("link"),
-        F.struct(_sid(pid, "link", "image").alias("id"),
-                 F.when(first_img.isNotNull(), img_res).otherwise(F.array().cast(ArrayType(_RES_OUT)))
-                 .alias("resolutions")).alias("image"))
-    image = F.struct(_sid(pid, "image").alias("id"), img_res.alias("resolutions"))
-    gif = F.struct(_sid(pid, "gif").alias("id"),
-                   sorted_resolutions(first_img.getField("variants").getField("gif").getField("resolutions"))
-                   .alias("resolutions"))
-    v = F.from_json(d.getField("secure_media").getItem("reddit_video"), VIDEO)
-    video = F.struct(_sid(pid, "video").alias("id"),
-                     clean_url(v.getField("hls_url")).alias("hls_url"),
-                     clean_url(v.getField("dash_url")).alias("dash_url"),
-                     clean_url(v.getField("fallback_url")).alias("fallback_url"),
-                     clean_url(v.getField("scrubber_media_url")).alias("scrubber_media_url"),
-                     F.coalesce(v.getField("height"), F.lit(0)).alias("height"),
-                     F.coalesce(v.getField("width"), F.lit(0)).alias("width"))
-    entries = F.map_entries(d.getField("media_metadata"))
-    gal_items = F.filter(entries, lambda en: is_nonempty(en.getField("value").getField("p")))
-    gallery = F.struct(_sid(pid, "gallery").alias("id"),
-                       F.transform(gal_items, lambda en: _gallery_item(en.getField("value"))).alias("images"))
-    multi_items = F.filter(F.transform(entries, lambda en: _multi_item(en.getField("value"))),
-                           lambda m: m.getField("_type").isNotNull())
-    multi = F.transform(multi_items, lambda m, i: m.withField("id", _sid(pid, "multi", i)))
-    media = F.when(t.isNotNull(), F.struct(
-        t.alias("_type"),
-        F.when(t == "link", link).alias("link"),
-        F.when(t == "image", image).alias("image"),
-        F.when(t == "gif", gif).alias("gif"),
-        F.when(t == "video", video).alias("video"),
-        F.when(t == "gallery", gallery).alias("gallery"),
-        F.when(t == "multi", multi).alias("multi"),
-    ))
-    return df.withColumn(type_col, media_type_expr(d)).withColumn(out_col, media)
-
-
-_RES_OUT = StructType([StructField("width", IntegerType()), StructField("height", IntegerType()),
-                       StructField("url", StringType())])
+    d, pid, t = _ident(detail_col), _ident(post_id_col), _ident(type_col)
+    return (df.withColumn(type_col, F.expr(media_type_sql(d)))
+            .withColumn(out_col, F.expr(media_struct_sql(d, pid, t))))
 
 
 def media_assets(df: DataFrame, post_id_col: str, media_col: str = "media") -> DataFrame:
     """Flat (post_id, media_type, item_ord, res_ord, is_source, width, height,
     url, asset_id). The source is the appended last element where the branch
-    appends one (link image, image, gallery items)."""
-    m = F.col(media_col)
-    t = m.getField("_type")
-
-    def single(res: Column, has_source: Column) -> Column:
-        n = F.size(res)
-        return F.transform(res, lambda r, i: F.struct(
-            F.lit(0).alias("item_ord"), i.alias("res_ord"), (has_source & (i == n - 1)).alias("is_source"),
-            r.getField("width").alias("width"), r.getField("height").alias("height"), r.getField("url").alias("url")))
-
-    # whether the last element is a source is not stored in the struct; the
-    # caller knows the payload, so we flag it from the detail when present.
-    src_flag = F.col("__src_flag")
-    items = (F.when(t == "link", single(m.getField("link").getField("image").getField("resolutions"), src_flag))
-             .when(t == "image", single(m.getField("image").getField("resolutions"), src_flag))
-             .when(t == "gif", single(m.getField("gif").getField("resolutions"), F.lit(False)))
-             .when(t == "gallery", F.flatten(F.transform(
-                 m.getField("gallery").getField("images"),
-                 lambda arr, j: F.transform(arr, lambda r, i: F.struct(
-                     j.alias("item_ord"), i.alias("res_ord"),
-                     (F.get(F.col("__gal_src"), j) & (i == F.size(arr) - 1)).alias("is_source"),
-                     r.getField("width").alias("width"), r.getField("height").alias("height"),
-                     r.getField("url").alias("url"))))))
-             .when(t == "multi", F.flatten(F.transform(
-                 F.filter(m.getField("multi"), lambda x: x.getField("resolutions").isNotNull()),
-                 lambda x, j: F.transform(x.getField("resolutions"), lambda r, i: F.struct(
-                     j.alias("item_ord"), i.alias("res_ord"), F.lit(False).alias("is_source"),
-                     r.getField("width").alias("width"), r.getField("height").alias("height"),
-                     r.getField("url").alias("url")))))))
-    out = (df.select(F.col(post_id_col).alias("post_id"), t.alias("media_type"),
-                     F.explode(items).alias("__a"))
+    appends one (link image, image, gallery items); ``source_flags`` supplies
+    whether it was appended."""
+    nm = _Names()
+    m = _ident(media_col)
+    t = f"{m}._type"
+
+    def row(item_ord: str, r: str, i: str, is_src: str) -> str:
+        return (f"named_struct('item_ord', {item_ord}, 'res_ord', {i}, 'is_source', {is_src}, "
+                f"'width', {r}.width, 'height', {r}.height, 'url', {r}.url)")
+
+    def single(res: str, has_source: str) -> str:
+        r, i = nm("r"), nm("i")
+        return f"transform({res}, ({r}, {i}) -> {row('0', r, i, f'({has_source} AND {i} = size({res}) - 1)')})"
+
+    a, j, r, i = nm("a"), nm("j"), nm("r"), nm("i")
+    gallery = (f"flatten(transform({m}.gallery.images, ({a}, {j}) -> transform({a}, ({r}, {i}) -> "
+               f"{row(j, r, i, f'(coalesce(get(`__gal_src`, {j}), false) AND {i} = size({a}) - 1)')})))")
+    x, j2, r2, i2, f = nm("x"), nm("j"), nm("r"), nm("i"), nm("f")
+    multi = (f"flatten(transform(filter({m}.multi, {f} -> {f}.resolutions IS NOT NULL), ({x}, {j2}) -> "
+             f"transform({x}.resolutions, ({r2}, {i2}) -> {row(j2, r2, i2, 'false')})))")
+    items = (f"CASE {t} WHEN 'link' THEN {single(f'{m}.link.image.resolutions', '`__src_flag`')} "
+             f"WHEN 'image' THEN {single(f'{m}.image.resolutions', '`__src_flag`')} "
+             f"WHEN 'gif' THEN {single(f'{m}.gif.resolutions', 'false')} "
+             f"WHEN 'gallery' THEN {gallery} WHEN 'multi' THEN {multi} END")
+    out = (df.select(F.col(post_id_col).alias("post_id"), F.expr(t).alias("media_type"),
+                     F.explode(F.expr(items)).alias("__a"))
            .select("post_id", "media_type", "__a.*"))
-    return out.withColumn("asset_id", _sid(F.col("post_id"), F.col("item_ord"), F.col("res_ord")))
+    return out.withColumn("asset_id", F.expr(_sid("post_id", "item_ord", "res_ord")))
 
 
 def source_flags(df: DataFrame, detail_col: str) -> DataFrame:
     """Adds ``__src_flag`` (single-list branches: preview source has a url)
     and ``__gal_src`` (per kept gallery item: its ``s`` has a url), the
     facts ``media_assets`` needs to mark the appended source."""
-    d = F.col(detail_col)
-    first_img = F.get(d.getField("preview").getField("images"), 0)
-    entries = F.filter(F.map_entries(d.getField("media_metadata")),
-                       lambda en: is_nonempty(en.getField("value").getField("p")))
-    return (df.withColumn("__src_flag", F.coalesce(first_img.getField("source").getField("url"), F.lit("")) != "")
-              .withColumn("__gal_src", F.transform(entries, lambda en: F.coalesce(
-                  en.getField("value").getField("s").getField("u"), F.lit("")) != "")))
+    nm = _Names()
+    d = _ident(detail_col)
+    en, en2 = nm("en"), nm("en")
+    kept = f"filter(map_entries({d}.media_metadata), {en} -> {_ne(f'{en}.value.p')})"
+    return (df.withColumn("__src_flag", F.expr(f"coalesce(get({d}.preview.images, 0).source.url, '') <> ''"))
+              .withColumn("__gal_src", F.expr(f"transform({kept}, {en2} -> coalesce({en2}.value.s.u, '') <> '')")))
