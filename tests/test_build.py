@@ -122,3 +122,16 @@ def test_merge_and_split(spark):
     users = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
     p1, p2 = split_users(users)
     assert sorted(r.id for r in p1.collect()) == ["0", "1", "2"] and sorted(r.id for r in p2.collect()) == ["3", "4"]
+
+
+def test_sinks_partitioned_and_staged(spark):
+    from forumflow.sinks.writers import stage_then_publish, write_by_topic
+    d = tempfile.mkdtemp(prefix="ff-sink-")
+    df = spark.createDataFrame([("t1", "r/b"), ("t1", "r/a"), ("t2", "r/c")], "topic string, title string")
+    write_by_topic(df, f"{d}/communities", fmt="json")
+    assert sorted(os.listdir(f"{d}/communities"))[-2:] == ["topic=t1", "topic=t2"]
+    back = spark.read.json(f"{d}/communities")
+    assert sorted((r.topic, r.title) for r in back.collect()) == [("t1", "r/a"), ("t1", "r/b"), ("t2", "r/c")]
+    p1 = stage_then_publish(df, "communities")
+    p2 = stage_then_publish(df, "communities")
+    assert p1 != p2 and spark.read.parquet(p1).count() == 3
