@@ -8,12 +8,12 @@ Two representations:
   replies, because the walk never expands it).
 * **nested JSON** as the API lands it: each node is
   ``{"kind", "data": {..., "replies": "" | {"data": {"children": [...]}}}}``.
-  ``flatten_threads`` parses one level per step (``posexplode`` of the
-  ``replies`` text kept as STRING), filters before expanding, and records
-  the path of child positions. Each step is narrow (no shuffle).
+  ``flatten_threads`` parses several levels per pass with one typed
+  ``from_json`` and one generator, filters before expanding, and records the
+  path of child positions. Each pass is narrow (no shuffle).
 
-Every level is checkpointed to the shared folder, so lineage stays one level
-deep and a lost executor only recomputes the level it was working on.
+Every level (edges) or pass (JSON) is checkpointed to the shared folder, so
+lineage stays short and a lost executor only recomputes the current step.
 ``ORDER BY path`` on the int array is depth-first pre-order.
 """
 
@@ -40,19 +40,9 @@ COMMENT_DATA = StructType([
 ])
 COMMENT_NODE = StructType([StructField("kind", StringType()), StructField("data", COMMENT_DATA)])
 COMMENT_LIST = ArrayType(COMMENT_NODE)
-REPLIES_LISTING = StructType([
-    StructField("data", StructType([StructField("children", COMMENT_LIST)])),
-])
-
 DELETED = "[deleted]"
 
 
-def _keep_node(node: Column) -> Column:
-    """T2 + T3: only ``t1`` nodes whose author is not ``[deleted]``."""
-    return ((F.coalesce(node.getField("kind"), F.lit("")) == "t1")
-            & (F.coalesce(node.getField("data").getField("author"), F.lit("")) != DELETED))
-
-
 # --------------------------------------------------------------------------
 # edge tables
 # --------------------------------------------------------------------------
@@ -102,58 +92,94 @@ def prune_threads(edges: DataFrame, post: str, node: str, parent: str, keep: Col
 # nested JSON
 # --------------------------------------------------------------------------
 
-def _comment_row(post_col: str, node: Column, path: Column, depth: Column) -> list[Column]:
-    d = node.getField("data")
-    return [
-        F.col(post_col).alias("post_id"),
-        path.alias("path"),
-        depth.alias("depth"),
-        F.coalesce(d.getField("author"), F.lit("")).alias("author"),
-        strip_all(F.coalesce(d.getField("author_fullname"), F.lit("")), "t2_").alias("author_id"),
-        d.getField("author_flair_text").alias("author_flair_text"),
-        F.coalesce(d.getField("body"), F.lit("")).alias("body"),
-        F.coalesce(d.getField("body_html"), F.lit("")).alias("body_html"),
-        F.coalesce(d.getField("ups"), F.lit(0)).cast("bigint").alias("ups"),
-        F.coalesce(d.getField("score"), F.lit(0)).cast("bigint").alias("score"),
-        F.coalesce(d.getField("created_utc"), F.lit(0)).cast("bigint").alias("created_utc"),
-        d.getField("replies").alias("__replies"),
-    ]
-
-
-def flatten_threads(articles: DataFrame, post_col: str, roots_json_col: str) -> DataFrame:
+_DATA_FIELDS = [f for f in COMMENT_DATA.fields if f.name != "replies"]
+
+
+def _node_schema(levels: int) -> ArrayType:
+    """ARRAY of comment nodes typed ``levels`` deep; the deepest ``replies``
+    stays JSON text (the continuation for the next pass)."""
+    node = StructType([StructField("kind", StringType()), StructField("data", COMMENT_DATA)])
+    for _ in range(levels - 1):
+        listing = StructType([StructField("data", StructType([StructField("children", ArrayType(node))]))])
+        data = StructType(_DATA_FIELDS + [StructField("replies", listing)])
+        node = StructType([StructField("kind", StringType()), StructField("data", data)])
+    return ArrayType(node)
+
+
+class _Names:
+    def __init__(self):
+        self.n = 0
+
+    def __call__(self, base: str) -> str:
+        self.n += 1
+        return f"{base}{self.n}"
+
+
+def _levels_sql(children: str, path: str, depth: str, k: int, levels: int, nm: _Names) -> str:
+    """SQL text: every kept node of ``levels - k + 1`` levels below
+    ``children`` as rows (path, depth, fields, replies-text-at-the-last-level).
+    Pruning (T2 + T3) filters a node before its replies are expanded; the
+    position recorded is the index in the unfiltered list."""
+    c, i, w = nm("c"), nm("i"), nm("w")
+    wrapped = (f"filter(transform(coalesce({children}, array()), ({c}, {i}) -> named_struct('c', {c}, 'i', {i})), "
+               f"{w} -> coalesce({w}.c.kind, '') = 't1' AND coalesce({w}.c.data.author, '') <> '{DELETED}')")
+    v = nm("v")
+    d = f"{v}.c.data"
+    my_path = f"concat({path}, array({v}.i))"
+    row = (f"named_struct('path', {my_path}, 'depth', {depth} + {k}, "
+           f"'author', coalesce({d}.author, ''), "
+           f"'author_id', replace(coalesce({d}.author_fullname, ''), 't2_', ''), "
+           f"'author_flair_text', {d}.author_flair_text, 'body', coalesce({d}.body, ''), "
+           f"'body_html', coalesce({d}.body_html, ''), 'ups', CAST(coalesce({d}.ups, 0) AS BIGINT), "
+           f"'score', CAST(coalesce({d}.score, 0) AS BIGINT), "
+           f"'created_utc', CAST(coalesce({d}.created_utc, 0) AS BIGINT), "
+           f"'__replies', {f'{d}.replies' if k == levels else 'CAST(NULL AS STRING)'})")
+    if k == levels:
+        return f"transform({wrapped}, {v} -> {row})"
+    below = _levels_sql(f"{d}.replies.data.children", my_path, depth, k + 1, levels, nm)
+    return f"flatten(transform({wrapped}, {v} -> concat(array({row}), {below})))"
+
+
+def flatten_threads(articles: DataFrame, post_col: str, roots_json_col: str,
+                    levels_per_pass: int = 4) -> DataFrame:
     """Nested comment JSON -> flat comment rows.
 
     ``roots_json_col`` holds the JSON array of root comment nodes of one
-    post. Output: post_id, path ARRAY<INT>, depth INT, author, author_id,
+    post. Each pass parses ``levels_per_pass`` levels with one typed
+    ``from_json`` (a ``""`` leaf marker becomes a NULL field) and flattens
+    them with one generator; only the deepest level keeps its replies as
+    text for the next pass. Each byte of a payload is therefore scanned
+    about depth / levels_per_pass times, and one checkpoint per pass bounds
+    the lineage. Needs ``spark.sql.json.enablePartialResults`` (default on);
+    without it the operator parses one level per pass.
+
+    Output: post_id, path ARRAY<INT>, depth INT, author, author_id,
     author_flair_text, body, body_html, ups, score, created_utc.
     """
-    level = (articles
-             .select(F.col(post_col), F.posexplode(F.from_json(F.col(roots_json_col), COMMENT_LIST))
-                     .alias("__pos", "__node"))
-             .where(_keep_node(F.col("__node")))
-             .select(*_comment_row(post_col, F.col("__node"),
-                                   F.array(F.col("__pos").cast("int")), F.lit(1))))
-    level = cut_lineage(level)
-    levels = [level]
-    depth = 1
+    spark = articles.sparkSession
+    if str(spark.conf.get("spark.sql.json.enablePartialResults")).lower() != "true":
+        levels_per_pass = 1
+    schema = _node_schema(levels_per_pass)
+    frontier = articles.select(F.col(post_col).alias("post_id"),
+                               F.lit(None).cast("array<int>").alias("path"),
+                               F.lit(0).alias("depth"), F.col(roots_json_col).alias("__text"))
+    passes = []
     while True:
-        parents = level.where(F.coalesce(F.col("__replies"), F.lit("")) != "")
-        if parents.isEmpty():
+        parsed = frontier.select("post_id", "path", "depth", F.from_json("__text", schema).alias("__kids"))
+        nm = _Names()
+        flat = _levels_sql("__kids", "coalesce(path, CAST(array() AS ARRAY<INT>))", "depth", 1,
+                           levels_per_pass, nm)
+        rows = parsed.select("post_id", F.explode(F.expr(flat)).alias("__r")).select("post_id", "__r.*")
+        rows = cut_lineage(rows.withColumn("depth", F.col("depth").cast("int")))
+        passes.append(rows)
+        frontier = (rows.where(F.coalesce(F.col("__replies"), F.lit("")) != "")
+                    .select("post_id", "path", "depth",
+                            F.get_json_object("__replies", "$.data.children").alias("__text")))
+        if frontier.isEmpty():
             break
-        depth += 1
-        kids = (parents
-                .select("post_id", "path",
-                        F.posexplode(F.from_json(F.col("__replies"), REPLIES_LISTING)
-                                     .getField("data").getField("children")).alias("__pos", "__node"))
-                .where(_keep_node(F.col("__node")))
-                .select(*_comment_row("post_id", F.col("__node"),
-                                      F.concat(F.col("path"), F.array(F.col("__pos").cast("int"))),
-                                      F.lit(depth))))
-        level = cut_lineage(kids)
-        levels.append(level)
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
+    out = passes[0]
+    for p in passes[1:]:
+        out = out.unionByName(p)
     return out.drop("__replies")
 
 

@@ -3,6 +3,7 @@ the expected rows read off the documented semantics."""
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from forumflow.operators.communities import community_columns, eligible, flair_rows
@@ -35,9 +36,10 @@ ROOTS = [
 ]
 
 
-def test_flatten_threads_golden(spark):
+@pytest.mark.parametrize("levels_per_pass", [1, 3, 4])
+def test_flatten_threads_golden(spark, levels_per_pass):
     art = spark.createDataFrame([("p1", json.dumps(ROOTS)), ("p2", "[]")], "post string, roots string")
-    rows = flatten_threads(art, "post", "roots").collect()
+    rows = flatten_threads(art, "post", "roots", levels_per_pass=levels_per_pass).collect()
     got = sorted((r.post_id, tuple(r.path), r.depth, r.body) for r in rows)
     expect = [("p1", (0,), 1, "a"), ("p1", (0, 0), 2, "a.0"), ("p1", (0, 3), 2, "a.3"), ("p1", (0, 3, 0), 3, "a.3.0")]
     expect += [("p1", (2,) + (0,) * i, i + 1, f"d{i + 1}") for i in range(13)]
