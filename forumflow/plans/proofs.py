@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from forumflow.functions.entities import decode_entities
-from forumflow.functions.rewrite import rewrite_expr, rewrite_text
+from forumflow.functions.rewrite import rewrite_text
 from forumflow.functions.text import age_years, epoch_seconds, human_count, human_date, shifted_date, strip_all
 from forumflow.functions.urls import clean_url
 from forumflow.operators.assign import assign_capped, candidates_from_positions
