@@ -221,7 +221,7 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
             rows = rows.drop("from_set", "src_file", "src_row")
         else:
             rows = distinct_rows(rows.drop("from_set", "src_file", "src_row"))
-        paths = [p for p in MERGE_PATHS.get(kind, []) if p in rows.columns]
+        paths = [p for p in MERGE_PATHS.get(kind, []) if p.split(".")[0].removesuffix("[]") in rows.columns]
         merged[kind] = rewrite_text(rows, paths, mapping) if paths else rows
     if out:
         write_collections(merged, out, fmt)

@@ -109,8 +109,13 @@ def test_merge_and_split(spark):
     write_table(b, f"{root}/set2/Communities")
     for s in ("set1", "set2"):
         write_table(spark.createDataFrame([("t",)], "topic string"), f"{root}/{s}/topics")
-        for k in ("posts", "users"):
-            write_table(spark.createDataFrame([("9", "n")], "id string, name string"), f"{root}/{s}/{k}")
+        write_table(spark.createDataFrame([("9", "Reddit post", [("Reddit Gold", "i")])],
+                                          "id string, title string, awards array<struct<title:string,image_link:string>>"),
+                    f"{root}/{s}/posts")
+        write_table(spark.createDataFrame([("9", "n", [("Subreddit Mod", "on r/x", "i")])],
+                                          "id string, name string, "
+                                          "trophies array<struct<title:string,description:string,image_link:string>>"),
+                    f"{root}/{s}/users")
         write_table(spark.createDataFrame([("Reddit Gold", "i")], "title string, image_link string"),
                     f"{root}/{s}/awards")
         write_table(spark.createDataFrame([("T", "D", "i")], "title string, description string, image_link string"),
@@ -119,6 +124,10 @@ def test_merge_and_split(spark):
     got = sorted((r.id, r.title) for r in m["communities"].collect())
     assert got == [("1", "voxsphere one"), ("2", "two"), ("3", "v/three on voxpopuli")]
     assert m["topics"].count() == 1 and [r.title for r in m["awards"].collect()] == ["voxpopuli Gold"]
+    post = m["posts"].first()
+    assert (post.title, post.awards[0].title) == ("voxpopuli post", "voxpopuli Gold")
+    user = m["users"].first()
+    assert (user.trophies[0].title, user.trophies[0].description) == ("voxsphere Mod", "on v/x")
     users = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
     p1, p2 = split_users(users)
     assert sorted(r.id for r in p1.collect()) == ["0", "1", "2"] and sorted(r.id for r in p2.collect()) == ["3", "4"]
