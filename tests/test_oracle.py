@@ -44,15 +44,22 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "double": "DOUBLE"}
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
     srows = [tuple(r[c] for c in cols) for r in df.collect()]
     rel = duck.sql(oracle_sql()[name])
     ocols = sorted(rel.columns)
     idx = [rel.columns.index(c) for c in ocols]
     orows = [tuple(r[i] for i in idx) for r in rel.fetchall()]
     assert cols == ocols
+    assert stypes == dict(zip(rel.columns, [str(t) for t in rel.types]))
     assert len(srows) == len(orows)
     assert _digest(srows) == _digest(orows)
