@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumflow.operators.dedup import positional_index
 from forumflow.operators.joins import broadcast_if_small
 from forumflow.session import cut_lineage
 
@@ -55,9 +56,8 @@ def candidates_from_positions(df: DataFrame, group: str, item: str, order_col: s
     within a group keeps its first position (a hash aggregate with map-side
     combine; ``pos`` is that first position, no per-group numbering needed);
     groups are numbered in sorted order (code-point order, like the
-    reference's sorted topic list). Groups are a seed-sized list (topics), so
-    numbering them in one window is bounded."""
+    reference's sorted topic list) by the distributed positional index, so
+    no step runs in a single task."""
     firsts = df.groupBy(group, item).agg(F.min(order_col).alias("pos"))
-    gorder = (df.select(group).distinct()
-              .withColumn("group_ord", F.row_number().over(Window.orderBy(group))))
+    gorder = positional_index(df.select(group).distinct(), group, "group_ord")
     return firsts.join(broadcast_if_small(gorder), group)

@@ -19,10 +19,10 @@ file, ``requests`` the on-demand JSON array.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumflow.functions.rewrite import MERGE_REWRITE_MAP, rewrite_text
@@ -35,6 +35,7 @@ from forumflow.operators.media import classify_media, media_assets, source_flags
 from forumflow.operators.members import join_members, member_refs, users_table
 from forumflow.operators.posts import DEFAULT_POSTS_PER_COMMUNITY, not_deleted, post_columns, request_plan
 from forumflow.operators.threads import flatten_threads, recount_comments
+from forumflow.operators.joins import broadcast_if_small
 from forumflow.operators.topk import sort_order, top_k_per_group
 from forumflow.sinks.writers import write_collections, write_table
 from forumflow.sources.datasets import read_datasets
@@ -70,7 +71,6 @@ class BuildOptions:
     enrich_users: bool = False
     as_of: int = 1_800_000_000
     output_format: str = "parquet"
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         for name in ("communities_per_topic", "posts_per_community"):
@@ -98,14 +98,13 @@ def build_communities(spark: SparkSession, env: DataFrame, topics: DataFrame, re
           .select(*community_columns(F.col("__about"), topic=F.col("topic")), F.col("ord").alias("__o")))
     od = keep_first(od, ["title"], ["__o"]).drop("__o")
     # topic search: (topic, group_ord, title, pos) candidates
-    # topics are a seed list (hundreds): numbering them in one window is bounded
-    topic_rank = topics.select("topic").distinct().withColumn("group_ord", F.dense_rank().over(Window.orderBy("topic")))
+    topic_rank = positional_index(topics.select("topic").distinct(), "topic", "group_ord")
     found = explode_community_search(_ok(env, "community_search")).withColumnRenamed("key", "topic")
     found = found.where(F.col("__detail").isNotNull() &
                         eligible(F.col("__detail.subreddit_type"), F.col("__title")))
     firsts = keep_first(found, ["topic", "__title"], ["pos"])
     cands = (firsts.join(od.select(F.col("title").alias("__title")), "__title", "left_anti")
-             .join(F.broadcast(topic_rank), "topic"))
+             .join(broadcast_if_small(topic_rank), "topic"))
     taken = assign_capped(cands.select("topic", "group_ord", F.col("__title").alias("item"), "pos"),
                           "topic", "group_ord", "item", "pos", opts.communities_per_topic)
     searched = (firsts.join(taken.select("topic", F.col("item").alias("__title")), ["topic", "__title"])

@@ -131,7 +131,9 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """On-demand request list (a top-level JSON array becomes rows)."""
+    """On-demand request list (a top-level JSON array becomes rows).
+    ``ord`` is the list order: a multi-line JSON file is one partition, read
+    in order, and files follow in listing order."""
     return (spark.read.schema(REQUEST).option("multiLine", "true").json(path)
             .withColumn("ord", F.monotonically_increasing_id()))
 
