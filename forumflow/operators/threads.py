@@ -47,7 +47,7 @@ DELETED = "[deleted]"
 # --------------------------------------------------------------------------
 
 def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
-                  keep: Column | None = None, depth_col: str = "depth") -> DataFrame:
+                  keep: Column | None = None, depth_col: str = "depth", max_depth: int = 100_000) -> DataFrame:
     """Root-down walk: every reachable node with its depth (roots = 1).
 
     ``keep`` (a boolean Column over ``edges``) prunes the subtree below any
@@ -68,6 +68,8 @@ def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
     depth = 1
     while not frontier.isEmpty():
         depth += 1
+        if depth > max_depth:
+            raise ValueError(f"thread deeper than {max_depth} levels: a parent cycle in the edge table?")
         nxt = (e.where(F.col(parent).isNotNull()).alias("e")
                .join(frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n")),
                      (F.col(f"e.{post}") == F.col("__p")) & (F.col(f"e.{parent}") == F.col("__n")))

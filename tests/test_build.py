@@ -128,6 +128,13 @@ def test_merge_and_split(spark):
     assert (post.title, post.awards[0].title) == ("voxpopuli post", "voxpopuli Gold")
     user = m["users"].first()
     assert (user.trophies[0].title, user.trophies[0].description) == ("voxsphere Mod", "on v/x")
+    # idempotent: merging the merged output again changes nothing
+    root2 = tempfile.mkdtemp(prefix="ff-merge2-")
+    for k, v in m.items():
+        write_table(v, f"{root2}/only/{k}")
+    again = merge_datasets(spark, root2, None)
+    for k in ("communities", "posts", "users", "awards"):
+        assert sorted(map(str, again[k].collect())) == sorted(map(str, m[k].collect()))
     users = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
     p1, p2 = split_users(users)
     assert sorted(r.id for r in p1.collect()) == ["0", "1", "2"] and sorted(r.id for r in p2.collect()) == ["3", "4"]

@@ -158,3 +158,22 @@ def test_prune_threads_equals_dfs(spark, seed):
     df = spark.createDataFrame(edges, "post int, node int, parent int, ok boolean")
     got = {(r.post, r.node): r.depth for r in prune_threads(df, "post", "node", "parent", F.col("ok")).collect()}
     assert got == _prune_spec(edges)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=1, max_value=400))
+def test_split_parts_disjoint_and_cover(spark, n):
+    df = spark.createDataFrame([(k * 7 % 1009,) for k in range(n)], "k long")
+    rows = split_by_position(df, "k").collect()
+    p1 = {r.k for r in rows if r.part == 1}
+    p2 = {r.k for r in rows if r.part == 2}
+    assert not (p1 & p2) and len(p1) + len(p2) == n and len(p1) == n // 2 + 1
+    assert not p2 or max(p1) < min(p2)
+
+
+def test_thread_levels_rejects_cycles(spark):
+    import pytest
+    from forumflow.operators.threads import thread_levels
+    edges = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 1, 1)], "post int, node int, parent int")
+    with pytest.raises(ValueError):
+        thread_levels(edges, "post", "node", "parent", max_depth=6)
