@@ -85,7 +85,7 @@ WITH od AS (
                    (CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'building' WHEN 2 THEN 'Furniture'
                                        WHEN 3 THEN 'MACHINERY' ELSE 'household' END) END AS title,
          CAST(s_suppkey % 4 AS BIGINT) AS post_limit, 0 AS src, s_suppkey AS ord
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 = 0),
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 tc AS (
   SELECT CASE WHEN c_custkey % 3 = 0 THEN lower(n_name || ' ' || c_mktsegment) ELSE n_name || ' ' || c_mktsegment END
            AS title, CAST(10 AS BIGINT) AS post_limit, 1 AS src, c_custkey AS ord

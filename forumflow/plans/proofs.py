@@ -83,8 +83,7 @@ _SEGMENT_BY_MOD5 = ("AUTOMOBILE", "building", "Furniture", "MACHINERY", "househo
 def q_request_plan(spark: SparkSession, d: str) -> DataFrame:
     sup, cus, nat = _t(spark, d, "supplier"), _t(spark, d, "customer"), _t(spark, d, "nation")
     seg = F.element_at(F.array(*[F.lit(s) for s in _SEGMENT_BY_MOD5]), (F.col("s_suppkey") % 5 + 1).cast("int"))
-    od = (sup.where(F.col("s_suppkey") % 7 == 0)
-          .join(nat, sup.s_nationkey == nat.n_nationkey)
+    od = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
           .select(F.when(F.col("s_suppkey") % 11 == 0, F.lit(""))
                   .otherwise(F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.upper("n_name"))
                                       .otherwise(F.lower("n_name")), F.lit(" "), seg)).alias("title"),
