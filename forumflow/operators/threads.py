@@ -116,20 +116,26 @@ class _Names:
         return f"{base}{self.n}"
 
 
-def _levels_sql(children: str, path: str, depth: str, k: int, levels: int, nm: _Names) -> str:
+def _levels_sql(children: str, path: str, depth: str, k: int, levels: int, nm: _Names,
+                curated: bool = False) -> str:
     """SQL text: every kept node of ``levels - k + 1`` levels below
     ``children`` as rows (path, depth, fields, replies-text-at-the-last-level).
-    Pruning (T2 + T3) filters a node before its replies are expanded; the
+
+    API shape (``curated=False``): ``{kind, data: {..., replies: {data:
+    {children}}}}``; pruning (T2 + T3) filters a node before its replies are
+    expanded. Curated shape: ``{..., replies: [...]}``, already pruned. The
     position recorded is the index in the unfiltered list."""
     c, i, w = nm("c"), nm("i"), nm("w")
+    keep = ("true" if curated else
+            f"coalesce({w}.c.kind, '') = 't1' AND coalesce({w}.c.data.author, '') <> '{DELETED}'")
     wrapped = (f"filter(transform(coalesce({children}, array()), ({c}, {i}) -> named_struct('c', {c}, 'i', {i})), "
-               f"{w} -> coalesce({w}.c.kind, '') = 't1' AND coalesce({w}.c.data.author, '') <> '{DELETED}')")
+               f"{w} -> {keep})")
     v = nm("v")
-    d = f"{v}.c.data"
+    d = f"{v}.c" if curated else f"{v}.c.data"
+    author_id = f"{d}.author_fullname" if curated else f"replace(coalesce({d}.author_fullname, ''), 't2_', '')"
     my_path = f"concat({path}, array({v}.i))"
     row = (f"named_struct('path', {my_path}, 'depth', {depth} + {k}, "
-           f"'author', coalesce({d}.author, ''), "
-           f"'author_id', replace(coalesce({d}.author_fullname, ''), 't2_', ''), "
+           f"'author', coalesce({d}.author, ''), 'author_id', coalesce({author_id}, ''), "
            f"'author_flair_text', {d}.author_flair_text, 'body', coalesce({d}.body, ''), "
            f"'body_html', coalesce({d}.body_html, ''), 'ups', CAST(coalesce({d}.ups, 0) AS BIGINT), "
            f"'score', CAST(coalesce({d}.score, 0) AS BIGINT), "
@@ -137,45 +143,40 @@ def _levels_sql(children: str, path: str, depth: str, k: int, levels: int, nm: _
            f"'__replies', {f'{d}.replies' if k == levels else 'CAST(NULL AS STRING)'})")
     if k == levels:
         return f"transform({wrapped}, {v} -> {row})"
-    below = _levels_sql(f"{d}.replies.data.children", my_path, depth, k + 1, levels, nm)
+    kids = f"{d}.replies" if curated else f"{d}.replies.data.children"
+    below = _levels_sql(kids, my_path, depth, k + 1, levels, nm, curated)
     return f"flatten(transform({wrapped}, {v} -> concat(array({row}), {below})))"
 
 
-def flatten_threads(articles: DataFrame, post_col: str, roots_json_col: str,
-                    levels_per_pass: int = 4) -> DataFrame:
-    """Nested comment JSON -> flat comment rows.
+def _curated_schema(levels: int) -> ArrayType:
+    """Curated comment nodes ``{author, ..., replies: [...]}`` typed
+    ``levels`` deep; the deepest ``replies`` stays JSON text."""
+    node = StructType(_DATA_FIELDS + [StructField("replies", StringType())])
+    for _ in range(levels - 1):
+        node = StructType(_DATA_FIELDS + [StructField("replies", ArrayType(node))])
+    return ArrayType(node)
 
-    ``roots_json_col`` holds the JSON array of root comment nodes of one
-    post. Each pass parses ``levels_per_pass`` levels with one typed
-    ``from_json`` (a ``""`` leaf marker becomes a NULL field) and flattens
-    them with one generator; only the deepest level keeps its replies as
-    text for the next pass. Each byte of a payload is therefore scanned
-    about depth / levels_per_pass times, and one checkpoint per pass bounds
-    the lineage. Needs ``spark.sql.json.enablePartialResults`` (default on);
-    without it the operator parses one level per pass.
 
-    Output: post_id, path ARRAY<INT>, depth INT, author, author_id,
-    author_flair_text, body, body_html, ups, score, created_utc.
-    """
+def _flatten(articles: DataFrame, post_col: str, roots_json_col: str, levels_per_pass: int,
+             curated: bool) -> DataFrame:
     spark = articles.sparkSession
     if str(spark.conf.get("spark.sql.json.enablePartialResults")).lower() != "true":
         levels_per_pass = 1
-    schema = _node_schema(levels_per_pass)
+    schema = _curated_schema(levels_per_pass) if curated else _node_schema(levels_per_pass)
     frontier = articles.select(F.col(post_col).alias("post_id"),
                                F.lit(None).cast("array<int>").alias("path"),
                                F.lit(0).alias("depth"), F.col(roots_json_col).alias("__text"))
     passes = []
     while True:
         parsed = frontier.select("post_id", "path", "depth", F.from_json("__text", schema).alias("__kids"))
-        nm = _Names()
         flat = _levels_sql("__kids", "coalesce(path, CAST(array() AS ARRAY<INT>))", "depth", 1,
-                           levels_per_pass, nm)
+                           levels_per_pass, _Names(), curated)
         rows = parsed.select("post_id", F.explode(F.expr(flat)).alias("__r")).select("post_id", "__r.*")
         rows = cut_lineage(rows.withColumn("depth", F.col("depth").cast("int")))
         passes.append(rows)
+        nxt = F.col("__replies") if curated else F.get_json_object("__replies", "$.data.children")
         frontier = (rows.where(F.coalesce(F.col("__replies"), F.lit("")) != "")
-                    .select("post_id", "path", "depth",
-                            F.get_json_object("__replies", "$.data.children").alias("__text")))
+                    .select("post_id", "path", "depth", nxt.alias("__text")))
         if frontier.isEmpty():
             break
     out = passes[0]
@@ -184,6 +185,33 @@ def flatten_threads(articles: DataFrame, post_col: str, roots_json_col: str,
     return out.drop("__replies")
 
 
+def flatten_threads(articles: DataFrame, post_col: str, roots_json_col: str,
+                    levels_per_pass: int = 4) -> DataFrame:
+    """Nested comment JSON (API shape) -> flat comment rows.
+
+    ``roots_json_col`` holds the JSON array of root comment nodes of one
+    post. Each pass parses ``levels_per_pass`` levels with one typed
+    ``from_json`` (a ``""`` leaf marker becomes a NULL field) and flattens
+    them with one generator; only the deepest level keeps its replies as
+    text for the next pass. Each byte of a payload is therefore scanned
+    about depth / levels_per_pass times, and one checkpoint per pass bounds
+    the lineage. Needs ``spark.sql.json.enablePartialResults`` (default on);
+    without it the operator parses one level per pass.
+
+    Output: post_id, path ARRAY<INT>, depth INT, author, author_id,
+    author_flair_text, body, body_html, ups, score, created_utc.
+    """
+    return _flatten(articles, post_col, roots_json_col, levels_per_pass, curated=False)
+
+
+def flatten_curated_comments(posts: DataFrame, post_col: str, comments_json_col: str,
+                             levels_per_pass: int = 4) -> DataFrame:
+    """S10 + T1: the nested ``comments`` of a finished posts dataset (each
+    node ``{author, author_fullname, ..., replies: [...]}``, already pruned)
+    -> the same flat comment rows as ``flatten_threads``."""
+    return _flatten(posts, post_col, comments_json_col, levels_per_pass, curated=True)
+
+
 def _node_json(kind: Column, data: Column, replies_json: Column) -> Column:
     """Node text with ``replies`` as a JSON object, or "" for a leaf.
 

@@ -151,3 +151,30 @@ def test_sinks_partitioned_and_staged(spark):
     p1 = stage_then_publish(df, "communities")
     p2 = stage_then_publish(df, "communities")
     assert p1 != p2 and spark.read.parquet(p1).count() == 3
+
+
+def test_read_curated_layout(spark):
+    from forumflow.operators.threads import flatten_curated_comments
+    from forumflow.sources.curated import read_communities_map, read_curated_array
+    d = tempfile.mkdtemp(prefix="ff-curated-")
+    comm = {"tech": [{"id": "a1", "title": "r/a1", "subscribers": 5, "rules": [{"short_name": "s", "description": "d"}],
+                      "moderators": [{"id": "m1", "name": "mod", "trophies": []}]},
+                     {"id": "a2", "title": "r/a2"}],
+            "art": [{"id": "b1", "title": "r/b1", "topic": "art"}]}
+    with open(os.path.join(d, "subreddits.json"), "w") as f:
+        json.dump(comm, f)
+    c = {r.id: r for r in read_communities_map(spark, os.path.join(d, "subreddits.json")).collect()}
+    assert set(c) == {"a1", "a2", "b1"} and c["a2"].topic == "tech" and c["a2"].ord == 1
+    assert c["a1"].rules[0].short_name == "s" and c["a1"].moderators[0].name == "mod"
+    reply = {"author": "z", "author_fullname": "z9", "body": "r", "replies": []}
+    posts = [{"id": "p1", "title": "t", "comments": [{"author": "a", "author_fullname": "a1", "body": "x",
+                                                     "replies": [reply, {**reply, "body": "r2", "replies": [reply]}]}],
+              "media_content": {"_type": "gif"}},
+             {"id": "p2", "comments": []}]
+    with open(os.path.join(d, "posts.json"), "w") as f:
+        json.dump(posts, f)
+    p = read_curated_array(spark, os.path.join(d, "posts.json"), "posts")
+    assert p.count() == 2
+    flat = flatten_curated_comments(p, "id", "comments", levels_per_pass=2).collect()
+    assert sorted((r.post_id, tuple(r.path), r.depth, r.body) for r in flat) == [
+        ("p1", (0,), 1, "x"), ("p1", (0, 0), 2, "r"), ("p1", (0, 1), 2, "r2"), ("p1", (0, 1, 0), 3, "r")]
