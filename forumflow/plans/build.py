@@ -227,6 +227,71 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
     return merged
 
 
+# File names of a finished dataset in the original layout.
+ORIGINAL_FILES = {"topics": "topics.json", "awards": "awards.json", "trophies": "trophies.json",
+                  "communities": "subreddits.json", "posts": "posts.json", "users": "users.json"}
+# The text paths the merge pass rewrites in the original layout.
+ORIGINAL_PATHS = {
+    "awards": ["title"],
+    "trophies": ["title", "description"],
+    "communities": ["title", "public_description", "rules[].description",
+                    "members[].public_description", "members[].name", "members[].trophies[].title",
+                    "members[].trophies[].description", "moderators[].public_description", "moderators[].name",
+                    "moderators[].trophies[].title", "moderators[].trophies[].description"],
+    "posts": ["subreddit", "title", "author", "text", "text_html", "awards[].title"],
+    "comments": ["author", "body", "body_html"],
+    "users": ["name", "public_description", "trophies[].title", "trophies[].description"],
+}
+
+
+def merge_original_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERGE_REWRITE_MAP,
+                            fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Entry 3 on finished datasets in the original JSON layout: every file
+    two levels below ``root`` whose name contains a kind's file name.
+    Communities, posts and users keep the first row per non-blank id (file
+    path, then position in the file); the others keep distinct rows. The
+    nested comments become a flat ``comments`` table (rewritten there: author,
+    body, body_html), so no rewrite ever runs over raw JSON text."""
+    from forumflow.operators.threads import flatten_curated_comments
+    from forumflow.sources.curated import read_communities_map, read_curated_array
+    from forumflow.sources.datasets import _ci_glob
+    from forumflow.sources.landed import read_topics
+
+    def glob(kind: str) -> str:
+        return f"{root.rstrip('/')}/*/*{_ci_glob(ORIGINAL_FILES[kind])}*"
+
+    def with_order(df: DataFrame) -> DataFrame:
+        # a single-document JSON file is one partition, read in order
+        return (df.withColumn("__file", F.col("_metadata.file_path"))
+                .withColumn("__pos", F.monotonically_increasing_id()))
+
+    merged: dict[str, DataFrame] = {}
+    for kind in ORIGINAL_FILES:
+        try:
+            if kind == "communities":
+                rows = read_communities_map(spark, glob(kind))
+                rows = with_order(rows).withColumn("__pos", F.col("ord"))
+            elif kind == "topics":
+                rows = read_topics(spark, glob(kind)).select("topic")
+            else:
+                rows = with_order(read_curated_array(spark, glob(kind), kind))
+        except AnalysisException:  # no dataset holds this kind
+            continue
+        if kind in ("communities", "posts", "users"):
+            rows = keep_first(rows.where(is_nonblank("id")), ["id"], ["__file", "__pos"])
+            rows = rows.drop("__file", "__pos")
+        else:
+            rows = distinct_rows(rows.drop("__file", "__pos") if "__file" in rows.columns else rows)
+        if kind == "posts":
+            comments = flatten_curated_comments(rows, "id", "comments")
+            merged["comments"] = rewrite_text(comments, ORIGINAL_PATHS["comments"], mapping)
+            rows = rows.drop("comments")
+        merged[kind] = rewrite_text(rows, ORIGINAL_PATHS.get(kind, []), mapping)
+    if out:
+        write_collections(merged, out, fmt)
+    return merged
+
+
 def split_users(users: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
     """K5: users part 1 = positions 0..n//2, part 2 = the rest."""
     parts = split_by_position(users, order)
@@ -240,4 +305,4 @@ def write_split(users: DataFrame, out: str, fmt: str = "parquet") -> None:
 
 
 __all__ = ["BuildOptions", "attach_sample", "build_communities", "build_posts", "build_catalogs", "build_forum",
-           "merge_datasets", "split_users", "write_split"]
+           "merge_datasets", "merge_original_datasets", "split_users", "write_split"]

@@ -178,3 +178,30 @@ def test_read_curated_layout(spark):
     flat = flatten_curated_comments(p, "id", "comments", levels_per_pass=2).collect()
     assert sorted((r.post_id, tuple(r.path), r.depth, r.body) for r in flat) == [
         ("p1", (0,), 1, "x"), ("p1", (0, 0), 2, "r"), ("p1", (0, 1), 2, "r2"), ("p1", (0, 1, 0), 3, "r")]
+
+
+def test_merge_original_layout(spark):
+    from forumflow.plans.build import merge_original_datasets
+    root = tempfile.mkdtemp(prefix="ff-orig-")
+    for name, posts, comms in (
+        ("d1", [{"id": "p1", "title": "Reddit news", "author": "a",
+                 "comments": [{"author": "x", "body": "see r/pics", "author_flair_text": "reddit fan",
+                               "replies": [{"author": "y", "body": "SubReddit", "replies": []}]}]}],
+         {"tech": [{"id": "c1", "title": "r/tech", "rules": [{"short_name": "reddit", "description": "no reddit"}]}]}),
+        ("d2", [{"id": "p1", "title": "dup"}, {"id": "", "title": "blank"}, {"id": "p2", "title": "two"}],
+         {"tech": [{"id": "c1", "title": "dup"}], "art": [{"id": "c2", "title": "r/art"}]}),
+    ):
+        os.makedirs(f"{root}/{name}")
+        with open(f"{root}/{name}/posts.json", "w") as f:
+            json.dump(posts, f)
+        with open(f"{root}/{name}/Subreddits.json", "w") as f:
+            json.dump(comms, f)
+        with open(f"{root}/{name}/topics.json", "w") as f:
+            json.dump({"C": ["tech", "art"]}, f)
+    m = merge_original_datasets(spark, root, None)
+    assert sorted((r.id, r.title) for r in m["posts"].collect()) == [("p1", "voxpopuli news"), ("p2", "two")]
+    com = {r.id: r for r in m["communities"].collect()}
+    assert (com["c1"].title, com["c1"].rules[0].short_name, com["c1"].rules[0].description) == \
+        ("v/tech", "reddit", "no voxpopuli")
+    assert sorted(r.body for r in m["comments"].collect()) == ["see v/pics", "voxsphere"]
+    assert sorted(r.topic for r in m["topics"].collect()) == ["art", "tech"]
