@@ -41,8 +41,9 @@ LANDING = [
     env("community_search", "alpha", {"data": {"children": [
         child("r/a1"), child("r/a2", subreddit_type="private"), child("u/a3"), child("r/shared"),
         child("r/a1"), child("r/a4")]}}),
-    env("community_search", "beta", {"data": {"children": [child("r/shared"), child("r/b1"), child("r/b2"),
-                                                           child("r/b3")]}}),
+    env("community_search", "beta", {"data": {"children": [
+        child("r/shared"), {"data": {"subreddit_name_prefixed": "r/null", "sr_detail": None}},
+        child("r/a4"), child("r/b1"), child("r/b2"), child("r/b3")]}}),
     env("community_search", "gamma", None, 500),
     env("rules", "a1", {"rules": [{"short_name": "be nice", "description": "no r/spam"}]}),
     env("link_flairs", "a1", [{"text": "F", "richtext": [{"e": "text", "t": "F"}]}]),
@@ -79,8 +80,9 @@ def test_build_forum_end_to_end(spark):
     t = build_forum(spark, os.path.join(d, "envelopes.jsonl"), os.path.join(d, "topics.json"),
                     os.path.join(d, "ondemand.json"), out, BuildOptions(communities_per_topic=2))
     comms = {(r.title, r.topic) for r in t["communities"].collect()}
+    # r/a4 was past alpha's cap, so it stays free and beta takes it
     assert comms == {("r/OnDemandSub", "alpha"), ("r/a1", "alpha"), ("r/shared", "alpha"),
-                     ("r/b1", "beta"), ("r/b2", "beta")}
+                     ("r/a4", "beta"), ("r/b1", "beta")}
     assert {r.category for r in t["communities"].collect()} == {"Cat1"}
     assert [(r.community_id, r.short_name) for r in t["community_rules"].collect()] == [("a1", "be nice")]
     assert {r.key for r in t["rejects"].collect()} == {"gamma"}
