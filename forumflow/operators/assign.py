@@ -15,9 +15,14 @@ Set form, one round:
 Stop when a round rejects nothing; the proposals are then the answer.
 
 A rejection is final: the winning group keeps proposing that item until an
-even earlier group takes it, so the item never returns to the loser. Each
-round's candidates are checkpointed (reliable, shared folder) so the lineage
-stays one round deep and a lost executor recomputes one round at most.
+even earlier group takes it, so the item never returns to the loser.
+
+Per round only small data moves: proposals are at most ``cap`` per group,
+so the rejected pairs have a proven bound and are broadcast into a narrow
+anti-join; the large candidate table is never shuffled by it. Each round's
+proposals are checkpointed (reliable, shared folder); the candidate table
+is checkpointed every ``checkpoint_every`` rounds, so after an executor loss
+at most that many narrow anti-joins are recomputed.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from forumflow.session import cut_lineage
 
 
 def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos: str,
-                  cap: int, max_rounds: int = 1000) -> DataFrame:
+                  cap: int, max_rounds: int = 1000, checkpoint_every: int = 8) -> DataFrame:
     """cands: (group, group_order, item, pos), one row per (group, item).
 
     Returns (group, group_order, item, pos) for the accepted pairs.
@@ -39,7 +44,7 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
     cur = cut_lineage(cands.select(group, group_order, item, pos))
     by_group = Window.partitionBy(group).orderBy(F.col(pos), F.col(item))
     by_item = Window.partitionBy(item)
-    for _ in range(max_rounds):
+    for r in range(1, max_rounds + 1):
         proposals = (cur.withColumn("__rn", F.row_number().over(by_group))
                      .where(F.col("__rn") <= cap).drop("__rn"))
         marked = proposals.withColumn("__best", F.min(group_order).over(by_item))
@@ -47,7 +52,9 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
         rejected = marked.where(F.col(group_order) > F.col("__best")).select(group, item)
         if rejected.isEmpty():
             return marked.drop("__best")
-        cur = cut_lineage(cur.join(rejected, [group, item], "left_anti"))
+        cur = cur.join(broadcast_if_small(rejected), [group, item], "left_anti")
+        if r % checkpoint_every == 0:
+            cur = cut_lineage(cur)
     raise RuntimeError("assign_capped did not converge")
 
 

@@ -42,7 +42,8 @@ def test_assign_capped_equals_sequential(spark, seed, cap):
     rows = [(f"g{rnd.randint(0, 4)}", rnd.randint(0, 12), i) for i in range(rnd.randint(1, 60))]
     df = spark.createDataFrame(rows, "g string, item int, pos long")
     cands = candidates_from_positions(df, "g", "item", "pos")
-    got = {(r.g, r.item) for r in assign_capped(cands, "g", "group_ord", "item", "pos", cap).collect()}
+    got = {(r.g, r.item) for r in assign_capped(cands, "g", "group_ord", "item", "pos", cap,
+                                                 checkpoint_every=2).collect()}
     assert got == sequential_assign(rows, cap)
 
 
