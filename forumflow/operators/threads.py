@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
+from forumflow.operators.joins import BROADCAST_MAX_ROWS
 from forumflow.session import cut_lineage
 
 COMMENT_DATA = StructType([
@@ -53,8 +54,9 @@ def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
     ``keep`` (a boolean Column over ``edges``) prunes the subtree below any
     node where it is false (T3). The kept edges are checkpointed once (the
     filter and any upstream parsing are not redone per level). Each level is
-    a plain equi-join on (post, parent) that Spark plans at run time: a
-    small frontier is broadcast (AQE), a large one is a shuffle join whose
+    an equi-join on (post, parent) with the frontier: a frontier within the
+    broadcast bound (counted on its checkpoint) is broadcast and the edges
+    are streamed without a shuffle; a larger one is a shuffle join whose
     skewed partitions AQE splits - a parent holding a third of all replies
     does not land in one task. Edges are deliberately *not* pre-partitioned
     on the join key: that would pin such a hot parent to one partition that
@@ -62,17 +64,25 @@ def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
     """
     e = edges if keep is None else edges.where(keep)
     e = cut_lineage(e)
+    children = e.where(F.col(parent).isNotNull()).alias("e")
     roots = e.where(F.col(parent).isNull()).withColumn(depth_col, F.lit(1))
     frontier = cut_lineage(roots)
     levels = [frontier]
     depth = 1
-    while not frontier.isEmpty():
+    while True:
+        # one bounded count on the checkpointed frontier: ends the walk when
+        # empty, and a frontier within the bound is broadcast so the edge
+        # table is not shuffled for this level
+        n = frontier.limit(BROADCAST_MAX_ROWS + 1).count()
+        if n == 0:
+            break
         depth += 1
         if depth > max_depth:
             raise ValueError(f"thread deeper than {max_depth} levels: a parent cycle in the edge table?")
-        nxt = (e.where(F.col(parent).isNotNull()).alias("e")
-               .join(frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n")),
-                     (F.col(f"e.{post}") == F.col("__p")) & (F.col(f"e.{parent}") == F.col("__n")))
+        keys = frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n"))
+        if n <= BROADCAST_MAX_ROWS:
+            keys = F.broadcast(keys)
+        nxt = (children.join(keys, (F.col(f"e.{post}") == F.col("__p")) & (F.col(f"e.{parent}") == F.col("__n")))
                .drop("__p", "__n")
                .withColumn(depth_col, F.lit(depth)))
         frontier = cut_lineage(nxt)
