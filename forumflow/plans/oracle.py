@@ -7,6 +7,7 @@ value-hash mismatch.
 
 from __future__ import annotations
 
+from forumflow.functions.urls import MEDIA_REDIRECT_MARKER
 from forumflow.plans.adapters import duck_cte
 from forumflow.plans.proofs import AS_OF, CAP, NAME_MAP, PICK_LIST, TEXT_MAP, URL_ENCODE_STEPS
 
@@ -324,7 +325,7 @@ SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     "url_clean": """
 WITH e AS (SELECT page_id, url FROM pages)
 SELECT page_id, CASE page_id % 3
-  WHEN 0 THEN url_decode(regexp_extract('https://www.reddit.com/media?url=' || """ + _ENC + """ || '&s=abc',
+  WHEN 0 THEN url_decode(regexp_extract('""" + MEDIA_REDIRECT_MARKER + """?url=' || """ + _ENC + """ || '&s=abc',
                                         '=([^&]+)', 1))
   WHEN 1 THEN url_decode(replace(replace(url, '&', '&amp;') || '%20x', '&amp;', '&'))
   ELSE url_decode(url) END AS url

@@ -16,14 +16,14 @@ from pyspark.sql.types import ArrayType, StringType
 from forumflow.functions.entities import decode_entities
 from forumflow.functions.rewrite import rewrite_text
 from forumflow.functions.text import age_years, epoch_seconds, human_count, human_date, shifted_date, strip_all
-from forumflow.functions.urls import clean_url
+from forumflow.functions.urls import MEDIA_REDIRECT_MARKER, clean_url
 from forumflow.operators.assign import assign_capped, candidates_from_positions
 from forumflow.operators.communities import community_columns, eligible, flair_rows, group_by_key
 from forumflow.operators.dedup import distinct_rows, keep_first, keep_last, positional_index, split_by_position
 from forumflow.operators.enrich import seeded_color, seeded_color_pair, seeded_int, seeded_pick, seeded_sample, \
     user_row
 from forumflow.operators.joins import attach_children
-from forumflow.operators.media import classify_media, media_assets, source_flags, POST_DETAIL
+from forumflow.operators.media import DIRECT_IMAGE_HOST, POST_DETAIL, classify_media, media_assets, source_flags
 from forumflow.operators.members import join_members, member_refs, member_set, users_table
 from forumflow.operators.posts import not_deleted, post_columns, request_plan, text_fallback
 from forumflow.operators.threads import flatten_threads, nest_threads, prune_threads, recount_comments, \
@@ -350,7 +350,7 @@ def _asset_payloads(spark: SparkSession, d: str) -> DataFrame:
     meta = F.when(kind == 3, F.create_map(F.concat(F.lit("g"), pid),
                                           F.struct(F.lit("Image").alias("e"), p_items.alias("p"), s_item.alias("s"))))
     url = F.when(kind == 1, F.concat(F.lit("https://out.test/"), pid)).otherwise(
-        F.concat(F.lit("https://i.redd.it/"), pid))
+        F.concat(F.lit(DIRECT_IMAGE_HOST + "/"), pid))
     detail = F.struct(pid.alias("id"), F.concat(F.lit("/r/x/"), pid, F.lit("/")).alias("permalink"),
                       url.alias("url"), F.when(kind == 1, url).alias("url_overridden_by_dest"),
                       (kind == 3).alias("is_gallery"),
@@ -385,7 +385,7 @@ def q_media_multi(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("m"), F.col("ord").cast("string")), val))).alias("mm"))
     pid = F.col("post_id").cast("string")
     detail = F.struct(pid.alias("id"), F.concat(F.lit("/r/x/"), pid).alias("permalink"),
-                      F.concat(F.lit("https://i.redd.it/"), pid).alias("url"), F.lit(False).alias("is_gallery"),
+                      F.concat(F.lit(DIRECT_IMAGE_HOST + "/"), pid).alias("url"), F.lit(False).alias("is_gallery"),
                       F.col("mm").alias("media_metadata"))
     parsed = parse_once(per_post.select("post_id", F.to_json(detail).alias("payload")), "payload", POST_DETAIL,
                         "__detail")
@@ -525,7 +525,7 @@ URL_ENCODE_STEPS = [("%", "%25"), (":", "%3A"), ("/", "%2F"), ("?", "%3F"), ("="
 def q_url_clean(spark: SparkSession, d: str) -> DataFrame:
     pages = _t(spark, d, "pages")
     m = F.col("page_id") % 3
-    enc = (F.when(m == 0, F.concat(F.lit("https://www.reddit.com/media?url="), _url_encode_chain(F.col("url")),
+    enc = (F.when(m == 0, F.concat(F.lit(MEDIA_REDIRECT_MARKER + "?url="), _url_encode_chain(F.col("url")),
                                    F.lit("&s=abc")))
            .when(m == 1, F.concat(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("%20x")))
            .otherwise(F.col("url")))
