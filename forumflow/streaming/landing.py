@@ -2,11 +2,14 @@
 
 The original tool is one batch pass; at scale, clients land envelope JSON
 lines continuously. ``start_landing`` reads them as a file stream, splits
-good payloads from rejects (F6) and appends both to Parquet tables, with the
+good payloads from rejects (F6) and writes both to Parquet tables, with the
 stream's progress in a checkpoint folder below the shared directory, so a
 restarted or relocated driver resumes exactly where it stopped. Each
 micro-batch is plain DataFrame work (no state), so executors can be lost at
-any time: the batch is re-run from its recorded offsets.
+any time: the batch is re-run from its recorded offsets. Writes are
+idempotent per batch - each batch owns its ``batch_id`` partition and a
+replay overwrites it (dynamic partition overwrite) instead of appending a
+second copy.
 
 ``landing_health`` keeps a running (endpoint, ok) count as a stateful
 streaming aggregate for monitoring.
@@ -27,19 +30,22 @@ def read_landing_stream(spark: SparkSession, path: str, max_files_per_trigger: i
             .json(path))
 
 
+def write_landing_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    """One micro-batch: good envelopes to ``out/envelopes`` (by batch and
+    endpoint), failures to ``out/rejects``; a replayed batch id overwrites
+    its own partitions only."""
+    ok, rejects = split_envelopes(batch)
+    for df, sub, parts in ((ok, "envelopes", ["batch_id", "endpoint"]), (rejects, "rejects", ["batch_id"])):
+        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{out}/{sub}"))
+
+
 def start_landing(spark: SparkSession, landing: str, out: str, name: str = "landing",
                   trigger_available_now: bool = False) -> StreamingQuery:
-    """Append good envelopes to ``out/envelopes`` (partitioned by endpoint)
-    and failures to ``out/rejects``."""
+    """Land good envelopes in ``out/envelopes`` and failures in ``out/rejects``."""
     ckpt = f"{shared_dir(spark).rstrip('/')}/streams/{name}"
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ok, rejects = split_envelopes(batch)
-        (ok.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
-         .partitionBy("endpoint").parquet(f"{out}/envelopes"))
-        rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out}/rejects")
-
-    w = (read_landing_stream(spark, landing).writeStream.foreachBatch(write_batch)
+    w = (read_landing_stream(spark, landing).writeStream
+         .foreachBatch(lambda batch, batch_id: write_landing_batch(batch, batch_id, out))
          .option("checkpointLocation", ckpt).queryName(name))
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="30 seconds")
     return w.start()

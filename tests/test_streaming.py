@@ -32,3 +32,16 @@ def test_landing_stream_resumes(spark):
     h.awaitTermination(120)
     got = sorted((r.endpoint, r.ok, r.n) for r in spark.table("t_health").collect())
     assert got == [("moderators", True, 1), ("rules", False, 1), ("rules", True, 1)]
+
+
+def test_batch_replay_is_idempotent(spark):
+    from forumflow.streaming.landing import write_landing_batch
+    out = tempfile.mkdtemp(prefix="ff-idem-")
+    batch = spark.createDataFrame([("rules", "k1", "{}", (200, True, None)), ("rules", "k2", None, (500, False, "x"))],
+                                  "endpoint string, key string, payload string, "
+                                  "result_state struct<status_code:int,success:boolean,error:string>")
+    write_landing_batch(batch, 6, out)
+    for _ in range(2):  # batch 7 is replayed after a failure
+        write_landing_batch(batch, 7, out)
+    assert spark.read.parquet(f"{out}/envelopes").count() == 2     # one row per batch id
+    assert spark.read.parquet(f"{out}/rejects").count() == 2
