@@ -27,12 +27,22 @@ def _ci_glob(word: str) -> str:
 
 def read_datasets(spark: SparkSession, root: str, kind: str, fmt: str = "parquet") -> DataFrame:
     """Rows of every dataset of ``kind`` below ``root`` with ``from_set``
-    (the dataset directory), ``src_file`` and ``src_row`` (first-wins order)."""
+    (the dataset directory), ``src_file`` and ``src_row`` (first-wins order).
+
+    Parquet gives the row position in the file (``_metadata.row_index``).
+    For other formats the position is (start of the file split, row id):
+    a split's rows are read in order by one task, so the pair orders rows
+    within a file without a global numbering."""
     path = f"{root.rstrip('/')}/*/*{_ci_glob(kind)}*"
     df = spark.read.format(fmt).load(path)
     meta = F.col("_metadata")
     cols = [F.col(c) for c in df.columns]
+    if fmt == "parquet":
+        pos = meta.getField("row_index")
+    else:
+        pos = F.struct(meta.getField("file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("row"))
     return df.select(*cols,
                      F.regexp_extract(meta.getField("file_path"), r"/([^/]+)/[^/]+/[^/]+$", 1).alias("from_set"),
                      meta.getField("file_path").alias("src_file"),
-                     meta.getField("row_index").alias("src_row"))
+                     pos.alias("src_row"))

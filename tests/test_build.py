@@ -207,3 +207,17 @@ def test_merge_original_layout(spark):
         ("v/tech", "reddit", "no voxpopuli")
     assert sorted(r.body for r in m["comments"].collect()) == ["see v/pics", "voxsphere"]
     assert sorted(r.topic for r in m["topics"].collect()) == ["art", "tech"]
+
+
+def test_read_datasets_json_lines_first_wins(spark):
+    from forumflow.operators.dedup import keep_first
+    from forumflow.sources.datasets import read_datasets
+    root = tempfile.mkdtemp(prefix="ff-jsonds-")
+    for name, rows in (("a", [("1", "first"), ("1", "second"), ("2", "x")]), ("b", [("1", "third")])):
+        os.makedirs(f"{root}/{name}/posts")
+        with open(f"{root}/{name}/posts/part-0.json", "w") as f:
+            for i, t in rows:
+                f.write(json.dumps({"id": i, "title": t}) + "\n")
+    rows = read_datasets(spark, root, "posts", fmt="json")
+    got = {r.id: r.title for r in keep_first(rows, ["id"], ["src_file", "src_row"]).collect()}
+    assert got == {"1": "first", "2": "x"}
