@@ -270,7 +270,8 @@ def merge_original_datasets(spark: SparkSession, root: str, out: str | None, map
         try:
             if kind == "communities":
                 rows = read_communities_map(spark, glob(kind))
-                rows = with_order(rows).withColumn("__pos", F.col("ord"))
+                # file order: topics in map order, then list position
+                rows = with_order(rows).withColumn("__pos", F.struct("topic_pos", "ord")).drop("topic_pos")
             elif kind == "topics":
                 rows = read_topics(spark, glob(kind)).select("topic")
             else:

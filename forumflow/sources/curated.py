@@ -57,12 +57,14 @@ ARRAY_SCHEMAS = {"posts": POST, "users": USER, "awards": AWARD, "trophies": TROP
 
 def read_communities_map(spark: SparkSession, path: str) -> DataFrame:
     """``{topic: [community, ...]}`` files -> one row per community, with
-    ``topic`` taken from the map key and ``ord`` its position in the list."""
+    ``topic`` taken from the map key, ``topic_pos`` the key's position in
+    the file (map order is kept) and ``ord`` the position in its list."""
     m = F.from_json(F.col("value"), MapType(StringType(), ArrayType(COMMUNITY)))
     return (spark.read.text(path, wholetext=True)
-            .select(F.explode(m).alias("__topic", "__list"))
-            .select("__topic", F.posexplode("__list").alias("ord", "__c"))
-            .select("__c.*", F.col("__topic").alias("__map_topic"), F.col("ord").cast("bigint").alias("ord"))
+            .select(F.posexplode(m).alias("topic_pos", "__topic", "__list"))
+            .select("topic_pos", "__topic", F.posexplode("__list").alias("ord", "__c"))
+            .select("__c.*", F.col("__topic").alias("__map_topic"), F.col("topic_pos").cast("bigint").alias("topic_pos"),
+                    F.col("ord").cast("bigint").alias("ord"))
             .withColumn("topic", F.coalesce(F.col("topic"), F.col("__map_topic"))).drop("__map_topic"))
 
 

@@ -189,7 +189,8 @@ def test_merge_original_layout(spark):
         ("d1", [{"id": "p1", "title": "Reddit news", "author": "a",
                  "comments": [{"author": "x", "body": "see r/pics", "author_flair_text": "reddit fan",
                                "replies": [{"author": "y", "body": "SubReddit", "replies": []}]}]}],
-         {"tech": [{"id": "c1", "title": "r/tech", "rules": [{"short_name": "reddit", "description": "no reddit"}]}]}),
+         {"zeta": [{"id": "c1", "title": "r/tech", "rules": [{"short_name": "reddit", "description": "no reddit"}]}],
+          "tech": [{"id": "c1", "title": "later in the same file"}]}),
         ("d2", [{"id": "p1", "title": "dup"}, {"id": "", "title": "blank"}, {"id": "p2", "title": "two"}],
          {"tech": [{"id": "c1", "title": "dup"}], "art": [{"id": "c2", "title": "r/art"}]}),
     ):
