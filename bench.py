@@ -39,13 +39,20 @@ def main() -> None:
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
     names = only or list(QUERIES)
     warm = os.path.join(os.path.dirname(sf_dir), "sf0.001")
+    failed = {}
     if os.path.isdir(warm):
         for n in names:
-            run_once(spark, QUERIES[n], warm)
+            try:
+                run_once(spark, QUERIES[n], warm)
+            except Exception as e:  # noqa: BLE001 - reported below, the run goes on
+                failed[n] = f"warm-up: {type(e).__name__}"
     per_query = {}
     for n in names:
-        times = [run_once(spark, QUERIES[n], sf_dir) for _ in range(repeat)]
-        per_query[n] = round(statistics.median(times), 3)
+        try:
+            times = [run_once(spark, QUERIES[n], sf_dir) for _ in range(repeat)]
+            per_query[n] = round(statistics.median(times), 3)
+        except Exception as e:  # noqa: BLE001
+            failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
         "metric": "total_median_sec",
@@ -57,6 +64,8 @@ def main() -> None:
         "repeat": repeat,
         "spark": spark.version,
     }
+    if failed:
+        out["failed"] = failed
     spark.stop()
     print(json.dumps(out))
 
