@@ -178,3 +178,11 @@ def test_thread_levels_rejects_cycles(spark):
     edges = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 1, 1)], "post int, node int, parent int")
     with pytest.raises(ValueError):
         thread_levels(edges, "post", "node", "parent", max_depth=6)
+
+
+def test_top_k_newest_first(spark):
+    posts = spark.createDataFrame([("c", "a", 1, 10.0), ("c", "b", 1, 30.0), ("c", "d", 1, 30.0), ("c", "e", 1, 20.0)],
+                                  "g string, id string, ups long, created_utc double")
+    reqs = spark.createDataFrame([("c", 3)], "g string, k int")
+    got = [(r.id, r.rn) for r in top_k_per_group(posts, reqs, "g", "k", sort_order("new")).orderBy("rn").collect()]
+    assert got == [("b", 1), ("d", 2), ("e", 3)]

@@ -226,3 +226,14 @@ def test_html_sections(spark):
                            item_group=1, strip_token="title-")
     got = {r.section: list(r["items"]) for r in out.collect()}
     assert got == {"Games": ["Poker"], "Empty": []}
+
+
+def test_flatten_without_partial_json_results(spark):
+    art = spark.createDataFrame([("p1", json.dumps(ROOTS))], "post string, roots string")
+    want = sorted((r.post_id, tuple(r.path), r.depth) for r in flatten_threads(art, "post", "roots").collect())
+    spark.conf.set("spark.sql.json.enablePartialResults", "false")
+    try:
+        got = sorted((r.post_id, tuple(r.path), r.depth) for r in flatten_threads(art, "post", "roots").collect())
+    finally:
+        spark.conf.set("spark.sql.json.enablePartialResults", "true")
+    assert got == want and len(got) == 17
