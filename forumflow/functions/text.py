@@ -16,12 +16,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def blank_to_null(c) -> Column:
-    """C17 for strings: NULL when missing or ''."""
-    c = _c(c)
-    return F.when(c != F.lit(""), c)
-
-
 def is_nonblank(c) -> Column:
     return F.coalesce(_c(c) != F.lit(""), F.lit(False))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumflow.functions.entities import decode_entities, decode_entities_native
-from forumflow.functions.text import strip_all
+from forumflow.functions.text import strip_all, strip_newlines
 from forumflow.operators.dedup import keep_last
 
 ANCHOR_RE = r'<a href="([^"]*)">([^<]*)</a>'
@@ -36,10 +36,11 @@ def extract_table_rows(df: DataFrame, id_col: str, html_col: str, scheme: str |
                        two_line: bool = False) -> DataFrame:
     """Table rows that hold an image.
 
-    * awards (``two_line=False``): title = text of the first ``<p>``;
-    * trophies (``two_line=True``): the row text split on newlines, title =
-      line 0, description = line 1, else line 0 (C14); ``scheme`` is
-      prefixed to the image link (C15, 'https:').
+    * awards (``two_line=False``): title = text of the first ``<p>``, as is;
+    * trophies (``two_line=True``): the row text with leading and trailing
+      newlines stripped (C13), split on newlines; title = line 0,
+      description = line 1 if there is one (even if empty), else line 0
+      (C14); ``scheme`` is prefixed to the image link (C15, 'https:').
     Output: (id, ord, title, description, image_link).
     """
     rows = (df.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ROW_RE), 1))
@@ -53,12 +54,11 @@ def extract_table_rows(df: DataFrame, id_col: str, html_col: str, scheme: str |
     rows = rows.withColumn("__txt", F.regexp_replace(cell, TAG_RE, ""))
     rows = rows.withColumn("__txt", decode_entities(F.col("__txt")))
     if two_line:
-        txt = F.regexp_replace(F.col("__txt"), r"^\s+|\s+$", "")
-        lines = F.filter(F.transform(F.split(txt, r"\n"), lambda s: F.trim(s)), lambda s: s != "")
+        lines = F.split(strip_newlines(F.col("__txt")), r"\n")
         title = F.coalesce(F.get(lines, 0), F.lit(""))
         desc = F.coalesce(F.get(lines, 1), title)
     else:
-        title = F.trim(F.col("__txt"))
+        title = F.col("__txt")
         desc = F.lit(None).cast("string")
     return rows.select(F.col(id_col), F.col("ord").cast("bigint").alias("ord"), title.alias("title"),
                        desc.alias("description"), link.alias("image_link"))

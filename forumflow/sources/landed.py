@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType,
                                StringType, StructField, StructType)
 
-from forumflow.operators.threads import COMMENT_LIST
 from forumflow.operators.media import POST_DETAIL
 
 RESULT_STATE = StructType([
@@ -195,6 +194,3 @@ def split_article(df: DataFrame, payload: str = "payload") -> DataFrame:
                     detail.alias("__detail"), roots.alias("__roots"))
     return parts.select("*", F.inline(F.array(both))).drop("__parts")
 
-
-def comment_roots(df: DataFrame, roots_col: str = "__roots") -> Column:
-    return F.from_json(F.col(roots_col), COMMENT_LIST)

@@ -202,7 +202,12 @@ TABLE_HTML = """<table><tr><td><img src="//img/a.png"></td><td><p>Gold &amp; Co<
 <tr><td>no image</td></tr>
 <tr><td><img alt="t" src="//img/b.png"></td><td>Verified
 Email</td></tr>
-<tr><td><img src="//img/c.png"></td><td>Solo</td></tr></table>"""
+<tr><td><img src="//img/c.png"></td><td>Solo</td></tr>
+<tr><td><img src="//img/d.png"></td><td>
+Head
+
+Tail
+</td></tr></table>"""
 
 
 def test_html_table_rows(spark):
@@ -210,9 +215,10 @@ def test_html_table_rows(spark):
     awards = extract_table_rows(df, "id", "html").collect()
     assert [(r.title, r.image_link) for r in awards][:1] == [("Gold & Co", "//img/a.png")]
     trophies = extract_table_rows(df, "id", "html", scheme="https:", two_line=True).collect()
+    # lines are kept as they are: an empty second line is the description
     assert [(r.title, r.description, r.image_link) for r in trophies] == [
         ("Gold & Co", "Gold & Co", "https://img/a.png"), ("Verified", "Email", "https://img/b.png"),
-        ("Solo", "Solo", "https://img/c.png")]
+        ("Solo", "Solo", "https://img/c.png"), ("Head", "", "https://img/d.png")]
 
 
 SECTIONS_HTML = ('<i data-topic="early"></i><h aria-labelledby="title-Games"></h><i data-topic="Chess"></i>'
