@@ -238,13 +238,15 @@ def _join_json(arr: str) -> Column:
 
 
 def nest_threads(nodes: DataFrame, post: str, node: str, parent: str, order: str, depth: str,
-                 kind: Column, data_cols: list[Column]) -> DataFrame:
+                 kind: Column, data_cols: list[Column], checkpoint_every: int = 3) -> DataFrame:
     """Rebuild nesting bottom-up. Returns (post, roots_json): the JSON
     array of root nodes, siblings in ``order``.
 
     Each level groups the children by (post, parent) - one group per parent
     node - and joins them to their parent. Only for the JSON sink, where one
-    post's tree is one record by definition of the format.
+    post's tree is one record by definition of the format. Each level's
+    output is consumed once by the next, so only every ``checkpoint_every``-th
+    level is checkpointed to keep the plan and any recomputation short.
     """
     max_depth = nodes.agg(F.max(depth)).first()[0]
     data = F.struct(*data_cols, F.lit("").alias("replies"))
@@ -263,10 +265,11 @@ def nest_threads(nodes: DataFrame, post: str, node: str, parent: str, order: str
         if d == 1:
             return (lv.groupBy(post).agg(sib)
                     .select(post, F.concat(F.lit("["), _join_json("__kids"), F.lit("]")).alias("roots_json")))
-        child_json = cut_lineage(
-            lv.groupBy(post, F.col(parent).alias(node)).agg(sib)
-            .select(post, node, F.concat(F.lit('{"kind":"Listing","data":{"children":['),
-                                         _join_json("__kids"), F.lit("]}}")).alias("__replies")))
+        child_json = (lv.groupBy(post, F.col(parent).alias(node)).agg(sib)
+                      .select(post, node, F.concat(F.lit('{"kind":"Listing","data":{"children":['),
+                                                   _join_json("__kids"), F.lit("]}}")).alias("__replies")))
+        if (max_depth - d) % checkpoint_every == checkpoint_every - 1:
+            child_json = cut_lineage(child_json)
     raise AssertionError("unreachable")
 
 
