@@ -205,7 +205,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, block_rows: in
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     first = min(tops)
     columns = ["q_dim", "q_ids", "q_vecs", "bounds", "dim", "ids", "vecs"]
-    seed = (packed.withColumn("bounds", F.lit(None).cast("binary")).withColumn("bucket", F.lit(first))
+    seed = (packed.withColumn("bounds", F.lit(None).cast("binary")).withColumn("bucket", F.explode(F.array(F.lit(first))))
             .join(blocks, "bucket").select("qb", *columns))
     seeded = staged(_with_block(seed, _search(k, coordinate_from)), "topk-seed")
     bounded = packed.groupBy("qb").cogroup(seeded.groupBy("qb")).applyInArrow(
