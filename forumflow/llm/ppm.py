@@ -18,8 +18,8 @@ counts. Keys are summed over all chunks, valued, and joined back to the chunks
 that hold them; a chunk is then scored with its own dictionary, which its text
 bounds.
 
-Words are 64-bit hashes in these tables (a collision of two of V words has a
-probability of about V^2 / 4e19). Counts cover all training documents: those
+Words are 63-bit hashes in these tables (a collision of two of V words has a
+probability of about V^2 / 2e19). Counts cover all training documents: those
 whose crc32(doc_id) mod 5 is not 1.
 
 Defined results: null counts as the empty text (its end is still scored); repeated
@@ -44,11 +44,10 @@ from forumflow.llm.common import doc_text, id_crc32, staged
 END, SYMBOLS, BITS = 256, 257, 9
 ORDER, CHUNK_BYTES = 4, 16 << 20
 #: Positions coded at once.
-SLICE = 1 << 22
-DOCS, GRAM, WORD = 0, 1, 2
-_ROWS = "chunk bigint, kind int, key bigint, n bigint, payload binary"
-_ROWS_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()),
-                         ("payload", pa.binary())])
+SLICE = 1 << 20
+#: A row holds a chunk's documents (a payload) or a key with its count: codes are >= 0, word hashes < 0.
+_ROWS = "chunk bigint, key bigint, n bigint, payload binary"
+_ROWS_ARROW = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 _DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary())])
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -59,8 +58,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def word_key(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >= 1 << 63 else h
+    return (xxhash.xxh64_intdigest(word) >> 1) - (1 << 63)
 
 
 def _symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,12 +147,11 @@ def chunk_rows(docs: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
             counts.setdefault(w, 0)
         grams, n = gram_counts(texts, train, order)
         words = np.fromiter(map(word_key, counts), np.int64, len(counts))
-        for kind, keys, values, load in ((DOCS, np.zeros(1, np.int64), np.array([int(train.sum())]), payload),
-                                         (GRAM, grams, n, None),
-                                         (WORD, words, np.fromiter(counts.values(), np.int64, len(counts)), None)):
+        for keys, values, load in ((np.zeros(1, np.int64), np.array([int(train.sum())]), payload), (grams, n, None),
+                                   (words, np.fromiter(counts.values(), np.int64, len(counts)), None)):
             k = len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk, np.int64)), pa.array(np.full(k, kind, np.int32)), pa.array(keys.astype(np.int64)),
+                [pa.array(np.full(k, chunk, np.int64)), pa.array(keys.astype(np.int64)),
                  pa.array(values.astype(np.int64)), pa.array([load], pa.binary()) if load else pa.nulls(k, pa.binary())],
                 schema=_ROWS_ARROW)
 
@@ -208,39 +205,43 @@ def code_lengths(grams: DataFrame, order: int) -> DataFrame:
 def score_texts(docs: DataFrame, *, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     rows = staged(chunk_rows(docs, order, chunk_bytes), "ppm-chunks")
-    n_train = rows.where(F.col("kind") == DOCS).agg(F.sum("n")).first()[0] or 0
-    counts = staged(rows.where(F.col("kind") != DOCS).groupBy("kind", "key").agg(F.sum("n").alias("c")), "ppm-counts")
-    is_word = F.col("kind") == WORD
+    packed, keyed = F.col("payload").isNotNull(), F.col("payload").isNull()
+    n_train = rows.where(packed).agg(F.sum("n")).first()[0] or 0
+    counts = staged(rows.where(keyed).groupBy("key").agg(F.sum("n").alias("c")), "ppm-counts")
+    is_word = F.col("key") < 0
     total = counts.where(is_word).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_tokens = (total.n or 0) + n_train                          # every training document has one end token
     vocabulary = total.v + (n_train > 0)
-    grams = code_lengths(counts.where(F.col("kind") == GRAM).select("key", "c"), order)
-    values = (grams.select(F.lit(GRAM).alias("kind"), "key", "value")
-              .unionByName(counts.where(is_word).select("kind", "key", F.col("c").cast("double").alias("value"))))
-    known = (rows.where(F.col("kind") != DOCS).select("chunk", "kind", "key")
-             .join(values, ["kind", "key"]).select("chunk", "kind", "key", "value"))
-    texts = rows.where(F.col("kind") == DOCS).select(F.col("chunk").alias("doc_chunk"), "payload")
+    grams = code_lengths(counts.where(~is_word), order)
+    values = grams.select("key", "value").unionByName(counts.where(is_word).select("key", F.col("c").cast("double").alias("value")))
+    known = rows.where(keyed).select("chunk", "key").join(values, "key").select("chunk", "key", "value")
+    texts = rows.where(packed).select(F.col("chunk").alias("doc_chunk"), "payload")
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     space = n_tokens + 0.5 * (vocabulary + 1)
 
     def score(left, right):
-        kind, key, value = (right.column(c).to_numpy() for c in ("kind", "key", "value"))
-        gram = kind == GRAM
+        key, value = (right.column(c).to_numpy() for c in ("key", "value"))
+        gram = key >= 0
         grams_of, lengths = key[gram], value[gram]
-        found = dict(zip(key[~gram].tolist(), value[~gram].tolist()))
+        words_of = key[~gram]
+        by_key = np.argsort(words_of)
+        words_of, counts_of = words_of[by_key], value[~gram][by_key]
         log = lambda c: math.log10((c + 0.5) / space)
         done = []
         for payload in left.column("payload").to_pylist():
             docs_of = pa.ipc.open_stream(payload).read_all()
             ids, held, texts_of = (docs_of.column(i).to_pylist() for i in range(3))
-            split = [tokens(t) for t in texts_of]
-            vocabulary_of = set().union(*split)
-            count = {w: found.get(word_key(w), 0.0) for w in vocabulary_of}
-            logs = {w: log(c) for w, c in count.items()}
-            unknown = {w for w, c in count.items() if not c}
+            logs: dict[bytes, float] = {}                        # the chunk's words; texts are split one at a time
+            for t in texts_of:
+                logs.update(dict.fromkeys(tokens(t)))
+            at = np.searchsorted(words_of, np.fromiter(map(word_key, logs), np.int64, len(logs)))
+            c = counts_of[at]                                    # every word of a chunk has a row
+            unknown = {w for w, n in zip(logs, c) if not n}
+            logs = dict(zip(logs, np.log10((c + 0.5) / space).tolist()))
             sums = gram_sums(texts_of, grams_of, lengths, order)
-            for i, h, w, s in zip(ids, held, split, sums.tolist()):
+            for i, h, t, s in zip(ids, held, texts_of, sums.tolist()):
+                w = tokens(t)
                 n_known = len(w) - (sum(map(unknown.__contains__, w)) if unknown else 0) + (n_train > 0)
                 done.append((i, h, len(w) + 1, n_known, n_tokens, math.fsum(map(logs.__getitem__, w)) + log(n_train), s))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)] if done else
