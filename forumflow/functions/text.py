@@ -85,17 +85,23 @@ def human_count(n) -> Column:
     """
     v = _c(n).cast("decimal(20,0)")
     scaled = [
-        (F.lit(10 ** 12), "T"),
-        (F.lit(10 ** 9), "B"),
-        (F.lit(10 ** 6), "M"),
-        (F.lit(10 ** 3), "K"),
+        (10 ** 12, "T"),
+        (10 ** 9, "B"),
+        (10 ** 6, "M"),
+        (10 ** 3, "K"),
     ]
     out = v.cast("string")
     expr = None
     absval = F.abs(v)
     for div, suffix in scaled:
-        txt = F.concat(_trim_decimal(F.bround(v.cast("decimal(38,6)") / div.cast("decimal(20,0)"), 2)
-                                     .cast("decimal(38,2)").cast("string")), F.lit(suffix))
+        # hundredths by exact division, half-even on the exact remainder
+        unit = F.lit(div // 100).cast("decimal(20,0)")
+        rest = absval % unit
+        low = ((absval - rest) / unit).cast("decimal(20,0)")
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
+        hundredths = F.when(up, low + 1).otherwise(low) * F.when(v < 0, -1).otherwise(1)
+        txt = F.concat(_trim_decimal((hundredths.cast("decimal(20,0)") / F.lit(100)).cast("decimal(38,2)").cast("string")),
+                       F.lit(suffix))
         expr = (F.when(absval >= div, txt) if expr is None else expr.when(absval >= div, txt))
     expr = expr.otherwise(out)
     return F.when(F.coalesce(v, F.lit(0)) == 0, F.lit("")).otherwise(expr)

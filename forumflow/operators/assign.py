@@ -27,6 +27,8 @@ at most that many narrow anti-joins are recomputed.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from forumflow.session import cut_lineage
 
 
 def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos: str,
-                  cap: int, max_rounds: int = 1000, checkpoint_every: int = 8) -> DataFrame:
+                  cap: int, checkpoint_every: int = 8) -> DataFrame:
     """cands: (group, group_order, item, pos), one row per (group, item).
 
     Returns (group, group_order, item, pos) for the accepted pairs.
@@ -44,7 +46,7 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
     cur = cut_lineage(cands.select(group, group_order, item, pos))
     by_group = Window.partitionBy(group).orderBy(F.col(pos), F.col(item))
     by_item = Window.partitionBy(item)
-    for r in range(1, max_rounds + 1):
+    for r in count(1):  # every round rejects at least one pair for good, so the loop ends
         proposals = (cur.withColumn("__rn", F.row_number().over(by_group))
                      .where(F.col("__rn") <= cap).drop("__rn"))
         marked = proposals.withColumn("__best", F.min(group_order).over(by_item))
@@ -57,7 +59,6 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
         cur = cur.join(F.broadcast(rejected) if n <= BROADCAST_MAX_ROWS else rejected, [group, item], "left_anti")
         if r % checkpoint_every == 0:
             cur = cut_lineage(cur)
-    raise RuntimeError("assign_capped did not converge")
 
 
 def candidates_from_positions(df: DataFrame, group: str, item: str, order_col: str) -> DataFrame:

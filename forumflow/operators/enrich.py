@@ -50,18 +50,20 @@ def seeded_color_pair(key, salt1: str, salt2: str) -> tuple[Column, Column]:
 
 
 def seeded_sample(df: DataFrame, key: str, catalog: DataFrame, item_index: str, k: Column,
-                  salt: str, out_col: str = "picks", max_k: int = 3,
+                  salt: str, out_col: str = "picks", max_k: int | None = None,
                   broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """X4 + J8: ``k`` distinct catalog items per key, no cross join.
+    """X4 + J8: ``k`` distinct catalog items per row, no cross join.
 
     The catalog carries a dense 0-based ``item_index``. Slot j (j < k) of a
-    key takes index ``(start + j) mod n`` with a seeded start, so the picks
-    are distinct whenever k <= n; k is capped at n (the reference raises
-    there).
-
-    A catalog within the size bound is broadcast once per slot: ``max_k``
-    broadcast hash joins, the big side is never shuffled. A larger catalog
-    falls back to slot rows joined on the index and regrouped per key.
+    row takes index ``(start + j) mod n`` with a start seeded by the key, so
+    the picks are distinct whenever k <= n; k is capped at n (the reference
+    raises there).
+
+    One join per slot, for as many slots as the largest k asks for (``max_k``
+    states that bound and saves the aggregate; a row beyond it is an error).
+    Rows are never regrouped, so repeated keys keep their own rows. A catalog
+    within the size bound is broadcast; a larger one is joined by index, with
+    the same rows.
     """
     n = catalog.count()
     item_cols = [c for c in catalog.columns if c != item_index]
@@ -69,33 +71,27 @@ def seeded_sample(df: DataFrame, key: str, catalog: DataFrame, item_index: str,
     if n == 0:
         return df.withColumn(out_col, F.array().cast(item_type))
     kk = F.least(k, F.lit(n))
-    start = seed32(F.col(key), salt)
+    n_slots = max_k
+    if max_k is None:
+        n_slots = df.agg(F.max(kk).alias("m")).first()["m"] or 0
+    else:
+        kk = F.when(k > max_k, F.raise_error(F.lit(f"k is over max_k = {max_k}")).cast("int")).otherwise(kk)
+    if n_slots <= 0:
+        return df.withColumn(out_col, F.array().cast(item_type))
+    cat = catalog.select(F.col(item_index).alias("__ci"), F.struct(*item_cols).alias("__item"))
     if n <= broadcast_max_rows:
-        cat = F.broadcast(catalog.select(F.col(item_index).alias("__ci"),
-                                         F.struct(*item_cols).alias("__item")))
-        out = df.withColumn("__k", kk).withColumn("__start", start)
-        slots = []
-        for j in range(max_k):
-            idx = F.when(F.lit(j) < F.col("__k"), F.pmod(F.col("__start") + F.lit(j), F.lit(n)))
-            out = (out.withColumn(f"__i{j}", idx.cast("bigint"))
-                   .join(cat.withColumnRenamed("__ci", f"__c{j}").withColumnRenamed("__item", f"__p{j}"),
-                         F.col(f"__i{j}") == F.col(f"__c{j}"), "left")
-                   .drop(f"__i{j}", f"__c{j}"))
-            slots.append(F.col(f"__p{j}"))
-        picks = F.filter(F.array(*slots), lambda x: x.isNotNull())
-        return (out.withColumn(out_col, picks)
-                .drop("__k", "__start", *[f"__p{j}" for j in range(max_k)]))
-    slots = (df.select(key, kk.alias("__k"), start.alias("__start"))
-             .withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(max_k - 1))))
-             .where(F.col("__j") < F.col("__k"))
-             .withColumn("__idx", F.pmod(F.col("__start") + F.col("__j"), F.lit(n)).cast("bigint")))
-    picked = (slots.join(catalog.withColumnRenamed(item_index, "__idx"), "__idx")
-              .groupBy(key)
-              .agg(F.array_sort(F.collect_list(F.struct("__j", *item_cols))).alias("__p")))
-    picked = picked.select(key, F.transform("__p", lambda x: F.struct(*[x.getField(c).alias(c) for c in item_cols]))
-                           .alias(out_col))
-    return df.join(picked, key, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast(item_type)))
+        cat = F.broadcast(cat)
+    out = df.withColumn("__k", kk).withColumn("__start", seed32(F.col(key), salt))
+    slots = []
+    for j in range(n_slots):
+        idx = F.when(F.lit(j) < F.col("__k"), F.pmod(F.col("__start") + F.lit(j), F.lit(n)))
+        out = (out.withColumn(f"__i{j}", idx.cast("bigint"))
+               .join(cat.withColumnRenamed("__ci", f"__c{j}").withColumnRenamed("__item", f"__p{j}"),
+                     F.col(f"__i{j}") == F.col(f"__c{j}"), "left")
+               .drop(f"__i{j}", f"__c{j}"))
+        slots.append(F.col(f"__p{j}"))
+    return (out.withColumn(out_col, F.filter(F.array(*slots), lambda x: x.isNotNull()))
+            .drop("__k", "__start", *[f"__p{j}" for j in range(n_slots)]))
 
 
 def user_row(id_col: str, name_col: str, enrich: bool = False, as_of: int = 1_800_000_000) -> list[Column]:

@@ -125,8 +125,10 @@ def _multi_item(v: str, nm: _Names) -> str:
     x = nm("p")
     e = f"coalesce({v}.e, '')"
     p_res = f"transform(coalesce({v}.p, array()), {x} -> {_res(f'{x}.y', f'{x}.x', f'{x}.u')})"
-    img = f"CASE WHEN {v}.s IS NOT NULL THEN concat({p_res}, array({_res(f'{v}.s.y', f'{v}.s.x', f'{v}.s.u')})) ELSE {p_res} END"
-    gif = f"CASE WHEN {v}.s IS NOT NULL THEN concat({p_res}, array({_res(f'{v}.s.y', f'{v}.s.x', f'{v}.s.gif')})) ELSE {p_res} END"
+    # an empty source object counts as none
+    has = " OR ".join(f"{v}.s.{f} IS NOT NULL" for f in ("y", "x", "u", "gif"))
+    img = f"CASE WHEN {has} THEN concat({p_res}, array({_res(f'{v}.s.y', f'{v}.s.x', f'{v}.s.u')})) ELSE {p_res} END"
+    gif = f"CASE WHEN {has} THEN concat({p_res}, array({_res(f'{v}.s.y', f'{v}.s.x', f'{v}.s.gif')})) ELSE {p_res} END"
     is_vid = f"{e} = 'RedditVideo'"
     return (f"named_struct("
             f"'_type', CASE {e} WHEN 'Image' THEN 'image' WHEN 'AnimatedImage' THEN 'gif' WHEN 'RedditVideo' THEN 'video' END, "
@@ -233,8 +235,9 @@ def media_assets(df: DataFrame, post_id_col: str, media_col: str = "media") -> D
     gallery = (f"flatten(transform({m}.gallery.images, ({a}, {j}) -> transform({a}, ({r}, {i}) -> "
                f"{row(j, r, i, f'(coalesce(get(`__gal_src`, {j}), false) AND {i} = size({a}) - 1)')})))")
     x, j2, r2, i2, f = nm("x"), nm("j"), nm("r"), nm("i"), nm("f")
-    multi = (f"flatten(transform(filter({m}.multi, {f} -> {f}.resolutions IS NOT NULL), ({x}, {j2}) -> "
-             f"transform({x}.resolutions, ({r2}, {i2}) -> {row(j2, r2, i2, 'false')})))")
+    # positions are those in ``multi``: numbered before entries without resolutions go
+    multi = (f"flatten(filter(transform({m}.multi, ({x}, {j2}) -> "
+             f"transform({x}.resolutions, ({r2}, {i2}) -> {row(j2, r2, i2, 'false')})), {f} -> {f} IS NOT NULL))")
     items = (f"CASE {t} WHEN 'link' THEN {single(f'{m}.link.image.resolutions', '`__src_flag`')} "
              f"WHEN 'image' THEN {single(f'{m}.image.resolutions', '`__src_flag`')} "
              f"WHEN 'gif' THEN {single(f'{m}.gif.resolutions', 'false')} "

@@ -37,12 +37,13 @@ def join_members(communities: DataFrame, moderators: DataFrame, observed: DataFr
 
     Per community: moderators first, then observed users; one entry per
     *name*, the first one wins (moderator over member, then list order).
-    Observed users of unknown communities are dropped (inner join, J1).
+    Moderators and observed users of unknown communities are dropped (J1).
     Inputs: moderators/observed (community_id, user_id, name, ord).
     Output: (community_id, user_id, name, is_moderator).
     """
     known = communities.select(F.col(community_key).alias("community_id")).distinct()
     mods = moderators.select("community_id", "user_id", "name", "ord").withColumn("__prio", F.lit(0))
+    mods = mods.join(known, "community_id", "left_semi")
     seen = (observed.select("community_id", "user_id", "name", "ord")
             .join(known, "community_id", "left_semi")
             .withColumn("__prio", F.lit(1)))

@@ -48,7 +48,7 @@ DELETED = "[deleted]"
 # --------------------------------------------------------------------------
 
 def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
-                  keep: Column | None = None, depth_col: str = "depth", max_depth: int = 100_000) -> DataFrame:
+                  keep: Column | None = None, depth_col: str = "depth", max_depth: int | None = None) -> DataFrame:
     """Root-down walk: every reachable node with its depth (roots = 1).
 
     ``keep`` (a boolean Column over ``edges``) prunes the subtree below any
@@ -77,7 +77,7 @@ def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
         if n == 0:
             break
         depth += 1
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             raise ValueError(f"thread deeper than {max_depth} levels: a parent cycle in the edge table?")
         keys = frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n"))
         if n <= BROADCAST_MAX_ROWS:

@@ -90,8 +90,8 @@ def build_communities(spark: SparkSession, env: DataFrame, topics: DataFrame, re
     """Entry 1. On-demand communities first (exempt from the cap), then each
     topic in code-point order takes its first N eligible, not-yet-taken
     search results (W3)."""
-    # on-demand: about payload per requested title (F4 on title only here)
-    req = requests.where(is_nonblank("title")).select("title", "topic", "ord")
+    # on-demand: about payload per requested title (F4: title and topic)
+    req = requests.where(is_nonblank("title") & is_nonblank("topic")).select("title", "topic", "ord")
     about = parse_community_about(_ok(env, "community_about")).join(
         req.withColumnRenamed("title", "key"), "key")
     od = (about.where(eligible(F.col("__about.subreddit_type"), F.col("__about.display_name_prefixed")))
@@ -110,7 +110,8 @@ def build_communities(spark: SparkSession, env: DataFrame, topics: DataFrame, re
     searched = (firsts.join(taken.select("topic", F.col("item").alias("__title")), ["topic", "__title"])
                 .select(*community_columns(F.col("__detail"), title=F.col("__title"), topic=F.col("topic"))))
     communities = od.unionByName(searched)
-    cats = topics.select("topic", "category").dropDuplicates(["topic"])
+    order = [c for c in ("category", "ord") if c in topics.columns]
+    cats = keep_first(topics, ["topic"], order).select("topic", "category")
     communities = communities.join(cats, "topic", "left")
     keyed = communities.select("id", strip_all("title", "r/").alias("key"))
     rules = (explode_rules(_ok(env, "rules")).join(keyed, "key")
@@ -156,7 +157,8 @@ def build_posts(spark: SparkSession, env: DataFrame, communities: DataFrame, req
     commenters = member_refs(comments.join(posts.select(F.col("id").alias("post_id"), "community_id"), "post_id")
                              .withColumn("ord", F.lit(1).cast("bigint")),
                              "community_id", "author_id", "author", keep=["ord"])
-    observed = authors.unionByName(commenters).distinct()
+    observed = authors.unionByName(commenters).distinct().join(
+        communities.select(F.col("id").alias("community_id")).distinct(), "community_id", "left_semi")
     members = join_members(communities.select(F.col("id").alias("community_id")), moderators, observed)
     users = users_table(moderators.select("user_id", "name", F.col("community_id").alias("__c")),
                         observed.select("user_id", "name", F.col("community_id").alias("__c")), "__c")
@@ -213,8 +215,10 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
     for kind in KINDS_BY_ID + KINDS_WHOLE_ROW:
         try:
             rows = read_datasets(spark, root, kind, fmt)
-        except AnalysisException:  # no dataset holds this kind
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # no dataset holds this kind
         if kind in KINDS_BY_ID:
             rows = keep_first(rows.where(is_nonblank("id")), ["id"], ["src_file", "src_row"])
             rows = rows.drop("from_set", "src_file", "src_row")
@@ -276,8 +280,10 @@ def merge_original_datasets(spark: SparkSession, root: str, out: str | None, map
                 rows = read_topics(spark, glob(kind)).select("topic")
             else:
                 rows = with_order(read_curated_array(spark, glob(kind), kind))
-        except AnalysisException:  # no dataset holds this kind
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # no dataset holds this kind
         if kind in ("communities", "posts", "users"):
             rows = keep_first(rows.where(is_nonblank("id")), ["id"], ["__file", "__pos"])
             rows = rows.drop("__file", "__pos")

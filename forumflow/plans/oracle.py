@@ -129,7 +129,7 @@ SELECT t.t AS topic, unnest(w.last) AS user_id FROM w JOIN topics t ON t.tn=w.tn
 
     "child_attach": """
 SELECT n_name AS nation, count(s.s_suppkey) AS n, coalesce(string_agg(s.s_name, '|' ORDER BY s.s_suppkey), '') AS names
-FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 8000) s ON s.s_nationkey = n_nationkey
+FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey <> 0) s ON s.s_nationkey = n_nationkey
 GROUP BY n_name""",
 
     "richtext_union": """
@@ -239,12 +239,12 @@ HAVING count(DISTINCT tag) >= 2""",
 SELECT community_key AS community, replace(author_fullname, 't2_', '') AS user_id, author AS name
 FROM v_posts WHERE author <> '[deleted]' AND author <> '' AND replace(author_fullname, 't2_', '') <> ''
 UNION
-SELECT c_nationkey, CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_custkey % 25 = 0 AND c_name <> ''""",
+SELECT c_nationkey, CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_name <> ''""",
 
     "members_join": duck_cte("v_communities", "v_posts") + """,
 c AS (SELECT replace(raw_id, 't5_', '') AS community_id FROM v_communities WHERE community_type <> 'private'),
 m AS (SELECT CAST(c_nationkey AS VARCHAR) AS community_id, CAST(c_custkey AS VARCHAR) AS user_id, c_name AS name,
-             0 AS prio, c_custkey AS ord FROM customer WHERE c_custkey % 25 = 0),
+             0 AS prio, c_custkey AS ord FROM customer),
 o AS (SELECT replace(subreddit_id, 't5_', '') AS community_id, replace(author_fullname, 't2_', '') AS user_id,
              author AS name, 1 AS prio, CAST(id AS BIGINT) AS ord
       FROM v_posts WHERE author <> '[deleted]' AND author <> ''),
@@ -352,7 +352,9 @@ SELECT o_orderkey AS id, CAST((""" + str(AS_OF) + " - " + _epoch("o_orderdate")
 u AS (SELECT 'c' || raw_id AS id, subscribers AS x FROM v_communities
       UNION ALL
       SELECT 'o' || CAST(o_orderkey AS VARCHAR), CAST(floor(o_totalprice) AS BIGINT) *
-             CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 7 END FROM orders)
+             CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 7 END FROM orders
+      UNION ALL
+      SELECT 'p' || CAST(p_partkey AS VARCHAR), CAST(p_partkey AS BIGINT) * 1000000000 + 14999999 FROM part)
 SELECT id, """ + _human_count("x") + """ AS text FROM u""",
 
     "seeded_pick": """

@@ -34,7 +34,9 @@ def read_datasets(spark: SparkSession, root: str, kind: str, fmt: str = "parquet
     a split's rows are read in order by one task, so the pair orders rows
     within a file without a global numbering."""
     path = f"{root.rstrip('/')}/*/*{_ci_glob(kind)}*"
-    df = spark.read.format(fmt).load(path)
+    # datasets may differ in columns: the union of all of them, absent ones NULL
+    reader = spark.read.format(fmt)
+    df = (reader.option("mergeSchema", "true") if fmt == "parquet" else reader).load(path)
     meta = F.col("_metadata")
     cols = [F.col(c) for c in df.columns]
     if fmt == "parquet":
