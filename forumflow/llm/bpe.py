@@ -21,7 +21,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import doc_text
+from forumflow.llm.common import doc_text, text_slices
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, ids array<int>, decoded binary"
@@ -59,7 +59,7 @@ def encode_decode(docs: DataFrame, *, ranks_path: str = RANKS, cut_chars: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             out, n = ([], [], []), 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode_text(enc, text, cut_chars)

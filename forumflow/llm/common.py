@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import forumflow
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumflow.session import staging_path
@@ -62,10 +66,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, row_bytes: int = 32, limit: int = 24 << 20) -> DataFrame:
+    """A written table as a join side: broadcast if its rows take ``limit`` bytes at most, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, which bounds what a task holds as Python objects."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        part = np.cumsum(size) // limit
+        starts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), batch.num_rows] if len(size) else []
+        for a, b in zip(starts, starts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def blocks_for(total_bytes: int | None, limit: int) -> int:
     return max(1, math.ceil((total_bytes or 0) / limit))
 

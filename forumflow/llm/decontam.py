@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import blocks_for, doc_text, word_bytes, words
+from forumflow.llm.common import blocks_for, doc_text, small_side, staged, text_slices, word_bytes, words
 
 SCHEMA = ("doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, "
           "spans array<struct<start:bigint,end:bigint>>")
@@ -115,7 +115,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, *, window: int = 10,
         blocks.append(spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             split = [words(t) for t in texts]
             hits: dict[int, list] = {}
@@ -141,4 +141,5 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, *, window: int = 10,
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any hit word, with their own columns."""
     bad = contaminated_spans(docs, items, **options).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    bad = small_side(staged(bad, "contaminated"))
+    return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_bad"], "left_anti")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import doc_text, shuffle_parts, staged, words
+from forumflow.llm.common import doc_text, shuffle_parts, small_side, staged, text_slices, words
 
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 96
 _SIG = "doc_id bigint, node binary, n_shingles bigint, bands array<bigint>"
@@ -116,7 +116,7 @@ def _node(w: list[bytes]) -> bytes:
 def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, node (digest of the word sequence), n_shingles, bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 w = words(text)
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
 def _sets(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
     """node, bands, full shingle set of (text) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             out: tuple[list, ...] = ([], [], [])
             size = 0
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -294,9 +294,9 @@ def near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD
               .select("k.band", "k.hash", F.greatest(F.ceil(F.col("size") / block_nodes), F.ceil(F.col("bytes") / block_bytes))
                       .cast("int").alias("blocks")))
     member = staged(member.join(bucket, ["band", "hash"]).select("node", "band", "hash", "blocks"), "nj-members")
-    needed = member.select("node").distinct().join(nodes, "node")
+    needed = staged(member.select("node").distinct().join(nodes, "node").select("rep").distinct(), "nj-needed")
     text = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = _sets(text.join(needed.select("rep").distinct().hint("shuffle_hash"), "rep"), n=n, bands=bands, rows=rows)
+    sets = _sets(text.join(small_side(needed), "rep"), n=n, bands=bands, rows=rows)
     sets = sets.join(nodes.select("node", "copies"), "node")
     block = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")
     dealt = (member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -325,7 +325,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id can't be named and stay.
     """
     classes = staged(near_duplicates(docs, **options), "nj-result")
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    gone = staged(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "nj-gone")
+    kept = docs.join(small_side(gone), docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
     repeated = classes.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

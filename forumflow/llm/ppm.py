@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from forumflow.llm.common import doc_text, id_crc32, staged
+from forumflow.llm.common import doc_text, id_crc32, staged, text_slices
 
 END, SYMBOLS, BITS = 256, 257, 9
 ORDER, CHUNK_BYTES = 4, 16 << 20
@@ -157,7 +157,7 @@ def chunk_rows(docs: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, texts, size = [], [], [], 0
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             for i, t, h in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)))):
                 ids.append(i)
                 texts.append(t)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forumflow.llm.common import staged
+from forumflow.llm.common import small_side, staged
 
 
 @dataclass(frozen=True)
@@ -151,6 +151,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         (F.coalesce(F.try_element_at("_spans", k)["start"], F.char_length("text")) - before(k)).cast("int")))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(cut, mark))
     out = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    longest = spans.agg(F.max(F.size("_spans"))).first()[0] or 0
+    spans = small_side(spans, row_bytes=128 + 16 * longest)
     out = out.join(spans.withColumnRenamed("blob", "_key"), F.col("_blob") == F.col("_key"), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars"))

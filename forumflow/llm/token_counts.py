@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from forumflow.llm.bpe import encode_text, encoding, safe_parts
-from forumflow.llm.common import ship
+from forumflow.llm.common import ship, text_slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LEAF = 256
@@ -141,7 +141,7 @@ def build_trees(docs: DataFrame, *, ranks_path: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             trees = [Tree(leaves_of(enc, t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, schema)),
                                               pa.array([t.dump() for t in trees], pa.binary()),
@@ -165,7 +165,7 @@ def apply_edits(rows: DataFrame, *, ranks_path: str = RANKS, keep_version: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             out = []
             for doc_id, text, edits, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tree, encoded = Tree.load(data), 0

@@ -38,7 +38,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from forumflow.llm.common import doc_text, shuffle_parts
+from forumflow.llm.common import doc_text, shuffle_parts, text_slices
 from forumflow.session import staging_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER,
                  pa.array([(start + i) * block_ids for i in range(k)], pa.int64()), pa.nulls(k, pa.int64()),
                  pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=_ARROW)
 
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             ids_of = [enc.encode(t) for t in batch.column(1).to_pylist()]
             k = len(ids_of)
             yield pa.RecordBatch.from_arrays(

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import doc_text, id_crc32, staged, words
+from forumflow.llm.common import doc_text, id_crc32, small_side, staged, text_slices, words
 
 BITS, RANK = 18, 4
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
@@ -37,10 +37,9 @@ EPOCHS, RATE, L2_W, L2_V = 200, 0.3, 1e-4, 1e-4
 #: A term takes part if it is in so many sampled texts, and its toxic share is so many
 #: standard deviations off the sample's share: rare terms would only be learnt by heart.
 MIN_DOCS, MIN_Z = 5, 4.0
-#: Words whose terms a worker remembers.
-CACHE_WORDS = 300_000
+#: Words whose terms a task remembers.
+CACHE_WORDS = 100_000
 THRESHOLD = 0.7
-_terms: dict[bytes, tuple] = {}
 
 
 def _ids(word: bytes) -> tuple:
@@ -50,15 +49,15 @@ def _ids(word: bytes) -> tuple:
             *(zlib.crc32(b"p " + text[:n].encode()) & mask for n in STARTS if len(text) > n))
 
 
-def terms(text: bytes) -> np.ndarray:
-    """Sorted distinct hashed terms of a text."""
+def terms(text: bytes, cache: dict[bytes, tuple]) -> np.ndarray:
+    """Sorted distinct hashed terms of a text; ``cache`` remembers words."""
     found: set[int] = set()
-    if len(_terms) > CACHE_WORDS:
-        _terms.clear()
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
     for w in set(words(text)):
-        ids = _terms.get(w)
+        ids = cache.get(w)
         if ids is None:
-            ids = _terms[w] = _ids(w)
+            ids = cache[w] = _ids(w)
         found.update(ids)
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
@@ -132,9 +131,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     rows = doc_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        cache: dict[bytes, tuple] = {}
+        for batch in text_slices(batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int32()), pa.array([terms(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()],
+                [batch.column(0).cast(pa.int32()), pa.array([terms(t, cache).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()],
                                                             pa.binary())], names=["y", "terms"])
     return rows.mapInArrow(run, "y int, terms binary")
 
@@ -166,9 +166,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Machine(*model.value)
-        for batch in batches:
-            rows = [terms(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        m, cache = Machine(*model.value), {}
+        for batch in text_slices(batches, 1):
+            rows = [terms(t, cache) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(rows), pa.float64())], names=["doc_id", "score"])
 
     return doc_text(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
@@ -184,4 +184,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that aren't predicted toxic."""
     bad = staged(toxicity(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct(), "toxic")
+    bad = small_side(bad)
     return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_bad"], "left_anti")
