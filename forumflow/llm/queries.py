@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumflow.llm import bpe, decontam, ngram_join, ppm, secret_scan, sharding, token_counts, token_files, topk, toxicity
 from forumflow.llm.common import table
+from forumflow.llm.oracle import ORACLE
 
 
 def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ QUERIES = {
     "op10_sharding": q_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "bpe_digest"]
