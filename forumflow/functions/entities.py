@@ -9,6 +9,8 @@ Two forms:
   and without ``;``, decimal and hex references) through an Arrow-batched
   pandas UDF. Only rows that can contain a reference are sent to Python;
   all other rows keep their value without leaving the JVM.
+  ``decode_entity_arrays`` does the same for arrays (of arrays) of strings:
+  a Python UDF cannot run inside a lambda, but it can take the whole array.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The entity subset decoded natively, in application order.
 # ``&amp;`` must stay last.
@@ -66,3 +68,34 @@ def decode_entities(c) -> Column:
     c = _c(c)
     exact = _unescape_batch(F.when(c.rlike(NEEDS_EXACT), c))
     return F.coalesce(exact, decode_entities_native(c))
+
+
+def _unescape_nested(v):
+    if isinstance(v, str):
+        return html.unescape(v)
+    return None if v is None else [_unescape_nested(x) for x in v]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _unescape_array_batch(s: pd.Series) -> pd.Series:
+    return s.map(_unescape_nested)
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _unescape_arrays_batch(s: pd.Series) -> pd.Series:
+    return s.map(_unescape_nested)
+
+
+def decode_entity_arrays(c, depth: int = 1) -> Column:
+    """Exact decoding of an array of strings (``depth`` 1) or of arrays of
+    strings (2). As in ``decode_entities``, only rows holding a reference
+    outside the native subset reach Python."""
+    c = _c(c)
+    if depth == 1:
+        needs = F.exists(c, lambda x: x.rlike(NEEDS_EXACT))
+        return F.coalesce(_unescape_array_batch(F.when(needs, c)), F.transform(c, decode_entities_native))
+    if depth == 2:
+        needs = F.exists(c, lambda a: F.exists(a, lambda x: x.rlike(NEEDS_EXACT)))
+        return F.coalesce(_unescape_arrays_batch(F.when(needs, c)),
+                          F.transform(c, lambda a: F.transform(a, decode_entities_native)))
+    raise ValueError("strings are at most two arrays deep")

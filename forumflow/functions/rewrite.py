@@ -2,9 +2,8 @@
 
 ``rewrite_expr`` folds one ``regexp_replace`` per (from, to) pair, in the
 given order, with ``(?iu)`` (Unicode-aware case folding) and the source
-quoted. NULL becomes ''. Entity decoding runs last: exact (pandas UDF) on
-top-level columns, the native subset inside array lambdas where a Python UDF
-cannot run.
+quoted. NULL becomes ''. Entity decoding runs last and is exact everywhere:
+texts inside arrays are gathered, decoded as one array, and put back.
 
 ``rewrite_text(df, paths, mapping)`` applies it to a list of field paths:
 ``"title"`` (top-level), ``"rules[].description"`` (field of an array of
@@ -19,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import decode_entities, decode_entities_native
+from forumflow.functions.entities import decode_entities, decode_entity_arrays
 
 # The merge pass rewrite map, applied in this order.
 MERGE_REWRITE_MAP = [
@@ -50,39 +49,53 @@ def replace_chain(c, mapping: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def rewrite_expr(c, mapping: Sequence[tuple[str, str]], exact_entities: bool = True) -> Column:
-    out = replace_chain(c, mapping)
-    return decode_entities(out) if exact_entities else decode_entities_native(out)
+def rewrite_expr(c, mapping: Sequence[tuple[str, str]]) -> Column:
+    return decode_entities(replace_chain(c, mapping))
 
 
-def _apply_at(x: Column, parts: list[str], fn) -> Column:
-    """Rebuild ``x`` with ``fn`` applied at the path ``parts`` below it."""
+def _gather(x: Column, parts: list[str], fn) -> Column:
+    """The texts at the path ``parts`` below ``x``, in one array per ``[]``."""
     if not parts:
         return fn(x)
     head, rest = parts[0], parts[1:]
+    if head.endswith("[]"):
+        return F.transform(x.getField(head[:-2]), lambda e: _gather(e, rest, fn))
+    return _gather(x.getField(head), rest, fn)
+
+
+def _put(x: Column, parts: list[str], new: Column) -> Column:
+    """Rebuild ``x`` with the gathered texts ``new`` at the path ``parts``."""
+    if not parts:
+        return new
+    head, rest = parts[0], parts[1:]
     if head.endswith("[]"):
         name = head[:-2]
-        return x.withField(name, F.transform(x.getField(name), lambda e: _apply_at(e, rest, fn)))
-    return x.withField(head, _apply_at(x.getField(head), rest, fn))
+        return x.withField(name, F.transform(x.getField(name), lambda e, i: _put(e, rest, F.get(new, i))))
+    return x.withField(head, _put(x.getField(head), rest, new))
 
 
 def rewrite_text(df: DataFrame, paths: Sequence[str], mapping: Sequence[tuple[str, str]]) -> DataFrame:
-    """Apply the ordered rewrite at every path. Paths outside arrays get exact
-    entity decoding; paths inside arrays get the native subset (a Python UDF
-    cannot run inside a lambda)."""
+    """Apply the ordered rewrite at every path, with exact entity decoding.
+
+    The chain, the decoding and the rebuilding are projections of their own:
+    the Python step would otherwise evaluate its input expression again."""
     for path in paths:
         parts = [p for p in path.split(".") if p]
-        exact = "[]" not in path
-        fn = (lambda c, e=exact: rewrite_expr(c, mapping, exact_entities=e))
-        top = parts[0]
-        if top.endswith("[]"):
-            name = top[:-2]
-            df = df.withColumn(name, F.transform(F.col(name), lambda x: _apply_at(x, parts[1:], fn)))
-        elif len(parts) == 1:
-            # two projections: the chain is computed once, then decoded (the
-            # Python step would otherwise re-evaluate its input expression)
-            df = df.withColumn(top, replace_chain(F.col(top), mapping))
-            df = df.withColumn(top, decode_entities(F.col(top)))
+        top, depth = parts[0].removesuffix("[]"), path.count("[]")
+        chain = lambda c: replace_chain(c, mapping)
+        if parts[0].endswith("[]"):
+            texts = F.transform(F.col(top), lambda e: _gather(e, parts[1:], chain))
+        else:
+            texts = _gather(F.col(top), parts[1:], chain)
+        if len(parts) == 1 and not depth:
+            df = df.withColumn(top, texts).withColumn(top, decode_entities(F.col(top)))
+            continue
+        new = F.col("__new")
+        df = df.withColumn("__new", texts)
+        df = df.withColumn("__new", decode_entity_arrays(new, depth) if depth else decode_entities(new))
+        if parts[0].endswith("[]"):
+            rebuilt = F.transform(F.col(top), lambda e, i: _put(e, parts[1:], F.get(new, i)))
         else:
-            df = df.withColumn(top, _apply_at(F.col(top), parts[1:], fn))
+            rebuilt = _put(F.col(top), parts[1:], new)
+        df = df.withColumn(top, rebuilt).drop("__new")
     return df

@@ -5,8 +5,8 @@
   (entities left as they are)
 * anything else -> entity-decoded, then percent-decoded with '+' kept.
 
-Bad percent escapes leave the text as it is (``try_url_decode`` gives NULL,
-we fall back). The entity step is the native subset so the function also
+A ``%`` that starts no escape stays as it is and the valid escapes around it
+are decoded. The entity step is the native subset so the function also
 works inside ``transform`` lambdas over resolution arrays.
 """
 
@@ -25,12 +25,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# A ``%`` without two hex digits behind it.
+BAD_PERCENT = "%(?![0-9A-Fa-f]{2})"
+
+
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.regexp_replace(c, BAD_PERCENT, "%25")), c)
+
+
 def clean_url(c) -> Column:
     c = _c(c)
-    redirect_value = F.regexp_extract(c, r"=([^&]+)", 1)
-    redirect = F.coalesce(F.try_url_decode(redirect_value), redirect_value)
-    ent = decode_entities_native(c)
-    plain = F.coalesce(F.try_url_decode(F.replace(ent, F.lit("+"), F.lit("%2B"))), ent)
+    redirect = _decoded(F.regexp_extract(c, r"=([^&]+)", 1))
+    plain = _decoded(F.replace(decode_entities_native(c), F.lit("+"), F.lit("%2B")))
     # fast path: without '%' or '&' there is nothing to decode
     untouched = (F.instr(c, "%") == 0) & (F.instr(c, "&") == 0)
     return (F.when(F.coalesce(c, F.lit("")) == "", F.lit(""))
@@ -51,12 +57,16 @@ def native_entities_sql(x: str) -> str:
     return f"CASE WHEN instr({x}, '&') = 0 THEN {x} ELSE {out} END"
 
 
+def _decoded_sql(x: str) -> str:
+    return f"coalesce(try_url_decode(regexp_replace({x}, '{BAD_PERCENT}', '%25')), {x})"
+
+
 def clean_url_sql(x: str) -> str:
     """SQL text of ``clean_url`` for an SQL expression ``x`` (usable inside
     SQL lambdas); same semantics as the Column version."""
     rv = f"regexp_extract({x}, '=([^&]+)', 1)"
     ent = native_entities_sql(x)
     return (f"CASE WHEN coalesce({x}, '') = '' THEN '' "
-            f"WHEN instr({x}, {_lit(MEDIA_REDIRECT_MARKER)}) > 0 THEN coalesce(try_url_decode({rv}), {rv}) "
+            f"WHEN instr({x}, {_lit(MEDIA_REDIRECT_MARKER)}) > 0 THEN {_decoded_sql(rv)} "
             f"WHEN instr({x}, '%') = 0 AND instr({x}, '&') = 0 THEN {x} "
-            f"ELSE coalesce(try_url_decode(replace({ent}, '+', '%2B')), {ent}) END")
+            f"ELSE {_decoded_sql(f"replace({ent}, '+', '%2B')")} END")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumflow.operators.dedup import positional_index
-from forumflow.operators.joins import BROADCAST_MAX_ROWS, broadcast_if_small
+from forumflow.operators.joins import BROADCAST_MAX_BYTES, broadcast_if_small, measure
 from forumflow.session import cut_lineage
 
 
@@ -52,11 +52,11 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
         marked = proposals.withColumn("__best", F.min(group_order).over(by_item))
         marked = cut_lineage(marked)
         rejected = marked.where(F.col(group_order) > F.col("__best")).select(group, item)
-        # one bounded count: ends the loop when empty, else decides the broadcast
-        n = rejected.limit(BROADCAST_MAX_ROWS + 1).count()
+        # one aggregate: ends the loop when empty, else decides the broadcast
+        n, size = measure(rejected)
         if n == 0:
             return marked.drop("__best")
-        cur = cur.join(F.broadcast(rejected) if n <= BROADCAST_MAX_ROWS else rejected, [group, item], "left_anti")
+        cur = cur.join(F.broadcast(rejected) if size <= BROADCAST_MAX_BYTES else rejected, [group, item], "left_anti")
         if r % checkpoint_every == 0:
             cur = cut_lineage(cur)
 

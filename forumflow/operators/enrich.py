@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from forumflow.functions.text import age_years, shifted_date
-from forumflow.operators.joins import BROADCAST_MAX_ROWS
+from forumflow.operators.joins import BROADCAST_MAX_BYTES, measure
 
 
 def _c(x) -> Column:
@@ -51,7 +51,7 @@ def seeded_color_pair(key, salt1: str, salt2: str) -> tuple[Column, Column]:
 
 def seeded_sample(df: DataFrame, key: str, catalog: DataFrame, item_index: str, k: Column,
                   salt: str, out_col: str = "picks", max_k: int | None = None,
-                  broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """X4 + J8: ``k`` distinct catalog items per row, no cross join.
 
     The catalog carries a dense 0-based ``item_index``. Slot j (j < k) of a
@@ -65,7 +65,7 @@ def seeded_sample(df: DataFrame, key: str, catalog: DataFrame, item_index: str,
     within the size bound is broadcast; a larger one is joined by index, with
     the same rows.
     """
-    n = catalog.count()
+    n, size = measure(catalog)
     item_cols = [c for c in catalog.columns if c != item_index]
     item_type = ArrayType(StructType([catalog.schema[c] for c in item_cols]))
     if n == 0:
@@ -79,7 +79,7 @@ def seeded_sample(df: DataFrame, key: str, catalog: DataFrame, item_index: str,
     if n_slots <= 0:
         return df.withColumn(out_col, F.array().cast(item_type))
     cat = catalog.select(F.col(item_index).alias("__ci"), F.struct(*item_cols).alias("__item"))
-    if n <= broadcast_max_rows:
+    if size <= broadcast_max_bytes:
         cat = F.broadcast(cat)
     out = df.withColumn("__k", kk).withColumn("__start", seed32(F.col(key), salt))
     slots = []

@@ -5,22 +5,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# rows; a dimension side above this is joined with a shuffle instead
-BROADCAST_MAX_ROWS = 2_000_000
+# bytes of values; a dimension side above this is joined with a shuffle instead
+BROADCAST_MAX_BYTES = 64 << 20
+# bytes that a row and each of its fields take beside the text
+ROW_BYTES, FIELD_BYTES = 16, 8
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+def row_bytes(df: DataFrame) -> Column:
+    """Estimated size of a row: its fields, and the length of text and nested values."""
+    size = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        size = size + F.lit(FIELD_BYTES)
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return size
 
-    The count scans the side once (it is a dimension, i.e. small or
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, estimated bytes) of ``df`` by one aggregate."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df).cast("bigint")).alias("size")).first()
+    return r["n"], r["size"] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its rows take at most ``max_bytes``.
+
+    The check scans the side once (it is a dimension, i.e. small or
     pre-aggregated); above the bound the plain frame is returned and
     Catalyst/AQE choose a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if measure(df)[1] <= max_bytes else df
 
 
 def attach_children(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,

@@ -37,6 +37,8 @@ def join_members(communities: DataFrame, moderators: DataFrame, observed: DataFr
 
     Per community: moderators first, then observed users; one entry per
     *name*, the first one wins (moderator over member, then list order).
+    An observed user goes by the name of the known user of that id (J2): the
+    last moderator entry, else the first observation, by community and order.
     Moderators and observed users of unknown communities are dropped (J1).
     Inputs: moderators/observed (community_id, user_id, name, ord).
     Output: (community_id, user_id, name, is_moderator).
@@ -45,8 +47,13 @@ def join_members(communities: DataFrame, moderators: DataFrame, observed: DataFr
     mods = moderators.select("community_id", "user_id", "name", "ord").withColumn("__prio", F.lit(0))
     mods = mods.join(known, "community_id", "left_semi")
     seen = (observed.select("community_id", "user_id", "name", "ord")
-            .join(known, "community_id", "left_semi")
-            .withColumn("__prio", F.lit(1)))
+            .join(known, "community_id", "left_semi"))
+    place = F.struct("community_id", "ord", "name")
+    names = (mods.groupBy("user_id").agg(F.max(place).alias("__m")).join(
+        seen.groupBy("user_id").agg(F.min(place).alias("__s")), "user_id", "full")
+        .select("user_id", F.coalesce("__m.name", "__s.name").alias("__name")))
+    seen = (seen.join(names, "user_id").withColumn("name", F.col("__name")).drop("__name")
+            .select("community_id", "user_id", "name", "ord").withColumn("__prio", F.lit(1)))
     both = mods.unionByName(seen)
     first = keep_first(both, ["community_id", "name"], ["__prio", "ord", "user_id"])
     return first.select("community_id", "user_id", "name", (F.col("__prio") == 0).alias("is_moderator"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
-from forumflow.operators.joins import BROADCAST_MAX_ROWS
+from forumflow.operators.joins import BROADCAST_MAX_BYTES, measure
 from forumflow.session import cut_lineage
 
 COMMENT_DATA = StructType([
@@ -70,17 +70,17 @@ def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
     levels = [frontier]
     depth = 1
     while True:
-        # one bounded count on the checkpointed frontier: ends the walk when
+        # one aggregate over the checkpointed frontier: ends the walk when
         # empty, and a frontier within the bound is broadcast so the edge
         # table is not shuffled for this level
-        n = frontier.limit(BROADCAST_MAX_ROWS + 1).count()
+        keys = frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n"))
+        n, size = measure(keys)
         if n == 0:
             break
         depth += 1
         if max_depth is not None and depth > max_depth:
             raise ValueError(f"thread deeper than {max_depth} levels: a parent cycle in the edge table?")
-        keys = frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n"))
-        if n <= BROADCAST_MAX_ROWS:
+        if size <= BROADCAST_MAX_BYTES:
             keys = F.broadcast(keys)
         nxt = (children.join(keys, (F.col(f"e.{post}") == F.col("__p")) & (F.col(f"e.{parent}") == F.col("__n")))
                .drop("__p", "__n")

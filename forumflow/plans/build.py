@@ -37,18 +37,22 @@ from forumflow.operators.posts import DEFAULT_POSTS_PER_COMMUNITY, not_deleted,
 from forumflow.operators.threads import flatten_threads, recount_comments
 from forumflow.operators.joins import broadcast_if_small
 from forumflow.operators.topk import sort_order, top_k_per_group
-from forumflow.sinks.writers import write_collections, write_table
+from forumflow.sinks.writers import publish_collections, staged, write_collections, write_table
 from forumflow.sources.datasets import read_datasets
 from forumflow.sources.html import extract_table_rows
 from forumflow.sources.landed import (explode_community_search, explode_moderators, explode_post_listing,
                                       explode_rules, parse_community_about, parse_flairs, payload_text, read_landed,
-                                      read_requests, read_topics, split_article, split_envelopes)
+                                      read_requests, read_topics, split_article, split_envelopes, unparsed)
 
 # The collections of a finished dataset and how each is
 # de-duplicated when datasets are merged (by id, first wins; or whole row).
 KINDS_BY_ID = ("communities", "posts", "users")
 KINDS_WHOLE_ROW = ("topics", "awards", "trophies", "community_rules", "community_flairs", "community_members",
                    "comments", "media_assets")
+# The collections whose rows belong to an entity: (column of its id, collection of the entity).
+CHILDREN = {"community_rules": ("community_id", "communities"), "community_flairs": ("community_id", "communities"),
+            "community_members": ("community_id", "communities"), "comments": ("post_id", "posts"),
+            "media_assets": ("post_id", "posts")}
 # The text paths the merge pass rewrites, per collection.
 MERGE_PATHS = {
     "awards": ["title"],
@@ -80,6 +84,33 @@ class BuildOptions:
             setattr(self, name, v)
 
 
+def stage_landed(spark: SparkSession, landing: str) -> tuple[DataFrame, DataFrame]:
+    """(envelopes, rejects), the landing read and written once.
+
+    Of several responses with a payload for one (endpoint, key) the last one
+    stays, in the order of file path and position. Rejects hold responses
+    without a payload, lines that are no envelope (their text as the error),
+    and payloads that are no JSON of the endpoint's form."""
+    raw = read_landed(spark, landing)
+    meta = F.col("_metadata")
+    place = F.struct(meta.getField("file_path").alias("file"), meta.getField("file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    placed = staged(raw.select("*", place.alias("__place")), "landed", partition_by="endpoint")
+    ok, rejects = split_envelopes(placed)
+    bad = unparsed(ok)
+    good = ok.join(bad.select("__place"), "__place", "left_anti")
+    last = good.groupBy("endpoint", "key").agg(F.max("__place").alias("__place"), F.count(F.lit(1)).alias("__n"))
+    repeated = last.where("__n > 1").select(F.col("endpoint").alias("__endpoint"), F.col("key").alias("__key"),
+                                            F.col("__place").alias("__last"))
+    good = (good.join(repeated, F.col("endpoint").eqNullSafe(F.col("__endpoint")) & F.col("key").eqNullSafe(F.col("__key")), "left")
+            .where(F.col("__last").isNull() | (F.col("__last") == F.col("__place")))
+            .select("endpoint", "key", "payload", "result_state"))
+    rejects = rejects.unionByName(bad.select(
+        "endpoint", "key", F.coalesce("result_state.status_code", F.lit(-1)).alias("status_code"),
+        F.concat(F.lit("payload does not parse: "), F.col("payload")).alias("error")))
+    return staged(good, "envelopes", partition_by="endpoint"), rejects
+
+
 def _ok(env: DataFrame, endpoint: str) -> DataFrame:
     ok, _ = split_envelopes(env.where(F.col("endpoint") == endpoint))
     return ok
@@ -141,11 +172,11 @@ def build_posts(spark: SparkSession, env: DataFrame, communities: DataFrame, req
                                F.col("__post.ups").alias("ups"), F.col("__post.created_utc").alias("created_utc"))
     top = top_k_per_group(ranked_in, plan.select("title", "post_limit"), "title", "post_limit",
                           sort_order(opts.sort))
-    posts = top.where(not_deleted(F.col("__post.author"))).select(*post_columns(F.col("__post")))
+    posts = staged(top.where(not_deleted(F.col("__post.author"))).select(*post_columns(F.col("__post"))), "posts")
     art = split_article(_ok(env, "article")).withColumnRenamed("key", "id")
-    art = art.join(posts.select("id"), "id", "left_semi")
-    comments = flatten_threads(art, "id", "__roots")
-    classified = source_flags(classify_media(art, "__detail", "id"), "__detail")
+    art = staged(art.join(posts.select("id"), "id", "left_semi").select("id", "article_found", "__detail", "__roots"), "articles")
+    comments = staged(flatten_threads(art, "id", "__roots"), "comments")
+    classified = staged(source_flags(classify_media(art, "__detail", "id"), "__detail").drop("__roots", "__detail"), "media")
     assets = media_assets(classified.drop("media_type"), "id")
     found = classified.select("id", F.lit(True).alias("article_found"), "media")
     posts = (posts.join(found, "id", "left")
@@ -189,17 +220,19 @@ def build_catalogs(env: DataFrame) -> dict[str, DataFrame]:
 def build_forum(spark: SparkSession, landing: str, topics_path: str, requests_path: str, out: str | None,
                 opts: BuildOptions | None = None) -> dict[str, DataFrame]:
     opts = opts or BuildOptions()
-    env = read_landed(spark, landing)
+    # the landing is read once: one row per (endpoint, key), partitioned by endpoint
+    env, rejects = stage_landed(spark, landing)
     topics = read_topics(spark, topics_path)
     requests = read_requests(spark, requests_path)
     c = build_communities(spark, env, topics, requests, opts)
+    # used many times further on, so written once
+    c["communities"], c["moderators"] = staged(c["communities"], "communities"), staged(c["moderators"], "moderators")
     p = build_posts(spark, env, c["communities"], requests, c["moderators"], opts)
     cat = build_catalogs(env)
     p["posts"] = attach_sample(p["posts"], "id", cat["awards"], "awards", "title", salt="awards")
     if opts.enrich_users:
         p["users"] = attach_sample(p["users"], "id", cat["trophies"], "trophies", "title", salt="trophies")
     tables = {**{k: v for k, v in c.items() if k != "moderators"}, **p, **cat, "topics": topics}
-    _, rejects = split_envelopes(env)
     tables["rejects"] = rejects
     if out:
         write_collections(tables, out, opts.output_format)
@@ -209,9 +242,12 @@ def build_forum(spark: SparkSession, landing: str, topics_path: str, requests_pa
 def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERGE_REWRITE_MAP,
                    fmt: str = "parquet") -> dict[str, DataFrame]:
     """Entry 3: union every dataset of a kind below ``root``; entities with an
-    id keep the first row per non-blank id (file, then row order), catalogs
-    keep distinct rows; then the ordered text rewrite."""
+    id keep the first row per non-blank id (file, then row order), and their
+    children come from the dataset of that row; catalogs keep distinct rows;
+    then the ordered text rewrite. ``out`` may be below ``root``: everything
+    is staged before it is published."""
     merged = {}
+    winners: dict[str, DataFrame] = {}
     for kind in KINDS_BY_ID + KINDS_WHOLE_ROW:
         try:
             rows = read_datasets(spark, root, kind, fmt)
@@ -221,14 +257,18 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
             continue  # no dataset holds this kind
         if kind in KINDS_BY_ID:
             rows = keep_first(rows.where(is_nonblank("id")), ["id"], ["src_file", "src_row"])
+            winners[kind] = rows.select(F.col("id").alias("__id"), F.col("from_set").alias("__set"))
             rows = rows.drop("from_set", "src_file", "src_row")
         else:
+            key, parent = CHILDREN.get(kind, (None, None))
+            if parent in winners and key in rows.columns:
+                # rows of an entity that another dataset gave are not part of it
+                rows = (rows.join(winners[parent], F.col(key) == F.col("__id"), "left")
+                        .where(F.col("__set").isNull() | (F.col("__set") == F.col("from_set"))).drop("__id", "__set"))
             rows = distinct_rows(rows.drop("from_set", "src_file", "src_row"))
         paths = [p for p in MERGE_PATHS.get(kind, []) if p.split(".")[0].removesuffix("[]") in rows.columns]
         merged[kind] = rewrite_text(rows, paths, mapping) if paths else rows
-    if out:
-        write_collections(merged, out, fmt)
-    return merged
+    return publish_collections(merged, out, fmt) if out else merged
 
 
 # File names of a finished dataset in the original layout.
@@ -294,9 +334,7 @@ def merge_original_datasets(spark: SparkSession, root: str, out: str | None, map
             merged["comments"] = rewrite_text(comments, ORIGINAL_PATHS["comments"], mapping)
             rows = rows.drop("comments")
         merged[kind] = rewrite_text(rows, ORIGINAL_PATHS.get(kind, []), mapping)
-    if out:
-        write_collections(merged, out, fmt)
-    return merged
+    return publish_collections(merged, out, fmt) if out else merged
 
 
 def split_users(users: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,14 @@
   Parquet or JSON lines; JSON keeps NULL fields like the original output.
 * ``write_collections`` - one dataset directory per collection.
 * ``stage_then_publish`` - K6: never read and overwrite one path in one
-  plan; write to a new staged path and return it.
+  plan; write to a new staged path and, given a target, publish it there.
+* ``publish_collections`` - the same for all collections of a dataset.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from forumflow.session import staging_path
 
@@ -43,8 +45,29 @@ def write_collections(tables: dict[str, DataFrame], root: str, fmt: str = "parqu
         write_table(df, f"{root.rstrip('/')}/{name}", fmt)
 
 
-def stage_then_publish(df: DataFrame, name: str, fmt: str = "parquet") -> str:
-    """K6: write to a fresh path under the shared folder and return it."""
+def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written once below the shared folder and read back, with its own schema."""
+    path = staging_path(df.sparkSession, name)
+    w = df.write.partitionBy(partition_by) if partition_by else df.write
+    w.parquet(path)
+    fields = [f for f in df.schema.fields if f.name != partition_by] + [f for f in df.schema.fields if f.name == partition_by]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+def stage_then_publish(df: DataFrame, name: str, fmt: str = "parquet", target: str | None = None) -> str:
+    """K6: write to a fresh path under the shared folder; with ``target`` the
+    staged rows then replace what is there. Returns where the rows are."""
     path = staging_path(df.sparkSession, name)
     write_table(df, path, fmt)
-    return path
+    if target is None:
+        return path
+    write_table(df.sparkSession.read.schema(df.schema).format(fmt).load(path), target, fmt)
+    return target
+
+
+def publish_collections(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """K6 for a dataset: every collection is staged before the first is
+    published, so collections may be computed from what ``root`` holds."""
+    done = {name: staged(df, name) for name, df in tables.items()}
+    write_collections(done, root, fmt)
+    return done

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import decode_entities, decode_entities_native
+from forumflow.functions.entities import decode_entities, decode_entity_arrays
 from forumflow.functions.text import strip_all, strip_newlines
 from forumflow.operators.dedup import keep_last
 
@@ -84,8 +84,7 @@ def extract_sections(df: DataFrame, id_col: str, html_col: str, heading_re: str,
     if strip_token:
         section = strip_all(section, strip_token)
     items = F.regexp_extract_all(F.col("__chunk"), F.lit(item_re), item_group)
-    if decode:
-        # a Python UDF cannot run inside a lambda: items use the native subset
-        items = F.transform(items, decode_entities_native)
     out = chunks.select(F.col(id_col), section.alias("section"), F.col("__pos"), items.alias("items"))
+    if decode:
+        out = out.withColumn("items", decode_entity_arrays("items"))
     return keep_last(out, [id_col, "section"], "__pos").drop("__pos")

@@ -90,15 +90,33 @@ def envelope_ok(df: DataFrame) -> Column:
 
 
 def split_envelopes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ok rows, rejects). A reject keeps key, status code and error text."""
+    """(ok rows, rejects). A reject keeps key, status code and error text; a
+    line that is no envelope keeps its text as the error."""
+    error = F.col("result_state.error")
+    if "_corrupt_record" in df.columns:
+        error = F.coalesce(error, F.col("_corrupt_record"))
     ok = df.where(envelope_ok(df))
     rejects = df.where(~envelope_ok(df)).select(
         "endpoint", "key",
         F.coalesce(F.col("result_state.status_code"), F.lit(-1)).alias("status_code"),
-        F.col("result_state.error").alias("error"))
+        error.alias("error"))
     return ok, rejects
 
 
+def unparsed(ok: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows of ``ok`` whose payload is no JSON of its endpoint's form, so that
+    it would give no rows; other endpoints' payloads (pages) are left alone."""
+    p, e = F.col(payload), F.col("endpoint")
+    form = lambda *paths: F.coalesce(*[F.get_json_object(p, x) for x in paths])
+    need = {"community_about": form("$.data"), "community_search": form("$.data.children"), "rules": form("$.rules"),
+            "moderators": form("$.data.children"), "post_listing": form("$.data.children"),
+            "link_flairs": F.json_array_length(p), "user_flairs": F.json_array_length(p), "article": F.json_array_length(p)}
+    bad = F.lit(False)
+    for endpoint, found in need.items():
+        bad = F.when(e == endpoint, found.isNull()).otherwise(bad)
+    return ok.where(bad)
+
+
 def payload_text(payload: str = "payload") -> Column:
     """A payload that is a JSON *string* (an HTML page) -> its text."""
     return F.get_json_object(F.concat(F.lit('{"v":'), F.col(payload), F.lit("}")), "$.v")

@@ -121,7 +121,7 @@ def test_seeded_sample_broadcast_equals_shuffle_path(spark):
     k = seeded_int(F.col("key"), "k", 0, 3)
     a = {r.key: [x.t for x in r.picks] for r in seeded_sample(keys, "key", cat, "idx", k, "s").collect()}
     b = {r.key: [x.t for x in r.picks]
-         for r in seeded_sample(keys, "key", cat, "idx", k, "s", broadcast_max_rows=0).collect()}
+         for r in seeded_sample(keys, "key", cat, "idx", k, "s", broadcast_max_bytes=0).collect()}
     assert a == b and len(a) == 200
     assert all(len(set(v)) == len(v) <= 3 for v in a.values())
 
