@@ -246,12 +246,19 @@ c AS (SELECT replace(raw_id, 't5_', '') AS community_id FROM v_communities WHERE
 m AS (SELECT CAST(c_nationkey AS VARCHAR) AS community_id, CAST(c_custkey AS VARCHAR) AS user_id, c_name AS name,
              0 AS prio, c_custkey AS ord FROM customer),
 o AS (SELECT replace(subreddit_id, 't5_', '') AS community_id, replace(author_fullname, 't2_', '') AS user_id,
-             author AS name, 1 AS prio, CAST(id AS BIGINT) AS ord
+             CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN author || '_old' ELSE author END AS name, 1 AS prio,
+             CAST(id AS BIGINT) AS ord
       FROM v_posts WHERE author <> '[deleted]' AND author <> ''),
-u AS (SELECT * FROM m UNION ALL SELECT * FROM o),
-r AS (SELECT u.*, row_number() OVER (PARTITION BY u.community_id, u.name ORDER BY prio, ord, user_id) AS rn
-      FROM u JOIN c ON u.community_id = c.community_id)
-SELECT community_id AS community, user_id, prio = 0 AS is_moderator FROM r WHERE rn = 1""",
+u AS (SELECT u.* FROM (SELECT * FROM m UNION ALL SELECT * FROM o) u JOIN c ON u.community_id = c.community_id),
+last_mod AS (SELECT user_id, name FROM (SELECT *, row_number() OVER (
+               PARTITION BY user_id ORDER BY community_id DESC, ord DESC, name DESC) AS rn FROM u WHERE prio = 0) WHERE rn = 1),
+first_seen AS (SELECT user_id, name FROM (SELECT *, row_number() OVER (
+               PARTITION BY user_id ORDER BY community_id, ord, name) AS rn FROM u WHERE prio = 1) WHERE rn = 1),
+k AS (SELECT u.community_id, u.user_id, u.prio, u.ord,
+             CASE WHEN u.prio = 0 THEN u.name ELSE coalesce(l.name, f.name) END AS name
+      FROM u LEFT JOIN last_mod l ON l.user_id = u.user_id LEFT JOIN first_seen f ON f.user_id = u.user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY community_id, name ORDER BY prio, ord, user_id) AS rn FROM k)
+SELECT community_id AS community, user_id, name, prio = 0 AS is_moderator FROM r WHERE rn = 1""",
 
     "users_table": duck_cte("v_members") + """,
 u AS (SELECT user_id, community, 0 AS prio FROM v_members WHERE is_moderator
@@ -288,6 +295,18 @@ WITH u AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY from_set, doc_id) AS rn FROM u WHERE id <> '')
 SELECT doc_id, from_set FROM r WHERE rn = 1""",
 
+    "merge_children": """
+SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS post_id,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'b' ELSE 'a' END || CAST(l_linenumber AS VARCHAR) AS body
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+
+    "landing_stage": """
+WITH a AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS key, s_suppkey % 3 = 0 AS again, s_suppkey % 11 = 2 AS broken,
+                  s_suppkey % 7 = 1 AS page FROM supplier)
+SELECT key, 'ok' AS kind, CASE WHEN again THEN 'b' ELSE 'a' END || key AS text FROM a WHERE again OR NOT (broken OR page)
+UNION ALL SELECT NULL, 'reject', 'broken ' || key FROM a WHERE broken
+UNION ALL SELECT key, 'reject', 'payload does not parse: <html>' || key FROM a WHERE page AND NOT broken""",
+
     "split_position": """
 WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer)
 SELECT CASE WHEN pos <= n // 2 THEN 1 ELSE 2 END AS part, count(*) AS n, min(c_custkey) AS min_key,
@@ -308,6 +327,14 @@ k AS (SELECT page_id, pos, regexp_extract(chunk, '^<(nav|article|footer)[\\s>]',
 w AS (SELECT *, row_number() OVER (PARTITION BY page_id, section ORDER BY pos DESC) AS rn FROM k WHERE section <> '')
 SELECT page_id, section, CAST(n_items AS BIGINT) AS n_items FROM w WHERE rn = 1""",
 
+    "html_table": """
+SELECT p_partkey, 'award' AS kind, CAST(1 AS BIGINT) AS ord, p_name || ' café' AS title, CAST(NULL AS VARCHAR) AS description,
+       '//i.test/' || CAST(p_partkey AS VARCHAR) || '.png' AS image_link FROM part
+UNION ALL
+SELECT p_partkey, 'trophy', 1, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' ’…' END,
+       CASE WHEN p_partkey % 2 = 0 THEN p_type || ' ’…' ELSE p_name || ' ’…' END,
+       'https://i.test/' || CAST(p_partkey AS VARCHAR) || '.png' FROM part""",
+
     "text_rewrite": """
 WITH t AS (SELECT doc_id, replace(""" + _rewrite("coalesce(text, '')", TEXT_MAP) + """, '&amp;', '&') AS t
            FROM documents)
@@ -315,7 +342,7 @@ SELECT doc_id, md5(t) AS md5, CAST(length(t) AS BIGINT) AS n_chars FROM t""",
 
     "nested_rewrite": """
 SELECT p_brand, p_partkey // 100 AS bucket,
-  string_agg(""" + _rewrite("p_name", NAME_MAP) + """, '|' ORDER BY p_partkey) AS names
+  string_agg(""" + _rewrite("p_name", NAME_MAP) + """ || ' <é’…', '|' ORDER BY p_partkey) AS names
 FROM part GROUP BY 1, 2""",
 
     "entity_decode": """

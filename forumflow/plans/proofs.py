@@ -33,7 +33,7 @@ from forumflow.plans.adapters import adapter, table
 from forumflow.session import pin_utc, staging_path
 from forumflow.sinks.writers import write_table
 from forumflow.sources.datasets import read_datasets
-from forumflow.sources.html import extract_pairs, extract_sections
+from forumflow.sources.html import extract_pairs, extract_sections, extract_table_rows
 from forumflow.sources.landed import (explode_moderators, explode_post_listing, explode_topic_map,
                                       parse_community_about, parse_flairs, parse_once, read_landed,
                                       split_article, status_counts)
@@ -417,10 +417,13 @@ def q_members_join(spark: SparkSession, d: str) -> DataFrame:
                       F.col("c_custkey").alias("ord"))
     posts = adapter(spark, d, "v_posts").where(not_deleted(F.col("author")))
     observed = member_refs(posts.withColumn("cid", strip_all("subreddit_id", "t5_"))
-                           .withColumn("ord", F.col("id").cast("bigint")),
+                           .withColumn("ord", F.col("id").cast("bigint"))
+                           # one user seen under two names
+                           .withColumn("author", F.when(F.col("ord") % 5 == 0, F.concat("author", F.lit("_old")))
+                                       .otherwise(F.col("author"))),
                            "cid", "author_fullname", "author", keep=["ord"])
     out = join_members(comm, mods, observed)
-    return out.select(F.col("community_id").alias("community"), "user_id", "is_moderator")
+    return out.select(F.col("community_id").alias("community"), "user_id", "name", "is_moderator")
 
 
 def q_users_table(spark: SparkSession, d: str) -> DataFrame:
@@ -462,6 +465,40 @@ def q_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     return first.select("doc_id", "from_set")
 
 
+def q_merge_children(spark: SparkSession, d: str) -> DataFrame:
+    """Two datasets that share a third of their posts, with different comments on them."""
+    from forumflow.plans.build import merge_datasets
+    root = staging_path(spark, "merge")
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = _t(spark, d, "orders").select("o_orderkey")
+    for name, left_out in (("a", 0), ("b", 1)):
+        posts = orders.where(F.col("o_orderkey") % 3 != left_out)
+        write_table(posts.select(F.col("o_orderkey").cast("string").alias("id"), F.lit(name).alias("title")),
+                    f"{root}/ds_{name}/posts.parquet")
+        write_table(posts.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+                    .select(F.col("o_orderkey").cast("string").alias("post_id"),
+                            F.concat(F.lit(name), F.col("l_linenumber").cast("string")).alias("body")),
+                    f"{root}/ds_{name}/comments.parquet")
+    return merge_datasets(spark, root, None)["comments"].select("post_id", "body")
+
+
+def q_landing_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Responses landed twice, payloads that don't parse, and lines that are no envelope."""
+    from forumflow.plans.build import stage_landed
+    root = staging_path(spark, "landing")
+    key = F.col("s_suppkey").cast("string")
+    name = lambda v: F.to_json(F.struct(F.struct(F.concat(F.lit(v), key).alias("name")).alias("data")))
+    sup = _t(spark, d, "supplier").select("s_suppkey")
+    for v, rows in (("a", sup), ("b", sup.where("s_suppkey % 3 = 0"))):
+        payload = F.when((F.lit(v) == "a") & (F.col("s_suppkey") % 7 == 1), F.concat(F.lit("<html>"), key)).otherwise(name(v))
+        line = F.to_json(F.struct(F.lit("community_about").alias("endpoint"), key.alias("key"), payload.alias("payload")))
+        broken = (F.lit(v) == "a") & (F.col("s_suppkey") % 11 == 2)
+        rows.select(F.when(broken, F.concat(F.lit("broken "), key)).otherwise(line).alias("value")).write.text(f"{root}/{v}")
+    ok, rejects = stage_landed(spark, f"{root}/*")
+    return ok.select("key", F.lit("ok").alias("kind"), F.get_json_object("payload", "$.data.name").alias("text")).union(
+        rejects.select("key", F.lit("reject"), "error"))
+
+
 def q_split_position(spark: SparkSession, d: str) -> DataFrame:
     cus = _t(spark, d, "customer").select("c_custkey")
     parts = split_by_position(cus, "c_custkey")
@@ -477,6 +514,23 @@ def q_html_rows(spark: SparkSession, d: str) -> DataFrame:
     return extract_pairs(_t(spark, d, "pages"), "page_id", "html")
 
 
+def q_html_table(spark: SparkSession, d: str) -> DataFrame:
+    """Award rows (title as is) and trophy rows (title and description by line) of packed pages."""
+    part = _t(spark, d, "part")
+    key = F.col("p_partkey").cast("string")
+    plain = F.lit("<table><tr><td>no image</td></tr>")
+    image = F.concat(F.lit('<tr class="r"><td><img alt="" src="//i.test/'), key, F.lit('.png"></td><td>'))
+    award = F.concat(plain, image, F.lit("<p>"), "p_name", F.lit(" caf&eacute;</p><p>x</p></td></tr></table>"))
+    trophy = F.concat(plain, F.regexp_replace(image, "<td>$", "<td>\n"), "p_name",
+                      F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n"), "p_type")).otherwise(F.lit("")),
+                      F.lit(" &#8217;&hellip;\n</td></tr></table>"))
+    pages = part.select("p_partkey", award.alias("award"), trophy.alias("trophy"))
+    cols = ["p_partkey", "kind", "ord", "title", "description", "image_link"]
+    awards = extract_table_rows(pages, "p_partkey", "award").withColumn("kind", F.lit("award"))
+    trophies = extract_table_rows(pages, "p_partkey", "trophy", scheme="https:", two_line=True).withColumn("kind", F.lit("trophy"))
+    return awards.select(cols).union(trophies.select(cols))
+
+
 SECTION_HEAD = r"<(nav|article|footer)[\s>]"
 SECTION_ITEM = r"<(li|p)[\s>]"
 
@@ -499,7 +553,8 @@ def q_text_rewrite(spark: SparkSession, d: str) -> DataFrame:
 def q_nested_rewrite(spark: SparkSession, d: str) -> DataFrame:
     part = _t(spark, d, "part")
     grouped = (part.groupBy("p_brand", F.floor(F.col("p_partkey") / 100).cast("bigint").alias("bucket"))
-               .agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))).alias("items")))
+               .agg(F.array_sort(F.collect_list(F.struct(
+                   "p_partkey", F.concat("p_name", F.lit(" &lt;&eacute;&#8217;&hellip;")).alias("p_name"), "p_type"))).alias("items")))
     out = rewrite_text(grouped, ["items[].p_name"], NAME_MAP)
     return out.select("p_brand", "bucket",
                       F.array_join(F.transform("items", lambda x: x.getField("p_name")), "|").alias("names"))
@@ -616,9 +671,12 @@ QUERIES: dict[str, Query] = {
     "dedup_first": q_dedup_first,
     "catalog_distinct": q_catalog_distinct,
     "union_dedup": q_union_dedup,
+    "merge_children": q_merge_children,
+    "landing_stage": q_landing_stage,
     "split_position": q_split_position,
     "html_rows": q_html_rows,
     "html_sections": q_html_sections,
+    "html_table": q_html_table,
     "text_rewrite": q_text_rewrite,
     "nested_rewrite": q_nested_rewrite,
     "entity_decode": q_entity_decode,

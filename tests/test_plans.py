@@ -7,7 +7,7 @@ from conftest import SF_SMALL
 
 from __spark_entry__ import queries
 
-PYTHON_ALLOWED = {"text_rewrite", "entity_decode", "html_sections"}
+PYTHON_ALLOWED = {"text_rewrite", "entity_decode", "html_sections", "nested_rewrite", "html_table", "merge_children"}
 
 
 def _plan(df) -> str:
