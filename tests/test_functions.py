@@ -4,11 +4,12 @@ semantics (property tests on random input plus named edge cases)."""
 import html
 import re
 from decimal import ROUND_HALF_EVEN, Decimal
+from urllib.parse import unquote
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import decode_entities, decode_entities_native
+from forumflow.functions.entities import decode_entities, decode_entities_native, decode_entity_arrays
 from forumflow.functions.rewrite import MERGE_REWRITE_MAP, rewrite_expr
 from forumflow.functions.text import age_years, human_count, human_date, shifted_date, strip_all
 from forumflow.functions.urls import clean_url
@@ -109,3 +110,18 @@ def test_rewrite_merge_map(spark):
 def test_rewrite_property(spark, xs):
     mapping = [("ab", "$1"), ("b", "\\"), ("r/", "v/")]
     assert _one_col(spark, xs, lambda c: rewrite_expr(c, mapping)) == [rewrite_spec(x, mapping) for x in xs]
+
+
+def test_clean_url_keeps_a_bad_percent_and_decodes_the_rest(spark):
+    urls = ["https://a.test/100%/x%20y", "https://a.test/%zz%41+b", "https://a.test/%", "https://a.test/%C3%A9&amp;b=1"]
+    want = [unquote(u.replace("&amp;", "&")) for u in urls]
+    assert _one_col(spark, urls, clean_url) == want
+
+
+def test_entity_arrays_are_decoded_exactly(spark):
+    rows = [(["&hellip; &eacute", "a &amp; b", None],), ([],), (None,), (["&amp;hellip; &lt;"],)]
+    df = spark.createDataFrame(rows, "a array<string>")
+    got = [r.a for r in df.select(decode_entity_arrays("a").alias("a")).collect()]
+    assert got == [None if r is None else [None if x is None else html.unescape(x) for x in r] for (r,) in rows]
+    nested = spark.createDataFrame([([["&#8217;", "x"], [], None],)], "a array<array<string>>")
+    assert nested.select(decode_entity_arrays("a", 2).alias("a")).first().a == [["’", "x"], [], None]

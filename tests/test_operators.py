@@ -186,3 +186,22 @@ def test_top_k_newest_first(spark):
     reqs = spark.createDataFrame([("c", 3)], "g string, k int")
     got = [(r.id, r.rn) for r in top_k_per_group(posts, reqs, "g", "k", sort_order("new")).orderBy("rn").collect()]
     assert got == [("b", 1), ("d", 2), ("e", 3)]
+
+
+def test_join_members_known_names(spark):
+    comm = spark.createDataFrame([("c1",), ("c2",)], "community_id string")
+    mods = spark.createDataFrame([("c1", "u1", "boss", 0), ("zz", "u9", "ghost", 0)],
+                                 "community_id string, user_id string, name string, ord bigint")
+    seen = spark.createDataFrame([("c2", "u1", "boss_old", 1), ("c2", "u2", "first", 1), ("c2", "u2", "second", 2),
+                                  ("c1", "u1", "boss_old", 1)],
+                                 "community_id string, user_id string, name string, ord bigint")
+    got = sorted(tuple(r) for r in join_members(comm, mods, seen).collect())
+    # a known user keeps the known name, so the two names are one member
+    assert got == [("c1", "u1", "boss", True), ("c2", "u1", "boss", False), ("c2", "u2", "first", False)]
+
+
+def test_broadcast_is_decided_by_bytes(spark):
+    from forumflow.operators.joins import measure
+    df = spark.createDataFrame([("x" * 1000, [1, 2]), (None, None)], "t string, a array<int>")
+    rows, size = measure(df)
+    assert rows == 2 and 1000 < size < 1200
