@@ -222,3 +222,17 @@ def test_read_datasets_json_lines_first_wins(spark):
     rows = read_datasets(spark, root, "posts", fmt="json")
     got = {r.id: r.title for r in keep_first(rows, ["id"], ["src_file", "src_row"]).collect()}
     assert got == {"1": "first", "2": "x"}
+
+
+def test_merge_published_below_its_root(spark):
+    root = tempfile.mkdtemp(prefix="ff-publish-")
+    for s, body in (("set1", "old"), ("set2", "new")):
+        write_table(spark.createDataFrame([("9", f"title {s}")], "id string, title string"), f"{root}/{s}/posts")
+        write_table(spark.createDataFrame([("9", body), (f"only-{s}", body)], "post_id string, body string"),
+                    f"{root}/{s}/comments")
+    out = f"{root}/a-merged"
+    for _ in range(2):                      # the second merge reads what the first one published
+        merge_datasets(spark, root, out)
+        assert [r.title for r in spark.read.parquet(f"{out}/posts").collect()] == ["title set1"]
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/comments").collect())
+        assert got == [("9", "old"), ("only-set1", "old"), ("only-set2", "new")]
