@@ -9,8 +9,10 @@ more than their sum.
 It is fitted on a bounded sample of the labelled rows: the first
 ``max_toxic`` / ``max_clean`` labelled ids of each kind in the order of their
 hashes, features computed where the documents lie, the fit in one task over the
-sample only. The model (at most 2**BITS rows) is broadcast and every whole text
-is scored.
+sample only. Where a cap is reached the classes are sampled at different rates;
+the log of the ratio of the two rates is then taken off w0, so that scores hold
+at the ratio of all usable labels whatever the caps. The model (at most 2**BITS
+rows) is broadcast and every whole text is scored.
 
 Defined results: a null or empty text scores the model's constant; labels other
 than 0 and 1 don't count, a document with several labels is toxic if one says so;
@@ -120,11 +122,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     return Machine(w0, full_w, full_v)
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels that may train. Rows whose crc32(doc_id) mod 3 is 1 are held out."""
+    return (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
+            .where("doc_id is not null and toxic in (0, 1)").where(F.pmod(id_crc32(), F.lit(3)) != 1)
+            .groupBy("doc_id").agg(F.max("toxic").alias("y")))
+
+
+def rate_shift(labels: DataFrame, max_toxic: int, max_clean: int) -> float:
+    """Log of the ratio of the two sampling rates, toxic to clean; 0 where a class has no rows."""
+    n = {int(r.y): r.n for r in usable(labels).groupBy("y").agg(F.count("*").alias("n")).collect()}    # two rows at most
+    taken = {y: min(n.get(y, 0), most) for y, most in ((1, max_toxic), (0, max_clean))}
+    return float(np.log(taken[1] / n[1]) - np.log(taken[0] / n[0])) if all(taken.values()) else 0.0
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
-    """(y, terms) of the sample. Rows whose crc32(doc_id) mod 3 is 1 are held out."""
-    known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
-             .where("doc_id is not null and toxic in (0, 1)").where(F.pmod(id_crc32(), F.lit(3)) != 1)
-             .groupBy("doc_id").agg(F.max("toxic").alias("y")))
+    """(y, terms) of the sample."""
+    known = usable(labels)
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = known.where("y = 1").orderBy(*order).limit(max_toxic).union(known.where("y = 0").orderBy(*order).limit(max_clean))
     ids = ids.withColumnRenamed("doc_id", "_id")           # at most max_toxic + max_clean rows
@@ -158,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
     if not found:
         return Machine(-30.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
     r = found[0]
-    return Machine(r.w0, np.frombuffer(r.w, np.float32), np.frombuffer(r.v, np.float32).reshape(-1, RANK))
+    return Machine(r.w0 - rate_shift(labels, max_toxic, max_clean), np.frombuffer(r.w, np.float32), np.frombuffer(r.v, np.float32).reshape(-1, RANK))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -331,6 +331,20 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.keep_clean(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_scores_hold_at_the_ratio_of_all_labels(spark):
+    """Both caps are reached: the sample is half toxic, the labels are 1 in 10."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        y = int(i % 10 == 0)
+        bad = rng.random() < (0.6 if y else 0.1)
+        rows.append((i, " ".join([*(["insult"] if bad else []), *(f"w{rng.randrange(40)}" for _ in range(8))]), y))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), max_toxic=150, max_clean=150).toPandas()
+    assert abs(got.score.mean() - 0.1) < 0.03
+    assert got.predicted.sum() == 0              # of the texts with the word 4 in 10 are toxic
+
+
 def test_machine_learns_a_pair():
     """A pair of terms is toxic, each term alone is not: additive weights can't tell."""
     rng = np.random.default_rng(0)
