@@ -37,8 +37,11 @@ MAX_TOXIC, MAX_CLEAN = 4000, 8000
 STARTS = (4, 5, 6)
 EPOCHS, RATE, L2_W, L2_V = 200, 0.3, 1e-4, 1e-4
 #: A term takes part if it is in so many sampled texts, and its toxic share is so many
-#: standard deviations off the sample's share: rare terms would only be learnt by heart.
+#: standard deviations off the sample's share, or a pair with it tells more than its terms
+#: alone (``paired``): rare terms would only be learnt by heart.
 MIN_DOCS, MIN_Z = 5, 4.0
+#: Bound of the chance that any pair at all takes part without meaning, in each direction.
+FALSE_PAIRS = 0.01
 #: Words whose terms a task remembers.
 CACHE_WORDS = 100_000
 THRESHOLD = 0.7
@@ -90,6 +93,52 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(ids, np.r_[0, np.cumsum(sizes)[:-1]], sizes), -30, 30)))
 
 
+def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.ndarray, block: int = 2048) -> np.ndarray:
+    """Terms of the pairs that are toxic more often than either term and the sample, or less often than all three.
+
+    A pair in m texts, k of them toxic, counts if m * KL(k / m, the nearest of
+    the three shares), which bounds the binomial tail, is at least the log of
+    the number of pairs over FALSE_PAIRS. All pairs are counted, in blocks;
+    only terms that can't reach this with any partner are left out before.
+    """
+    ids, share = np.flatnonzero(seen >= MIN_DOCS), y.mean()
+    least = np.log(max(1, len(ids) * (len(ids) - 1) / 2) / FALSE_PAIRS)
+    own = np.clip(toxic[ids] / seen[ids], 1e-9, 1 - 1e-9)
+    hi, lo = np.maximum(own, share), np.minimum(own, share)
+    need1, need0 = -least / np.log(hi), -least / np.log1p(-lo)      # texts of one kind that a pair needs at least
+    able = (toxic[ids] >= need1) | (seen[ids] - toxic[ids] >= need0)
+    ids, (hi, lo, need1, need0) = ids[able], (x[able].astype(np.float32) for x in (hi, lo, need1, need0))
+    place = np.full(len(seen), -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    first = [place[rows[i]] for i in np.argsort(-y, kind="stable")]        # toxic texts first
+    first, n1 = [c[c >= 0] for c in first], int(y.sum())
+    column = np.concatenate(first)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in first])[order]
+
+    def dense(a: int) -> np.ndarray:
+        s, e = np.searchsorted(column, (a, a + block))
+        x = np.zeros((len(rows), min(block, len(ids) - a)), np.float32)
+        x[row[s:e], column[s:e] - a] = 1
+        return x
+
+    found = np.zeros(len(ids), bool)
+    for a in range(0, len(ids), block):
+        x, at = dense(a), slice(a, a + block)
+        for b in range(a, len(ids), block):
+            z, to = x if a == b else dense(b), slice(b, b + block)
+            k1, k0 = x[:n1].T @ z[:n1], x[n1:].T @ z[n1:]
+            top, low = np.maximum.outer(hi[at], hi[to]), np.minimum.outer(lo[at], lo[to])
+            more = (k1 >= np.maximum.outer(need1[at], need1[to])) & (k1 > top * (k1 + k0))
+            less = (k0 >= np.maximum.outer(need0[at], need0[to])) & (k1 < low * (k1 + k0))
+            i, j = np.nonzero(more | less)
+            k, n = k1[i, j].astype(np.float64), (k1[i, j] + k0[i, j]).astype(np.float64)
+            q, p = k / n, np.where(more[i, j], top[i, j], low[i, j]).astype(np.float64)
+            good = k * np.log(np.maximum(q, 1e-300) / p) + (n - k) * np.log(np.maximum(1 - q, 1e-300) / (1 - p)) >= least
+            found[a + i[good]] = found[b + j[good]] = True
+    return ids[found]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     """Adagrad on the logistic loss over the whole sample, from zero weights and small random factors."""
     size, share = 1 << BITS, y.mean()
@@ -98,6 +147,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     toxic = np.bincount(every, np.repeat(y, [len(r) for r in rows]), size)
     off = np.abs(toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     kept = (seen >= MIN_DOCS) & (off >= MIN_Z)
+    kept[paired(rows, y, seen, toxic)] = True
     rows = [r[kept[r]] for r in rows]
     used, codes = np.unique(np.concatenate(rows), return_inverse=True)
     sizes = np.array([len(r) for r in rows])

@@ -359,6 +359,22 @@ def test_machine_learns_a_pair():
     assert s[0] > 0.7 and (s[1:] < 0.5).all()
 
 
+def test_machine_learns_a_pair_of_terms_that_say_nothing_alone():
+    """Each of the terms is as toxic as the sample (z = 0); with both the text is toxic, with one it is clean."""
+    rng = np.random.default_rng(1)
+    kinds = [([7, 9], 1)] * 60 + [([7], 0)] * 240 + [([9], 0)] * 240 + [([11], 1)] * 140 + [([], 0)] * 320
+    rows = [np.unique([*t, *rng.integers(100, 130, 3)]).astype(np.int32) for t, _ in kinds]
+    y = np.array([float(k) for _, k in kinds])
+    for term in (7, 9):
+        assert y[[term in r for r in rows]].mean() == y.mean() == 0.2
+    seen = np.bincount(np.concatenate(rows), minlength=130)
+    toxic = np.bincount(np.concatenate(rows), np.repeat(y, [len(r) for r in rows]), 130)
+    for block in (5, 2048):
+        assert {7, 9} <= set(toxicity.paired(rows, y, seen, toxic, block).tolist())
+    s = toxicity.fit(rows, y).scores([np.array(r, np.int32) for r in ([7, 9], [7], [9], [])])
+    assert s[0] > 0.7 and (s[1:] < 0.5).all()
+
+
 # -- 6 ------------------------------------------------------------------------
 
 def test_bpe(docs, odd, empty):
