@@ -52,6 +52,17 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: What redact() hides of a private key: the header and all up to the END line; where that is missing
+#: (cut off, or another "-----" comes first), its "Name: value" lines and its runs of base64.
+_HEADER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_TO_END = r"(?s:(?:(?!-----).)*+)-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_BREAK = r"""(?:[\s"'`>#|,;+]|\\[nrt])*+"""       # line breaks, also as in source code or a quoted mail
+_RUNS = (rf"(?:(?:{_BREAK}[A-Z][A-Za-z-]*+:\x20[^\r\n\\]*+(?=[\r\n\\]))*+"
+         rf"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+=*+)++"
+         rf"""(?:(?:\r?\n|\\n)(?:[A-Za-z0-9+/]++=++|[A-Za-z0-9+/]++(?=\x20*+(?:\z|[\r\n\\"']))))?+)?+""")
+#: Findings mark a key by its header; masking it takes the whole key.
+MASK_RULES = tuple(Rule("pem", f"{_HEADER}(?:{_TO_END}|{_RUNS})", version=2) if r.name == "pem" else r for r in RULES)
+
 
 def _matches(rule: Rule) -> Column:
     """array<struct(gap, len, keep)>: code points since the last match, of the match, and whether it stays."""
@@ -134,9 +145,10 @@ def doc_findings(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by ``mark``; ``n_chars`` follows, other columns stay.
 
-    Overlapping spans of several rules are replaced as one.
+    A private key goes whole, not by its header only. Overlapping spans of
+    several rules are replaced as one.
     """
-    _, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"))
+    _, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), rules=MASK_RULES)
     run = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1))
     starts = findings.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1))
