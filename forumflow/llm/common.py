@@ -63,7 +63,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared folder and read it back: cuts the lineage."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def small_side(df: DataFrame, row_bytes: int = 32, limit: int = 24 << 20) -> DataFrame:
@@ -71,6 +73,23 @@ def small_side(df: DataFrame, row_bytes: int = 32, limit: int = 24 << 20) -> Dat
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def salted_left_join(rows: DataFrame, side: DataFrame, key: str, row_bytes: int = 32, limit: int = 24 << 20, salts: int = 64) -> DataFrame:
+    """Left join with a written table of one row per ``key``: broadcast within the limit, else with the side's
+    rows repeated per salt, so that a hot key of ``rows`` is dealt to many tasks."""
+    if side.count() * row_bytes <= limit:
+        return rows.join(F.broadcast(side), key, "left")
+    side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return rows.join(side, [key, "_salt"], "left").drop("_salt")
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete a table that ``staged`` returned and that is not read any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express, over whole tables and by brute force.
 
-The others have none: models and tokenizers aren't SQL, nor is crc32 here.
+The others have none: models and tokenizers aren't SQL, nor is the crc32 of whole texts.
 """
 
 from __future__ import annotations
@@ -98,9 +98,77 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN digest USING (row_id)
 """
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a short ASCII text, bit by bit."""
+    step = "CASE WHEN bits & 1 = 1 THEN xor(bits >> 1, 3988292384) ELSE bits >> 1 END"
+    byte = f"list_reduce(range(8), lambda bits, unused: {step}, xor(crc, code))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda place: ascii(substr({text}, place, 1))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda crc, code: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id::BIGINT c, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, sha256(length(r)::VARCHAR || ':' || r || x) t, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) w,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, sha256(length(r)::VARCHAR || ':' || r || x)) p FROM turns),
+convs AS (SELECT c, {_crc32('CAST(c AS VARCHAR)')} % 4 h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT c, p, t, w FROM own JOIN convs USING (c) WHERE p > h
+  UNION ALL SELECT convs.c, p, t, w FROM convs JOIN own ON own.c = convs.c - (convs.c % 20 + 20) % 20 AND p <= h),
+prefixes AS (
+  SELECT c, list(t) OVER up k, w, lead(p) OVER (PARTITION BY c ORDER BY p) IS NULL ends FROM rebuilt
+  WINDOW up AS (PARTITION BY c ORDER BY p)
+  UNION ALL SELECT c, [], 0, c NOT IN (SELECT c FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT k, min(c) conv_id, len(k) depth, count(*) n_convs, (count(*) - 1) * max(w) saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) ends_sha256 FROM prefixes GROUP BY k),
+kids AS (SELECT k[:-2] k, count(*) n FROM nodes WHERE depth > 0 GROUP BY 1),
+above AS (SELECT nodes.k[1:d] k, saved, kids.n IS NULL leaf FROM nodes LEFT JOIN kids USING (k), unnest(range(0, depth + 1)) u(d)),
+totals AS (SELECT k, sum(saved)::BIGINT saved_tokens, (count(*) FILTER (WHERE leaf))::BIGINT n_leaves FROM above GROUP BY k)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes JOIN totals USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes up ON nodes.depth > 0 AND up.k = nodes.k[:-2]
+"""
+
+
+def _vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Full search in every round over single components."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT row, part, min(d * {entries} + entry) best FROM (
+    SELECT x.row, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT d
+    FROM comp x JOIN book{n} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL) GROUP BY row, part)""")
+        if n < rounds:
+            steps.append(f"""book{n + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.v, b.v) v FROM book{n} b LEFT JOIN (
+    SELECT x.part, best % {entries} entry, x.pos, (sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*))::BIGINT // count(*) v
+    FROM comp x JOIN near{n} USING (row, part) GROUP BY ALL) m USING (part, entry, pos))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 row, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+size AS (SELECT greatest(1, ceil(max(len(embedding)) / {parts}.0)::BIGINT) width FROM kept),
+comp AS MATERIALIZED (
+  SELECT row, i // width part, i % width pos, coalesce(floor(1024 * embedding[i + 1]::DOUBLE), 0)::BIGINT v
+  FROM kept, size, unnest(range(0, width * {parts})) u(i)),
+book0 AS MATERIALIZED (SELECT part, row entry, pos, v FROM comp WHERE row < {entries}),
+{(',' + chr(10)).join(steps)},
+coded AS (
+  SELECT row, string_agg(lpad(lower(hex(best % {entries})), 2, '0'), '' ORDER BY part) code, sum(best // {entries})::BIGINT error
+  FROM near{rounds} GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (row)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_ngram_join": NGRAM_JOIN,
     "op2_topk_search": TOPK_SEARCH,
     "op4_decontamination": DECONTAMINATION,
     "op7_secret_scan": SECRET_SCAN,
+    "op11_conversation_trie": CONVERSATION_TRIE,
+    "op13_vector_codes": _vector_codes(),
 }

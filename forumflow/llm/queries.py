@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumflow.llm import bpe, decontam, ngram_join, ppm, secret_scan, sharding, token_counts, token_files, topk, toxicity
+from forumflow.llm import (ball_kmeans, bpe, decontam, ngram_join, ppm, prefix_trie, quality, secret_scan, sharding, token_counts,
+                           token_files, topk, toxicity)
 from forumflow.llm.common import table
 from forumflow.llm.oracle import ORACLE
 
@@ -65,6 +66,18 @@ def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard")))
 
 
+def q_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": q_ngram_join,
     "op2_topk_search": q_topk_search,
@@ -76,6 +89,9 @@ QUERIES = {
     "op8_lm_score": q_lm_score,
     "op9_token_files": q_token_files,
     "op10_sharding": q_sharding,
+    "op11_conversation_trie": q_conversation_trie,
+    "op12_quality": q_quality,
+    "op13_vector_codes": q_vector_codes,
 }
 
 __all__ = ["ORACLE", "QUERIES", "bpe_digest"]
