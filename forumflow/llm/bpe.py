@@ -3,6 +3,9 @@
 Texts longer than ``cut_chars`` are first cut at safe boundaries: a single
 blank between two characters that are not white space always starts a match
 of the pre-split pattern, so encoding the parts gives the ids of the whole.
+A run of white space is one match, but for its last character where another
+character follows; long runs are cut out so and encoded as one piece, since the
+pattern's search would need stack in proportion to them.
 Decoding joins the raw bytes of the ids; parts of a character come out as they
 went in.
 
@@ -27,6 +30,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, ids array<int>, decoded binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: What the pattern's ``\s`` holds, 4,096 characters or more of it.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 #: Ids in one Arrow batch that goes back to Spark, about.
 BATCH_IDS = 1 << 20
 
@@ -49,6 +54,16 @@ def safe_parts(text: str, cut_chars: int) -> Iterator[str]:
 
 
 def encode_text(enc, text: str, cut_chars: int) -> list[int]:
+    ids, start = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += _encode_parts(enc, text[start:run.start()], cut_chars)
+        ids += enc._encode_single_piece(text[run.start():end])
+        start = end
+    return ids + _encode_parts(enc, text[start:], cut_chars)
+
+
+def _encode_parts(enc, text: str, cut_chars: int) -> list[int]:
     if len(text) <= cut_chars:
         return enc.encode_ordinary(text)
     return [i for part in safe_parts(text, cut_chars) for i in enc.encode_ordinary(part)]

@@ -90,6 +90,25 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores until no frame has such a column in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_digest(text: str = "text") -> Column:
+    """SHA-256 of the text; a null text counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def drop_texts(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows whose text's digest is not in the written one-column table ``bad``; ids play no part."""
+    name = free_name("_bad", docs)
+    return docs.join(small_side(bad.toDF(name), row_bytes=96), text_digest() == F.col(name), "left_anti")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
