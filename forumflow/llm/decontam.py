@@ -13,8 +13,9 @@ block, with one automaton in memory at a time.
 
 Defined results: a null or empty text has no words and no hits; an item
 without words has no window; equal windows of several items count for each of
-them; repeated items (same id) count once; repeated documents give a row each;
-columns other than the id and the text are ignored.
+them; repeated items (same id) count once, and so do all items without an id,
+which come last in ``items``; repeated documents give a row each; columns other
+than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import blocks_for, doc_text, small_side, staged, text_slices, word_bytes, words
+from forumflow.llm.common import blocks_for, doc_text, drop_texts, ship, staged, text_digest, text_slices, word_bytes, words
 
 SCHEMA = ("doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, "
           "spans array<struct<start:bigint,end:bigint>>")
@@ -102,10 +103,15 @@ def _char_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, *, window: int = 10,
-                       block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated_spans(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per document: ``SCHEMA``. ``spans`` are the merged hit stretches."""
+    return _scanned(doc_text(docs).select(F.col("doc_id").cast("bigint"), "text"), items, SCHEMA, _ARROW, **options)
+
+
+def _scanned(docs: DataFrame, items: DataFrame, schema: str, arrow: pa.Schema, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """``docs`` is (key, text); the key comes back as the first column of ``schema``."""
     spark = docs.sparkSession
+    key = arrow.names[0]
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0]
     n = blocks_for(total, block_bytes)
@@ -130,16 +136,18 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, *, window: int = 10,
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 m = hits.get(k, ())
                 ranges = merged([(a, b) for a, b, _ in m])
-                rows.append({"doc_id": doc_id, "n_words": len(split[k]), "n_hit": sum(b - a for a, b in ranges),
-                             "items": sorted({i for _, _, ids in m for i in ids}),
+                rows.append({key: doc_id, "n_words": len(split[k]), "n_hit": sum(b - a for a, b in ranges),
+                             "items": sorted({i for _, _, ids in m for i in ids}, key=lambda i: (i is None, i or 0)),
                              "spans": _char_spans(texts[k], ranges) if m else []})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return doc_text(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, SCHEMA)
+    return docs.mapInArrow(scan, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without any hit word, with their own columns."""
-    bad = contaminated_spans(docs, items, **options).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    bad = small_side(staged(bad, "contaminated"))
-    return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_bad"], "left_anti")
+    """The documents without any hit word, with their own columns; each row by its own text, whatever its id."""
+    ship(docs.sparkSession)
+    texts = docs.select(text_digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    found = _scanned(texts, items, SCHEMA.replace("doc_id bigint", "digest string"),
+                     pa.schema([("digest", pa.string()), *list(_ARROW)[1:]]), **options)
+    return drop_texts(docs, staged(found.where("n_hit > 0").select("digest").distinct(), "contaminated"))
