@@ -15,7 +15,8 @@ at the ratio of all usable labels whatever the caps. The model (at most 2**BITS
 rows) is broadcast and every whole text is scored.
 
 Defined results: a null or empty text scores the model's constant; labels other
-than 0 and 1 don't count, a document with several labels is toxic if one says so;
+than 0 and 1 don't count, nor do labels without a document; a document with several
+labels is toxic if one says so; equal rows of the sample are one row that weighs as many;
 without any usable label of both kinds every score is the share of toxic
 labels (0 without labels); repeated documents give a row each; other columns
 are ignored.
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import doc_text, id_crc32, small_side, staged, text_slices, words
+from forumflow.llm.common import doc_text, drop_texts, id_crc32, staged, text_digest, text_slices, words
 
 BITS, RANK = 18, 4
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
@@ -93,7 +94,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(ids, np.r_[0, np.cumsum(sizes)[:-1]], sizes), -30, 30)))
 
 
-def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.ndarray, block: int = 2048) -> np.ndarray:
+def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.ndarray, block: int = 2048,
+           weight: np.ndarray | None = None) -> np.ndarray:
     """Terms of the pairs that are toxic more often than either term and the sample, or less often than all three.
 
     A pair in m texts, k of them toxic, counts if m * KL(k / m, the nearest of
@@ -101,7 +103,8 @@ def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.nd
     the number of pairs over FALSE_PAIRS. All pairs are counted, in blocks;
     only terms that can't reach this with any partner are left out before.
     """
-    ids, share = np.flatnonzero(seen >= MIN_DOCS), y.mean()
+    weight = np.ones(len(y)) if weight is None else weight
+    ids, share = np.flatnonzero(seen >= MIN_DOCS), np.average(y, weights=weight)
     least = np.log(max(1, len(ids) * (len(ids) - 1) / 2) / FALSE_PAIRS)
     own = np.clip(toxic[ids] / seen[ids], 1e-9, 1 - 1e-9)
     hi, lo = np.maximum(own, share), np.minimum(own, share)
@@ -110,7 +113,8 @@ def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.nd
     ids, (hi, lo, need1, need0) = ids[able], (x[able].astype(np.float32) for x in (hi, lo, need1, need0))
     place = np.full(len(seen), -1, np.int32)
     place[ids] = np.arange(len(ids))
-    first = [place[rows[i]] for i in np.argsort(-y, kind="stable")]        # toxic texts first
+    toxic_first = np.argsort(-y, kind="stable")
+    first, copies = [place[rows[i]] for i in toxic_first], weight[toxic_first].astype(np.float32)[:, None]
     first, n1 = [c[c >= 0] for c in first], int(y.sum())
     column = np.concatenate(first)
     order = np.argsort(column, kind="stable")
@@ -127,7 +131,7 @@ def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.nd
         x, at = dense(a), slice(a, a + block)
         for b in range(a, len(ids), block):
             z, to = x if a == b else dense(b), slice(b, b + block)
-            k1, k0 = x[:n1].T @ z[:n1], x[n1:].T @ z[n1:]
+            k1, k0 = x[:n1].T @ (z[:n1] * copies[:n1]), x[n1:].T @ (z[n1:] * copies[n1:])
             top, low = np.maximum.outer(hi[at], hi[to]), np.minimum.outer(lo[at], lo[to])
             more = (k1 >= np.maximum.outer(need1[at], need1[to])) & (k1 > top * (k1 + k0))
             less = (k0 >= np.maximum.outer(need0[at], need0[to])) & (k1 < low * (k1 + k0))
@@ -139,15 +143,30 @@ def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.nd
     return ids[found]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Adagrad on the logistic loss over the whole sample, from zero weights and small random factors."""
-    size, share = 1 << BITS, y.mean()
-    every = np.concatenate(rows)
-    seen = np.bincount(every, minlength=size)
-    toxic = np.bincount(every, np.repeat(y, [len(r) for r in rows]), size)
+def loss_gradient(w0: float, w: np.ndarray, v: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray,
+                  y: np.ndarray, weight: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Mean weighted logistic loss (without its L2 terms) and its gradient by w0, w and v."""
+    vi = v[codes]
+    sums = _segment_sums(vi, starts, sizes)
+    margin = w0 + _segment_sums(w[codes], starts, sizes) + (sums ** 2 - _segment_sums(vi * vi, starts, sizes)).sum(1) / 2
+    part = weight / weight.sum()
+    loss = float((part * (np.logaddexp(0, margin) - y * margin)).sum())
+    e = part * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
+    dv = np.stack([np.bincount(codes, e[owner] * (sums[owner, f] - vi[:, f]), len(w)) for f in range(v.shape[1])], 1)
+    return loss, float(e.sum()), np.bincount(codes, e[owner], len(w)), dv
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None) -> Machine:
+    """Adagrad on the logistic loss over the whole sample, from zero weights and small random factors.
+    A row counts ``weight`` times."""
+    weight = np.ones(len(y)) if weight is None else weight.astype(np.float64)
+    size, share = 1 << BITS, np.average(y, weights=weight)
+    every, copies = np.concatenate(rows), np.repeat(weight, [len(r) for r in rows])
+    seen = np.bincount(every, copies, minlength=size)
+    toxic = np.bincount(every, copies * np.repeat(y, [len(r) for r in rows]), size)
     off = np.abs(toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     kept = (seen >= MIN_DOCS) & (off >= MIN_Z)
-    kept[paired(rows, y, seen, toxic)] = True
+    kept[paired(rows, y, seen, toxic, weight=weight)] = True
     rows = [r[kept[r]] for r in rows]
     used, codes = np.unique(np.concatenate(rows), return_inverse=True)
     sizes = np.array([len(r) for r in rows])
@@ -155,16 +174,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     rng = np.random.default_rng(3)
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), RANK))
     g0, gw, gv = 1e-8, np.full(len(used), 1e-8), np.full((len(used), RANK), 1e-8)
-    n = len(used)
     for _ in range(EPOCHS):
-        vi = v[codes]
-        sums = _segment_sums(vi, starts, sizes)
-        margin = w0 + _segment_sums(w[codes], starts, sizes) + (sums ** 2 - _segment_sums(vi * vi, starts, sizes)).sum(1) / 2
-        e = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
-        d = np.bincount(codes, e[owner], n) + L2_W * w
-        dv = np.stack([np.bincount(codes, e[owner] * (sums[owner, f] - vi[:, f]), n) for f in range(RANK)], 1) + L2_V * v
-        g0, gw, gv = g0 + e.sum() ** 2, gw + d ** 2, gv + dv ** 2
-        w0 -= RATE * e.sum() / np.sqrt(g0)
+        _, d0, d, dv = loss_gradient(w0, w, v, codes, starts, sizes, owner, y, weight)
+        d, dv = d + L2_W * w, dv + L2_V * v
+        g0, gw, gv = g0 + d0 ** 2, gw + d ** 2, gv + dv ** 2
+        w0 -= RATE * d0 / np.sqrt(g0)
         w -= RATE * d / np.sqrt(gw)
         v -= RATE * 0.1 * dv / np.sqrt(gv)
     full_w, full_v = np.zeros(size, np.float32), np.zeros((size, RANK), np.float32)
@@ -172,23 +186,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     return Machine(w0, full_w, full_v)
 
 
-def usable(labels: DataFrame) -> DataFrame:
-    """(doc_id, y) of the labels that may train. Rows whose crc32(doc_id) mod 3 is 1 are held out."""
-    return (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
+def usable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels that may train and have a document. Rows whose crc32(doc_id) mod 3 is 1 are held out."""
+    known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
             .where("doc_id is not null and toxic in (0, 1)").where(F.pmod(id_crc32(), F.lit(3)) != 1)
             .groupBy("doc_id").agg(F.max("toxic").alias("y")))
+    return known.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
-def rate_shift(labels: DataFrame, max_toxic: int, max_clean: int) -> float:
+def rate_shift(known: DataFrame, max_toxic: int, max_clean: int) -> float:
     """Log of the ratio of the two sampling rates, toxic to clean; 0 where a class has no rows."""
-    n = {int(r.y): r.n for r in usable(labels).groupBy("y").agg(F.count("*").alias("n")).collect()}    # two rows at most
+    n = {int(r.y): r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}    # two rows at most
     taken = {y: min(n.get(y, 0), most) for y, most in ((1, max_toxic), (0, max_clean))}
     return float(np.log(taken[1] / n[1]) - np.log(taken[0] / n[0])) if all(taken.values()) else 0.0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
-    """(y, terms) of the sample."""
-    known = usable(labels)
+def training_sample(docs: DataFrame, known: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
+    """(y, terms, n) of the sample: n rows have these terms. ``known`` is ``usable``."""
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = known.where("y = 1").orderBy(*order).limit(max_toxic).union(known.where("y = 0").orderBy(*order).limit(max_clean))
     ids = ids.withColumnRenamed("doc_id", "_id")           # at most max_toxic + max_clean rows
@@ -200,7 +214,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int32()), pa.array([terms(t, cache).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()],
                                                             pa.binary())], names=["y", "terms"])
-    return rows.mapInArrow(run, "y int, terms binary")
+    return rows.mapInArrow(run, "y int, terms binary").groupBy("y", "terms").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Machine:
@@ -209,33 +223,38 @@ def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max
         y = sample.column("y").to_numpy().astype(np.float64)
         rows = [np.frombuffer(t, np.int32) for t in sample.column("terms").to_pylist()]
         order = sorted(range(len(y)), key=lambda i: (y[i], rows[i].tobytes()))     # the same fit whatever the order of tasks
-        order = [i for k, i in enumerate(order) if not k or (y[i], rows[i].tobytes()) != (y[order[k - 1]], rows[order[k - 1]].tobytes())]
-        y, rows = y[order], [rows[i] for i in order]                               # copies teach nothing new
+        y, weight, rows = y[order], sample.column("n").to_numpy()[order], [rows[i] for i in order]
         if y.min() == y.max():
             m = Machine(30.0 if y[0] else -30.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
         else:
-            m = fit(rows, y)
+            m = fit(rows, y, weight)
         return pa.table({"w0": [float(m.w0)], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
 
-    sample = training_sample(docs, labels, max_toxic, max_clean)
+    known = staged(usable(docs, labels), "toxic-labels")
+    sample = training_sample(docs, known, max_toxic, max_clean)
     found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(run, "w0 double, w binary, v binary").collect()
     if not found:
         return Machine(-30.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
     r = found[0]
-    return Machine(r.w0 - rate_shift(labels, max_toxic, max_clean), np.frombuffer(r.w, np.float32), np.frombuffer(r.v, np.float32).reshape(-1, RANK))
+    return Machine(r.w0 - rate_shift(known, max_toxic, max_clean), np.frombuffer(r.w, np.float32), np.frombuffer(r.v, np.float32).reshape(-1, RANK))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, score of every whole text."""
+    return _scored(doc_text(docs).select(F.col("doc_id").cast("bigint"), "text"), machine, "doc_id bigint")
+
+
+def _scored(docs: DataFrame, machine: Machine, key: str) -> DataFrame:
+    """``docs`` is (key, text); ``key`` its name and type."""
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = Machine(*model.value), {}
         for batch in text_slices(batches, 1):
             rows = [terms(t, cache) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(rows), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(rows), pa.float64())], names=[key.split()[0], "score"])
 
-    return doc_text(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
+    return docs.mapInArrow(run, f"{key}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -246,7 +265,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that aren't predicted toxic."""
-    bad = staged(toxicity(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct(), "toxic")
-    bad = small_side(bad)
-    return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_bad"], "left_anti")
+    """The documents that aren't predicted toxic; each row by its own text, whatever its id."""
+    machine = train(docs, labels, **options)
+    texts = docs.select(text_digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    bad = _scored(texts, machine, "digest string").where(F.col("score") >= THRESHOLD)
+    return drop_texts(docs, staged(bad.select("digest").distinct(), "toxic"))
