@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from forumflow.llm.common import doc_text, shuffle_parts, small_side, staged, text_slices, words
+from forumflow.llm.common import free_name, doc_text, shuffle_parts, small_side, staged, text_slices, words
 
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 96
 _SIG = "doc_id bigint, node binary, n_shingles bigint, bands array<bigint>"
@@ -320,12 +320,16 @@ def near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the least doc_id of their class; repeated rows of it count as one.
+    """One row of each class: that with the least doc_id (null last), of several such rows any one.
 
-    Rows without a doc_id can't be named and stay.
+    Rows are told apart by numbers of their own, so ids may be null or repeated;
+    a row without words is in no class and stays.
     """
-    classes = staged(near_duplicates(docs, **options), "nj-result")
-    gone = staged(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "nj-gone")
-    kept = docs.join(small_side(gone), docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
-    repeated = classes.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    number, row_id = free_name("_row", docs), free_name("_id", docs)
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "nj-numbered")
+    classes = staged(near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"), **options)
+                     .where("n_links > 0").select(F.col("doc_id").alias(number), "class_id"), "nj-result")
+    named = numbered.select(number, F.col("doc_id").cast("bigint").alias(row_id)).join(small_side(classes), number)
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col(row_id).isNull(), row_id, number)).alias("first"))
+    gone = staged(classes.select(number).join(first.select(F.col(f"first.{number}").alias(number)), number, "left_anti"), "nj-gone")
+    return numbered.join(small_side(gone), number, "left_anti").drop(number)
