@@ -24,9 +24,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from forumflow.llm.common import small_side, staged
+from forumflow.llm.common import free_name, small_side, staged
 
 
 @dataclass(frozen=True)
@@ -88,13 +88,16 @@ def unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | Non
     return pairs.groupBy("blob", "path").agg(F.collect_set("rule").alias("rules"))   # as many as rules at most
 
 
-def scan_versions(versions: DataFrame, *, rules: tuple[Rule, ...] = RULES,
-                  ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, *, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None,
+                  known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``versions`` (path, text) -> (paths, ledger, findings).
 
     paths: path, blob - a row per version. ledger: blob, rule, version - the
-    pairs scanned by this call, to be appended. findings: blob, rule, version,
-    start, end - of this call's scans, in code points, end exclusive.
+    pairs scanned by this call, to be appended to the ledger. findings: blob,
+    rule, version, start, end - of this call's scans, in code points, end
+    exclusive. ``known`` are the findings of the pairs in ``ledger``: those of
+    these paths' blobs at the rules' versions then come with the new ones, so a
+    new path with a blob scanned before shows its secrets.
     """
     hashed = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = staged(hashed.select("path", "blob"), "secret-paths")
@@ -114,9 +117,27 @@ def scan_versions(versions: DataFrame, *, rules: tuple[Rule, ...] = RULES,
                 .where("m.keep")
                 .select("blob", "rule", "version", (F.col("end") - F.col("m.len")).cast("bigint").alias("start"),
                         F.col("end").cast("bigint").alias("end")))
+    if known is not None:
+        # a pair that is scanned now is not in the ledger, whatever ``known`` holds of it
+        old = known.where(numbers[F.col("rule")] == F.col("version")).join(paths.select("blob").distinct(), "blob", "left_semi")
+        findings = findings.unionByName(old.join(scanned, ["blob", "rule", "version"], "left_anti").select(*findings.columns).distinct())
     return paths, scanned, findings
 
 
+def record(path: str, scanned: DataFrame, findings: DataFrame) -> None:
+    """Append a call's pairs and findings to the ledger tables below ``path``; findings first, so that a pair in
+    the ledger always has its findings there (a repeated finding counts once)."""
+    findings.join(scanned, ["blob", "rule", "version"], "left_semi").write.mode("append").parquet(f"{path}/findings")
+    scanned.write.mode("append").parquet(f"{path}/scanned")
+
+
+def recorded(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The ledger below ``path`` as the options ``ledger`` and ``known``."""
+    pair = "blob string, rule string, version int"
+    return {"ledger": spark.read.schema(pair).parquet(f"{path}/scanned"),
+            "known": spark.read.schema(f"{pair}, start bigint, end bigint").parquet(f"{path}/findings")}
+
+
 def _joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])), ",")
 
@@ -132,9 +153,9 @@ def blob_digest(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
         _joined(F.collect_list(one)).alias("spans"))
 
 
-def doc_findings(docs: DataFrame) -> DataFrame:
+def doc_findings(docs: DataFrame, **ledger) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans, spans - a row per document."""
-    paths, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"))
+    paths, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), **ledger)
     found = staged(blob_digest(findings), "secret-digest")
     zero = {f"n_{r.name}": F.coalesce(f"n_{r.name}", F.lit(0)).cast("bigint") for r in BASE_RULES}
     return (paths.join(found, "blob", "left")
@@ -142,31 +163,32 @@ def doc_findings(docs: DataFrame) -> DataFrame:
                     F.coalesce("base_spans", F.lit("")).alias("base_spans"), F.coalesce("spans", F.lit("")).alias("spans")))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", **ledger) -> DataFrame:
     """The documents with every found span replaced by ``mark``; ``n_chars`` follows, other columns stay.
 
     A private key goes whole, not by its header only. Overlapping spans of
     several rules are replaced as one.
     """
-    _, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), rules=MASK_RULES)
+    _, _, findings = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), rules=MASK_RULES, **ledger)
+    spanned, blob, key = (free_name(n, docs) for n in ("_spans", "_blob", "_key"))
     run = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1))
     starts = findings.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1))
     joint = (starts.withColumn("g", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy("blob", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")))
-    spans = staged(joint.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")),
+    spans = staged(joint.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spanned)),
                    "secret-spans")
     # what lies between the spans, then the parts joined by the mark
-    before = lambda k: F.when(k > 1, F.try_element_at("_spans", F.greatest(k - 1, F.lit(1)))["end"]).otherwise(0)
-    cut = F.transform(F.sequence(F.lit(1), F.size("_spans") + 1), lambda k: F.substring(
+    before = lambda k: F.when(k > 1, F.try_element_at(spanned, F.greatest(k - 1, F.lit(1)))["end"]).otherwise(0)
+    cut = F.transform(F.sequence(F.lit(1), F.size(spanned) + 1), lambda k: F.substring(
         F.col("text"), (before(k) + 1).cast("int"),
-        (F.coalesce(F.try_element_at("_spans", k)["start"], F.char_length("text")) - before(k)).cast("int")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(cut, mark))
-    out = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    longest = spans.agg(F.max(F.size("_spans"))).first()[0] or 0
+        (F.coalesce(F.try_element_at(spanned, k)["start"], F.char_length("text")) - before(k)).cast("int")))
+    text = F.when(F.col(spanned).isNull(), F.col("text")).otherwise(F.array_join(cut, mark))
+    out = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256))
+    longest = spans.agg(F.max(F.size(spanned))).first()[0] or 0
     spans = small_side(spans, row_bytes=128 + 16 * longest)
-    out = out.join(spans.withColumnRenamed("blob", "_key"), F.col("_blob") == F.col("_key"), "left").withColumn("text", text)
+    out = out.join(spans.withColumnRenamed("blob", key), F.col(blob) == F.col(key), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(F.col(spanned).isNull(), F.col("n_chars"))
                              .otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
