@@ -2,8 +2,8 @@
 
 ``rewrite_expr`` folds one ``regexp_replace`` per (from, to) pair, in the
 given order, with ``(?iu)`` (Unicode-aware case folding) and the source
-quoted. NULL becomes ''. Entity decoding runs last and is exact everywhere:
-texts inside arrays are gathered, decoded as one array, and put back.
+quoted. NULL becomes ''. Entity decoding runs last and is exact everywhere,
+inside arrays too.
 
 ``rewrite_text(df, paths, mapping)`` applies it to a list of field paths:
 ``"title"`` (top-level), ``"rules[].description"`` (field of an array of
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import decode_entities, decode_entity_arrays
+from forumflow.functions.entities import decode_entities
 
 # The merge pass rewrite map, applied in this order.
 MERGE_REWRITE_MAP = [
@@ -50,52 +50,30 @@ def replace_chain(c, mapping: Sequence[tuple[str, str]]) -> Column:
 
 
 def rewrite_expr(c, mapping: Sequence[tuple[str, str]]) -> Column:
-    return decode_entities(replace_chain(c, mapping))
+    """The chain, then the decoding of its result, which is bound so that the chain runs once."""
+    return F.get(F.transform(F.array(replace_chain(c, mapping)), decode_entities), F.lit(0))
 
 
-def _gather(x: Column, parts: list[str], fn) -> Column:
-    """The texts at the path ``parts`` below ``x``, in one array per ``[]``."""
+def _rewritten(x: Column, parts: list[str], fn) -> Column:
+    """``x`` with ``fn`` applied to the texts at the path ``parts`` below it."""
     if not parts:
         return fn(x)
     head, rest = parts[0], parts[1:]
-    if head.endswith("[]"):
-        return F.transform(x.getField(head[:-2]), lambda e: _gather(e, rest, fn))
-    return _gather(x.getField(head), rest, fn)
-
-
-def _put(x: Column, parts: list[str], new: Column) -> Column:
-    """Rebuild ``x`` with the gathered texts ``new`` at the path ``parts``."""
-    if not parts:
-        return new
-    head, rest = parts[0], parts[1:]
-    if head.endswith("[]"):
-        name = head[:-2]
-        return x.withField(name, F.transform(x.getField(name), lambda e, i: _put(e, rest, F.get(new, i))))
-    return x.withField(head, _put(x.getField(head), rest, new))
+    name = head.removesuffix("[]")
+    if name != head:
+        return x.withField(name, F.transform(x.getField(name), lambda e: _rewritten(e, rest, fn)))
+    return x.withField(name, _rewritten(x.getField(name), rest, fn))
 
 
 def rewrite_text(df: DataFrame, paths: Sequence[str], mapping: Sequence[tuple[str, str]]) -> DataFrame:
-    """Apply the ordered rewrite at every path, with exact entity decoding.
-
-    The chain, the decoding and the rebuilding are projections of their own:
-    the Python step would otherwise evaluate its input expression again."""
+    """Apply the ordered rewrite at every path, with exact entity decoding."""
+    fn = lambda c: rewrite_expr(c, mapping)
     for path in paths:
         parts = [p for p in path.split(".") if p]
-        top, depth = parts[0].removesuffix("[]"), path.count("[]")
-        chain = lambda c: replace_chain(c, mapping)
-        if parts[0].endswith("[]"):
-            texts = F.transform(F.col(top), lambda e: _gather(e, parts[1:], chain))
-        else:
-            texts = _gather(F.col(top), parts[1:], chain)
-        if len(parts) == 1 and not depth:
-            df = df.withColumn(top, texts).withColumn(top, decode_entities(F.col(top)))
-            continue
-        new = F.col("__new")
-        df = df.withColumn("__new", texts)
-        df = df.withColumn("__new", decode_entity_arrays(new, depth) if depth else decode_entities(new))
-        if parts[0].endswith("[]"):
-            rebuilt = F.transform(F.col(top), lambda e, i: _put(e, parts[1:], F.get(new, i)))
+        top = parts[0].removesuffix("[]")
+        if parts[0] != top:
+            new = F.transform(F.col(top), lambda e: _rewritten(e, parts[1:], fn))
         else:
-            rebuilt = _put(F.col(top), parts[1:], new)
-        df = df.withColumn(top, rebuilt).drop("__new")
+            new = _rewritten(F.col(top), parts[1:], fn)
+        df = df.withColumn(top, new)
     return df

@@ -6,8 +6,8 @@
 * anything else -> entity-decoded, then percent-decoded with '+' kept.
 
 A ``%`` that starts no escape stays as it is and the valid escapes around it
-are decoded. The entity step is the native subset so the function also
-works inside ``transform`` lambdas over resolution arrays.
+are decoded. Entities are decoded exactly, and the function also works inside
+``transform`` lambdas over resolution arrays.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import NATIVE_ENTITIES, decode_entities_native
+from forumflow.functions.entities import decode_entities, decode_entities_sql
 
 # Fixed value: the host marker of media-redirect URLs.
 MEDIA_REDIRECT_MARKER = "https://www.reddit.com/media"
@@ -36,7 +36,7 @@ def _decoded(c: Column) -> Column:
 def clean_url(c) -> Column:
     c = _c(c)
     redirect = _decoded(F.regexp_extract(c, r"=([^&]+)", 1))
-    plain = _decoded(F.replace(decode_entities_native(c), F.lit("+"), F.lit("%2B")))
+    plain = _decoded(F.replace(decode_entities(c), F.lit("+"), F.lit("%2B")))
     # fast path: without '%' or '&' there is nothing to decode
     untouched = (F.instr(c, "%") == 0) & (F.instr(c, "&") == 0)
     return (F.when(F.coalesce(c, F.lit("")) == "", F.lit(""))
@@ -49,14 +49,6 @@ def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def native_entities_sql(x: str) -> str:
-    """SQL text of ``decode_entities_native`` for an SQL expression ``x``."""
-    out = x
-    for src, dst in NATIVE_ENTITIES:
-        out = f"replace({out}, {_lit(src)}, {_lit(dst)})"
-    return f"CASE WHEN instr({x}, '&') = 0 THEN {x} ELSE {out} END"
-
-
 def _decoded_sql(x: str) -> str:
     return f"coalesce(try_url_decode(regexp_replace({x}, '{BAD_PERCENT}', '%25')), {x})"
 
@@ -65,7 +57,7 @@ def clean_url_sql(x: str) -> str:
     """SQL text of ``clean_url`` for an SQL expression ``x`` (usable inside
     SQL lambdas); same semantics as the Column version."""
     rv = f"regexp_extract({x}, '=([^&]+)', 1)"
-    ent = native_entities_sql(x)
+    ent = decode_entities_sql(x)
     return (f"CASE WHEN coalesce({x}, '') = '' THEN '' "
             f"WHEN instr({x}, {_lit(MEDIA_REDIRECT_MARKER)}) > 0 THEN {_decoded_sql(rv)} "
             f"WHEN instr({x}, '%') = 0 AND instr({x}, '&') = 0 THEN {x} "

@@ -19,8 +19,8 @@ def community_columns(src: Column, title: Column | None = None, topic: Column |
     child (``sr_detail``, title from the child). Returns the output columns."""
     g = src.getField
     ttl = title if title is not None else F.coalesce(g("display_name_prefixed"), F.lit(""))
-    banner = F.coalesce(F.when(clean_url(g("banner_img")) != "", clean_url(g("banner_img"))),
-                        clean_url(g("banner_background_image")))
+    banners = F.transform(F.array(g("banner_img"), g("banner_background_image")), clean_url)
+    banner = F.coalesce(F.get(F.filter(banners, lambda u: u != ""), F.lit(0)), F.lit(""))
     created = F.coalesce(g("created_utc"), F.lit(0.0))
     subs = F.coalesce(g("subscribers"), F.lit(0)).cast("bigint")
     cols = [

@@ -92,9 +92,33 @@ def _sid(*parts: str) -> str:
     return f"md5(concat_ws('|', {', '.join(f'CAST({p} AS STRING)' for p in parts)}))"
 
 
+#: Columns that ``classify_media`` works with: every url of the payload with its
+#: cleaned form, so that each is cleaned once by one expression, and the video.
+_CLEAN, _VIDEO = "__clean_urls", "__video"
+
+
+def _clean(u: str) -> str:
+    """C5 of a url of the payload."""
+    return f"coalesce(try_element_at({_CLEAN}, {u}), '')"
+
+
+def cleaned_urls_sql(d: str) -> str:
+    """Map from every url in the detail struct ``d`` to its cleaned form."""
+    nm = _Names()
+    fi, meta = f"get({d}.preview.images, 0)", f"map_values({d}.media_metadata)"
+    x, y, p, u, k = (nm(n) for n in "xypuk")
+    none = "array()"
+    lists = [f"coalesce({fi}.resolutions.url, {none})", f"coalesce({fi}.variants.gif.resolutions.url, {none})",
+             f"array({fi}.source.url, {_VIDEO}.hls_url, {_VIDEO}.dash_url, {_VIDEO}.fallback_url, {_VIDEO}.scrubber_media_url)",
+             f"flatten(coalesce(transform({meta}, {x} -> concat(coalesce({x}.p.u, {none}), "
+             f"array({x}.s.u, {x}.s.gif, {x}.hlsUrl, {x}.dashUrl))), {none}))"]
+    urls = f"array_distinct(filter(concat({', '.join(lists)}), {u} -> {u} IS NOT NULL))"
+    return f"get(transform(array({urls}), {k} -> map_from_arrays({k}, transform({k}, {y} -> {clean_url_sql(y)}))), 0)"
+
+
 def _res(h: str, w: str, u: str) -> str:
     """A4: one resolution, url cleaned."""
-    return f"named_struct('width', coalesce({w}, 0), 'height', coalesce({h}, 0), 'url', {clean_url_sql(u)})"
+    return f"named_struct('width', coalesce({w}, 0), 'height', coalesce({h}, 0), 'url', {_clean(u)})"
 
 
 def _sorted_res(arr: str, nm: _Names, key: str = "height") -> str:
@@ -133,8 +157,8 @@ def _multi_item(v: str, nm: _Names) -> str:
     return (f"named_struct("
             f"'_type', CASE {e} WHEN 'Image' THEN 'image' WHEN 'AnimatedImage' THEN 'gif' WHEN 'RedditVideo' THEN 'video' END, "
             f"'resolutions', CASE {e} WHEN 'Image' THEN {img} WHEN 'AnimatedImage' THEN {gif} END, "
-            f"'hlsUrl', CASE WHEN {is_vid} THEN {clean_url_sql(f'{v}.hlsUrl')} END, "
-            f"'dashUrl', CASE WHEN {is_vid} THEN {clean_url_sql(f'{v}.dashUrl')} END, "
+            f"'hlsUrl', CASE WHEN {is_vid} THEN {_clean(f'{v}.hlsUrl')} END, "
+            f"'dashUrl', CASE WHEN {is_vid} THEN {_clean(f'{v}.dashUrl')} END, "
             f"'x', CASE WHEN {is_vid} THEN coalesce({v}.x, 0) END, "
             f"'y', CASE WHEN {is_vid} THEN coalesce({v}.y, 0) END)")
 
@@ -172,7 +196,7 @@ def media_type_expr(d: Column | str) -> Column:
 
 
 def media_struct_sql(d: str, pid: str, t: str) -> str:
-    """The tagged media struct for type ``t`` (SQL text)."""
+    """The tagged media struct for type ``t`` (SQL text over the columns that ``classify_media`` adds)."""
     nm = _Names()
     fi = f"get({d}.preview.images, 0)"
     img_res = _with_source(_sorted_res(f"{fi}.resolutions", nm), f"{fi}.source.height", f"{fi}.source.width",
@@ -183,9 +207,9 @@ def media_struct_sql(d: str, pid: str, t: str) -> str:
     image = f"named_struct('id', {_sid(pid, _q('image'))}, 'resolutions', {img_res})"
     gif = (f"named_struct('id', {_sid(pid, _q('gif'))}, 'resolutions', "
            f"{_sorted_res(f'{fi}.variants.gif.resolutions', nm)})")
-    vid = f"from_json({d}.secure_media['reddit_video'], {_q(VIDEO_DDL)})"
+    vid = _VIDEO
     video = (f"named_struct('id', {_sid(pid, _q('video'))}, "
-             + ", ".join(f"'{f}', {clean_url_sql(f'{vid}.{f}')}"
+             + ", ".join(f"'{f}', {_clean(f'{vid}.{f}')}"
                          for f in ("hls_url", "dash_url", "fallback_url", "scrubber_media_url"))
              + f", 'height', coalesce({vid}.height, 0), 'width', coalesce({vid}.width, 0))")
     entries = f"map_entries({d}.media_metadata)"
@@ -210,8 +234,11 @@ def classify_media(df: DataFrame, detail_col: str, post_id_col: str, out_col: st
     """Adds ``type_col`` (the waterfall result, cheap to filter on) and
     ``out_col``: the tagged media struct (SURVEY §1.3); both NULL for M7."""
     d, pid, t = _ident(detail_col), _ident(post_id_col), _ident(type_col)
+    video = f"from_json({d}.secure_media['reddit_video'], {_q(VIDEO_DDL)})"
     return (df.withColumn(type_col, F.expr(media_type_sql(d)))
-            .withColumn(out_col, F.expr(media_struct_sql(d, pid, t))))
+            .withColumn(_VIDEO, F.expr(f"CASE WHEN {t} IS NOT NULL THEN {video} END"))
+            .withColumn(_CLEAN, F.expr(f"CASE WHEN {t} IS NOT NULL THEN {cleaned_urls_sql(d)} END"))
+            .withColumn(out_col, F.expr(media_struct_sql(d, pid, t))).drop(_VIDEO, _CLEAN))
 
 
 def media_assets(df: DataFrame, post_id_col: str, media_col: str = "media") -> DataFrame:

@@ -354,7 +354,7 @@ WITH e AS (SELECT page_id, url FROM pages)
 SELECT page_id, CASE page_id % 3
   WHEN 0 THEN url_decode(regexp_extract('""" + MEDIA_REDIRECT_MARKER + """?url=' || """ + _ENC + """ || '&s=abc',
                                         '=([^&]+)', 1))
-  WHEN 1 THEN url_decode(replace(replace(url, '&', '&amp;') || '%20x', '&amp;', '&'))
+  WHEN 1 THEN url_decode(replace(replace(url, '&', '&amp;') || '%20x', '&amp;', '&')) || 'é…’¬it;©'
   ELSE url_decode(url) END AS url
 FROM e""",
 

@@ -582,7 +582,7 @@ def q_url_clean(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("page_id") % 3
     enc = (F.when(m == 0, F.concat(F.lit(MEDIA_REDIRECT_MARKER + "?url="), _url_encode_chain(F.col("url")),
                                    F.lit("&s=abc")))
-           .when(m == 1, F.concat(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("%20x")))
+           .when(m == 1, F.concat(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("%20x&eacute;&hellip;&#8217;&notit;&copy")))
            .otherwise(F.col("url")))
     return pages.select("page_id", clean_url(enc).alias("url"))
 

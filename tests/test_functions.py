@@ -2,6 +2,7 @@
 semantics (property tests on random input plus named edge cases)."""
 
 import html
+import html.entities
 import re
 from decimal import ROUND_HALF_EVEN, Decimal
 from urllib.parse import unquote
@@ -9,7 +10,7 @@ from urllib.parse import unquote
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from forumflow.functions.entities import decode_entities, decode_entities_native, decode_entity_arrays
+from forumflow.functions.entities import decode_entities, decode_entities_native, decode_entities_sql, decode_entity_arrays
 from forumflow.functions.rewrite import MERGE_REWRITE_MAP, rewrite_expr
 from forumflow.functions.text import age_years, human_count, human_date, shifted_date, strip_all
 from forumflow.functions.urls import clean_url
@@ -125,3 +126,36 @@ def test_entity_arrays_are_decoded_exactly(spark):
     assert got == [None if r is None else [None if x is None else html.unescape(x) for x in r] for (r,) in rows]
     nested = spark.createDataFrame([([["&#8217;", "x"], [], None],)], "a array<array<string>>")
     assert nested.select(decode_entity_arrays("a", 2).alias("a")).first().a == [["’", "x"], [], None]
+
+
+ODD_REFERENCES = [
+    "&", "&&", "&;", "&#;", "&#x;", "&#xg", "&#99999999999999999999;", "&#0000000000000065;", "&#x000000000041g", "&notit;", "&notin;",
+    "&amp;lt;", "&ampamp;", "&am p", "&" + "a" * 40 + ";", "&" + "é" * 40, "&CounterClockwiseContourIntegral;x",
+    "&CounterClockwiseContourIntegral", "&lt\x0c;", "x&\n&copy2;", "&copy&reg;&#38;amp;", "&#x1F600;&#128512", "&#13;&#10;", "", "none",
+]
+
+
+def test_every_reference_in_the_jvm(spark):
+    """All names with and without what follows, all odd numbers; as a column, as SQL text and in a lambda."""
+    numbers = [*range(0, 300), *range(0xD7F0, 0xE010), *range(0xFDC8, 0xFDF8), 0xFFFE, 0xFFFF, 0x1FFFE, 0x10FFFF, 0x110000, 10 ** 12]
+    cases = [f"&{n}" for n in html.entities.html5] + [f"a&{n}b &amp" for n in html.entities.html5] + ODD_REFERENCES
+    cases += [f"&#{n};&#x{n:x}&#X{n:X};" for n in numbers]
+    want = [html.unescape(c) for c in cases]
+    assert _one_col(spark, cases, decode_entities) == want
+    assert _one_col(spark, cases, lambda c: F.expr(decode_entities_sql("v"))) == want
+    assert _one_col(spark, cases, lambda c: F.get(decode_entity_arrays(F.array(c)), F.lit(0))) == want
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["&", "amp", "lt", "not", "in", ";", "#", "x", "30", "1", "é", " ", "\n", "<", "A", "frac1", "4", "sup"]),
+                         max_size=8).map("".join), min_size=1, max_size=60))
+def test_references_property(spark, texts):
+    assert _one_col(spark, texts, decode_entities) == [html.unescape(t) for t in texts]
+
+
+def test_urls_with_any_entity(spark):
+    """C5 decodes every entity, not a subset, also inside arrays."""
+    urls = ["https://h/caf&eacute;&hellip;?a=1&amp;b=&#8217;", "https://h/&copy2&notit;%20+x", "https://h/&#x1F600;"]
+    want = [unquote(html.unescape(u)) for u in urls]
+    assert _one_col(spark, urls, clean_url) == want
+    assert _one_col(spark, urls, lambda c: F.get(F.transform(F.array(c), clean_url), F.lit(0))) == want
