@@ -331,6 +331,8 @@ SELECT page_id, section, CAST(n_items AS BIGINT) AS n_items FROM w WHERE rn = 1"
 SELECT p_partkey, 'award' AS kind, CAST(1 AS BIGINT) AS ord, p_name || ' café' AS title, CAST(NULL AS VARCHAR) AS description,
        '//i.test/' || CAST(p_partkey AS VARCHAR) || '.png' AS image_link FROM part
 UNION ALL
+SELECT p_partkey, 'award', 2, 'inner ’', NULL, '//i.test/in.png' FROM part, range(2) WHERE p_partkey % 5 = 0
+UNION ALL
 SELECT p_partkey, 'trophy', 1, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' ’…' END,
        CASE WHEN p_partkey % 2 = 0 THEN p_type || ' ’…' ELSE p_name || ' ’…' END,
        'https://i.test/' || CAST(p_partkey AS VARCHAR) || '.png' FROM part""",

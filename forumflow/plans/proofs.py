@@ -515,15 +515,16 @@ def q_html_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_html_table(spark: SparkSession, d: str) -> DataFrame:
-    """Award rows (title as is) and trophy rows (title and description by line) of packed pages."""
+    """Award rows (title as is) and trophy rows (title and description by line) of packed pages: upper-case tags, single
+    quotes and none, end tags left out, tables inside tables."""
     part = _t(spark, d, "part")
     key = F.col("p_partkey").cast("string")
-    plain = F.lit("<table><tr><td>no image</td></tr>")
-    image = F.concat(F.lit('<tr class="r"><td><img alt="" src="//i.test/'), key, F.lit('.png"></td><td>'))
-    award = F.concat(plain, image, F.lit("<p>"), "p_name", F.lit(" caf&eacute;</p><p>x</p></td></tr></table>"))
-    trophy = F.concat(plain, F.regexp_replace(image, "<td>$", "<td>\n"), "p_name",
+    inner = F.when(F.col("p_partkey") % 5 == 0, F.lit("<table><tr><td><img src=//i.test/in.png>y<p>inner &#8217;</table>")).otherwise(F.lit(""))
+    award = F.concat(F.lit("<TABLE><TR><TD>no image</TD></TR><TR CLASS=r><TD><IMG ALT='a>b' SRC='//i.test/"), key, F.lit(".png'></TD><TD><P>"),
+                     "p_name", F.lit(" <B>caf&eacute;</B></P><p>x</p>"), inner, F.lit("</TD></TR></TABLE>"))
+    trophy = F.concat(F.lit('<table><tr><td>no image<tr class="r"><td><img alt="" src="//i.test/'), key, F.lit('.png"><td>\n'), "p_name",
                       F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n"), "p_type")).otherwise(F.lit("")),
-                      F.lit(" &#8217;&hellip;\n</td></tr></table>"))
+                      F.lit(" &#8217;&hellip;\n</table><!-- <tr><img src=no> -->"))
     pages = part.select("p_partkey", award.alias("award"), trophy.alias("trophy"))
     cols = ["p_partkey", "kind", "ord", "title", "description", "image_link"]
     awards = extract_table_rows(pages, "p_partkey", "award").withColumn("kind", F.lit("award"))

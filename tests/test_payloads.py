@@ -2,6 +2,9 @@
 the expected rows read off the documented semantics."""
 
 import json
+import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from forumflow.operators.communities import community_columns, eligible, flair_r
 from forumflow.operators.media import POST_DETAIL, classify_media, media_assets, source_flags
 from forumflow.operators.posts import not_deleted, post_columns
 from forumflow.operators.threads import flatten_threads, nest_threads, thread_levels
-from forumflow.sources.html import extract_sections, extract_table_rows
+from forumflow.sources.html import extract_sections, extract_table_rows, table_rows
 from forumflow.sources.landed import (explode_post_listing, explode_rules, explode_topic_map,
                                       parse_community_about, parse_flairs, split_article, split_envelopes)
 
@@ -221,6 +224,76 @@ def test_html_table_rows(spark):
         ("Solo", "Solo", "https://img/c.png"), ("Head", "", "https://img/d.png")]
 
 
+class RowParser(HTMLParser):
+    """Rows below every table by an explicit stack: [src of the first image, text, first paragraph's text]."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.tables, self.rows, self.paragraph = [], [], None
+        self.feed(page)
+        self.close()
+
+    def open_rows(self):
+        return [t[0] for t in self.tables if t[0] is not None]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables.append([None])
+        if self.tables and tag in ("tr", "tbody"):
+            self.tables[-1][0] = None
+        if self.tables and tag == "tr":
+            self.tables[-1][0] = {"level": len(self.tables), "src": None, "text": "", "p": None, "ptext": ""}
+            self.rows.append(self.tables[-1][0])
+        if tag in ("table", "tr", "td", "tbody", "div", "p"):
+            self.paragraph = None
+        if tag == "p":
+            self.paragraph = object()
+            for r in self.open_rows():
+                r["p"] = r["p"] or self.paragraph
+        if tag == "img":
+            for r in self.open_rows():
+                r["src"] = dict(reversed(attrs)).get("src") or "" if r["src"] is None else r["src"]
+
+    def handle_endtag(self, tag):
+        if tag in ("table", "tr", "td", "tbody", "div", "p"):
+            self.paragraph = None
+        if self.tables and tag in ("tr", "tbody"):
+            self.tables[-1][0] = None
+        if self.tables and tag == "table":
+            self.tables.pop()
+
+    def handle_data(self, text):
+        for r in self.open_rows():
+            r["text"] += text
+            if r["p"] is not None and r["p"] is self.paragraph:
+                r["ptext"] += text
+
+    def listed(self):
+        return [(n, r["level"], r["src"] or "", r["text"], None if r["p"] is None else r["ptext"]) for n, r in enumerate(self.rows)]
+
+
+PIECES = ["<table>", "</table>", "<TABLE class='a>b'>", "<tr>", "</tr>", "<TR id=x>", "<td>", "</td>", "<tbody>", "</tbody>", "<p>", "</p>", "<div>",
+          "<b>", "</b>", "<img src='a.png'>", '<IMG data-src="n" alt="src=\'q\'" SRC="b&amp;c.png"/>', "<img>", "<img src=d>", "x", "y &eacute;&lt", "\n",
+          "<!-- <tr> -->", "<script>var a = '<tr><img src=z>';</script>", "a < b"]
+
+
+def test_table_rows_against_a_parser(spark):
+    rng = random.Random(7)
+    pages = [("".join(["<table><tr>"] * (i % 3 > 0) + rng.choices(PIECES, k=rng.randrange(0, 30)))) for i in range(400)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    got = sorted(tuple(r) for r in table_rows(df, "id", "html").collect())
+    want = sorted((i, *r) for i, p in enumerate(pages) for r in RowParser(re.sub(r"<script.*?</script>", "<i>", p or "")).listed())
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert got == want
+
+
+def test_inner_rows_come_once_per_table_around_them(spark):
+    page = "<TABLE><TR><TD><IMG SRC='o.png'><P>out</P><table><tr><td><img src=i.png><p>in</table></TD></TR></TABLE>"
+    df = spark.createDataFrame([(1, page), (1, page)], "id int, html string")
+    got = sorted((r.ord, r.title, r.image_link) for r in extract_table_rows(df, "id", "html").collect())
+    assert got == [(0, "out", "o.png")] * 2 + [(1, "in", "i.png")] * 4
+
+
 SECTIONS_HTML = ('<i data-topic="early"></i><h aria-labelledby="title-Games"></h><i data-topic="Chess"></i>'
                  '<i data-topic="Go &amp; Shogi"></i><h aria-labelledby="title-Empty"></h>'
                  '<h aria-labelledby="title-Games"></h><i data-topic="Poker"></i>')
