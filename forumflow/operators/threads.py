@@ -3,28 +3,28 @@
 Two representations:
 
 * **edge table** ``(post, node, parent, ...)`` - parent NULL for a root.
-  ``thread_levels`` walks it root-down, one join per level, optionally
-  pruning whole subtrees (T3: a failing node drops itself *and* all its
-  replies, because the walk never expands it).
+  ``thread_paths`` finds depths and paths by pointer doubling, about
+  log2(depth) joins of bare pointers, optionally pruning whole subtrees (T3:
+  a failing node is no pointer's aim, so all its replies go with it).
 * **nested JSON** as the API lands it: each node is
   ``{"kind", "data": {..., "replies": "" | {"data": {"children": [...]}}}}``.
   ``flatten_threads`` parses several levels per pass with one typed
   ``from_json`` and one generator, filters before expanding, and records the
   path of child positions. Each pass is narrow (no shuffle).
 
-Every level (edges) or pass (JSON) is checkpointed to the shared folder, so
+Every round (edges) or pass (JSON) is checkpointed to the shared folder, so
 lineage stays short and a lost executor only recomputes the current step.
 ``ORDER BY path`` on the int array is depth-first pre-order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
-from forumflow.operators.joins import BROADCAST_MAX_BYTES, measure
+from forumflow.operators.joins import broadcast_if_small
 from forumflow.session import cut_lineage
 
 COMMENT_DATA = StructType([
@@ -47,52 +47,66 @@ DELETED = "[deleted]"
 # edge tables
 # --------------------------------------------------------------------------
 
-def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
-                  keep: Column | None = None, depth_col: str = "depth", max_depth: int | None = None) -> DataFrame:
-    """Root-down walk: every reachable node with its depth (roots = 1).
-
-    ``keep`` (a boolean Column over ``edges``) prunes the subtree below any
-    node where it is false (T3). The kept edges are checkpointed once (the
-    filter and any upstream parsing are not redone per level). Each level is
-    an equi-join on (post, parent) with the frontier: a frontier within the
-    broadcast bound (counted on its checkpoint) is broadcast and the edges
-    are streamed without a shuffle; a larger one is a shuffle join whose
-    skewed partitions AQE splits - a parent holding a third of all replies
-    does not land in one task. Edges are deliberately *not* pre-partitioned
-    on the join key: that would pin such a hot parent to one partition that
-    AQE could not split.
+def thread_paths(edges: DataFrame, post: str, node: str, parent: str, order: str | None = None,
+                 depth_col: str = "depth", path_col: str = "path", max_depth: int | None = None) -> DataFrame:
+    """(post, node, parent, depth[, path]) of every node that hangs on a root, by pointer doubling.
+
+    A node starts with a pointer to its parent. In a round each pending node
+    joins its pointer's own pointer and jumps there, so distances double and a
+    thread of depth d takes about log2(d) rounds, not d. A node whose pointer
+    leads to no node (pruned or missing) goes, and with it all that points to
+    it; one whose pointer is null has reached above a root. With ``order`` the
+    jumps join their paths too: ``path`` holds (order, node) from the root down.
+
+    Pointers travel without the nodes' other columns. The side joined to is
+    broadcast if its estimated size is within the bound; above it AQE splits
+    the partition of a parent that holds many nodes. Rows in a cycle reach no
+    root: their distance outgrows the number of nodes and they go (with
+    ``max_depth`` they are an error, as is any deeper node).
     """
-    e = edges if keep is None else edges.where(keep)
-    e = cut_lineage(e)
-    children = e.where(F.col(parent).isNotNull()).alias("e")
-    roots = e.where(F.col(parent).isNull()).withColumn(depth_col, F.lit(1))
-    frontier = cut_lineage(roots)
-    levels = [frontier]
-    depth = 1
+    step = [] if order is None else [F.array(F.struct(F.col(order).alias("order"), F.col(node).alias("node"))).alias("__path")]
+    state = cut_lineage(edges.select(
+        F.col(post).alias("__post"), F.col(node).alias("__node"), F.col(parent).alias("__parent"),
+        F.col(parent).alias("__up"), F.lit(1).cast("bigint").alias("__dist"), *step).distinct())
+    total, reach = state.count(), 1
     while True:
-        # one aggregate over the checkpointed frontier: ends the walk when
-        # empty, and a frontier within the bound is broadcast so the edge
-        # table is not shuffled for this level
-        keys = frontier.select(F.col(post).alias("__p"), F.col(node).alias("__n"))
-        n, size = measure(keys)
-        if n == 0:
+        pending = state.where("__up is not null")
+        if pending.isEmpty():
             break
-        depth += 1
-        if max_depth is not None and depth > max_depth:
+        if reach > (total if max_depth is None else min(total, max_depth)):
+            if max_depth is None:
+                break
             raise ValueError(f"thread deeper than {max_depth} levels: a parent cycle in the edge table?")
-        if size <= BROADCAST_MAX_BYTES:
-            keys = F.broadcast(keys)
-        nxt = (children.join(keys, (F.col(f"e.{post}") == F.col("__p")) & (F.col(f"e.{parent}") == F.col("__n")))
-               .drop("__p", "__n")
-               .withColumn(depth_col, F.lit(depth)))
-        frontier = cut_lineage(nxt)
-        levels.append(frontier)
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
+        side = state.select(F.col("__post").alias("__p"), F.col("__node").alias("__n"), F.col("__up").alias("__u"),
+                            F.col("__dist").alias("__d"), *[F.col("__path").alias("__head")] * bool(step))
+        jumped = pending.join(broadcast_if_small(side), (F.col("__post") == F.col("__p")) & (F.col("__up") == F.col("__n")))
+        path = [F.concat("__head", "__path").alias("__path")] * bool(step)
+        jumped = jumped.select("__post", "__node", "__parent", F.col("__u").alias("__up"),
+                               (F.col("__dist") + F.col("__d")).alias("__dist"), *path)
+        state = cut_lineage(state.where("__up is null").unionByName(jumped))
+        reach *= 2
+    out = state.where("__up is null").select(
+        F.col("__post").alias(post), F.col("__node").alias(node), F.col("__parent").alias(parent),
+        F.col("__dist").cast("int").alias(depth_col), *[F.col("__path").alias(path_col)] * bool(step))
+    if max_depth is not None and not out.where(F.col(depth_col) > max_depth).isEmpty():
+        raise ValueError(f"thread deeper than {max_depth} levels: a parent cycle in the edge table?")
     return out
 
 
+def thread_levels(edges: DataFrame, post: str, node: str, parent: str,
+                  keep: Column | None = None, depth_col: str = "depth", max_depth: int | None = None) -> DataFrame:
+    """Every node that hangs on a root, with its depth (roots = 1).
+
+    ``keep`` (a boolean Column over ``edges``) prunes the subtree below any
+    node where it is false (T3). Depths come from ``thread_paths``; the rows
+    themselves are checkpointed once and joined once."""
+    e = cut_lineage(edges if keep is None else edges.where(keep))
+    depths = thread_paths(e, post, node, parent, None, depth_col, max_depth=max_depth)
+    keys = depths.select(F.col(post).alias("__p"), F.col(node).alias("__n"), F.col(parent).alias("__u"), depth_col)
+    return e.join(broadcast_if_small(keys), (F.col(post) == F.col("__p")) & (F.col(node) == F.col("__n"))
+                  & F.col(parent).eqNullSafe(F.col("__u"))).select(*e.columns, depth_col)
+
+
 def prune_threads(edges: DataFrame, post: str, node: str, parent: str, keep: Column,
                   depth_col: str = "depth") -> DataFrame:
     """Nodes that survive subtree pruning, with depth."""
@@ -222,55 +236,35 @@ def flatten_curated_comments(posts: DataFrame, post_col: str, comments_json_col:
     return _flatten(posts, post_col, comments_json_col, levels_per_pass, curated=True)
 
 
-def _node_json(kind: Column, data: Column, replies_json: Column) -> Column:
-    """Node text with ``replies`` as a JSON object, or "" for a leaf.
-
-    ``data`` is a struct whose last field is ``replies`` = ''; its text ends in
-    ``"replies":""}}`` which is swapped for the children object when present.
-    """
-    txt = F.to_json(F.struct(kind.alias("kind"), data.alias("data")))
-    return F.when(replies_json.isNull(), txt).otherwise(
-        F.concat(F.substring(txt, F.lit(1), F.length(txt) - F.lit(4)), replies_json, F.lit("}}")))
-
-
-def _join_json(arr: str) -> Column:
-    return F.concat_ws(",", F.transform(F.col(arr), lambda x: x.getField("__json")))
-
-
 def nest_threads(nodes: DataFrame, post: str, node: str, parent: str, order: str, depth: str,
-                 kind: Column, data_cols: list[Column], checkpoint_every: int = 3) -> DataFrame:
-    """Rebuild nesting bottom-up. Returns (post, roots_json): the JSON
-    array of root nodes, siblings in ``order``.
-
-    Each level groups the children by (post, parent) - one group per parent
-    node - and joins them to their parent. Only for the JSON sink, where one
-    post's tree is one record by definition of the format. Each level's
-    output is consumed once by the next, so only every ``checkpoint_every``-th
-    level is checkpointed to keep the plan and any recomputation short.
+                 kind: Column, data_cols: list[Column]) -> DataFrame:
+    """Rebuild nesting. Returns (post, roots_json): the JSON array of root
+    nodes, siblings in ``order`` (ties by node).
+
+    Sorted by path, a post's nodes are in pre-order, and each node's part of
+    the text follows from its depth and its neighbours' depths alone: a comma
+    unless it is a first child, its fields, then either the start of its
+    replies or the ends of all that it closes. So one sort per post does, and
+    no level is joined. Only for the JSON sink, where one post's tree is one
+    record by definition of the format.
     """
-    max_depth = nodes.agg(F.max(depth)).first()[0]
     data = F.struct(*data_cols, F.lit("").alias("replies"))
-    base = nodes.select(post, node, parent, order, depth, kind.alias("__kind"), data.alias("__data"))
-    if max_depth is None:
-        return base.select(post, F.lit("[]").alias("roots_json")).limit(0)
-    child_json = None
-    for d in range(max_depth, 0, -1):
-        lv = base.where(F.col(depth) == d)
-        if child_json is None:
-            lv = lv.withColumn("__replies", F.lit(None).cast("string"))
-        else:
-            lv = lv.join(child_json, [post, node], "left")
-        lv = lv.withColumn("__json", _node_json(F.col("__kind"), F.col("__data"), F.col("__replies")))
-        sib = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("__json")))).alias("__kids")
-        if d == 1:
-            return (lv.groupBy(post).agg(sib)
-                    .select(post, F.concat(F.lit("["), _join_json("__kids"), F.lit("]")).alias("roots_json")))
-        child_json = (lv.groupBy(post, F.col(parent).alias(node)).agg(sib)
-                      .select(post, node, F.concat(F.lit('{"kind":"Listing","data":{"children":['),
-                                                   _join_json("__kids"), F.lit("]}}")).alias("__replies")))
-        if (max_depth - d) % checkpoint_every == checkpoint_every - 1:
-            child_json = cut_lineage(child_json)
-    raise AssertionError("unreachable")
+    text = F.to_json(F.struct(kind.alias("kind"), data.alias("data")))       # ends in '"replies":""}}'
+    rows = nodes.select(F.col(post).alias("__p"), F.col(node).alias("__n"),
+                        F.substr(text, F.lit(1), F.length(text) - 4).alias("__open"))
+    paths = thread_paths(nodes, post, node, parent, order, "__depth", "__path").select(
+        F.col(post).alias("__pp"), F.col(node).alias("__pn"), "__depth", "__path")
+    rows = rows.join(paths, (F.col("__p") == F.col("__pp")) & (F.col("__n") == F.col("__pn")))
+    by_path = Window.partitionBy("__p").orderBy("__path")
+    before, behind = F.lag("__depth").over(by_path), F.coalesce(F.lead("__depth").over(by_path), F.lit(1))
+    comma = F.when(before >= F.col("__depth"), F.lit(",")).otherwise(F.lit(""))
+    begun = F.lit('{"kind":"Listing","data":{"children":[')
+    ended = F.concat(F.lit('""}}'), F.repeat(F.lit("]}}}}"), F.col("__depth") - behind))
+    part = F.concat(comma, "__open", F.when(behind > F.col("__depth"), begun).otherwise(ended))
+    parts = rows.withColumn("__part", part).groupBy("__p").agg(
+        F.sort_array(F.collect_list(F.struct("__path", "__part"))).alias("__parts"))
+    return parts.select(F.col("__p").alias(post), F.concat(
+        F.lit("["), F.array_join(F.transform("__parts", lambda x: x["__part"]), ""), F.lit("]")).alias("roots_json"))
 
 
 def recount_comments(posts: DataFrame, comments: DataFrame, post_key: str, api_count: str,

@@ -65,6 +65,21 @@ r AS (
   SELECT t.conv_id, t.turn, r.depth + 1 FROM r JOIN v_threads t
     ON t.conv_id = r.conv_id AND t.parent_turn = r.turn AND t.kind = 't1' AND t.author <> '[deleted]')"""
 
+_KEPT = "(SELECT * FROM v_threads WHERE kind = 't1' AND author <> '[deleted]')"
+
+
+def _path_cte(siblings: str) -> str:
+    """Kept nodes with the path of their places among the siblings that are there."""
+    return f"""
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, parent_turn ORDER BY turn) - 1 AS VARCHAR) AS place FROM {siblings}),
+k AS (SELECT * FROM p WHERE kind = 't1' AND author <> '[deleted]'),
+r AS (
+  SELECT conv_id, turn, 1 AS depth, place AS path, author, body FROM k WHERE parent_turn IS NULL
+  UNION ALL
+  SELECT k.conv_id, k.turn, r.depth + 1, r.path || '/' || k.place, k.author, k.body FROM r JOIN k
+    ON k.conv_id = r.conv_id AND k.parent_turn = r.turn)"""
+
+
 _ENC = "url"
 for _s, _d in URL_ENCODE_STEPS:
     _ENC = f"replace({_ENC}, {_q(_s)}, {_q(_d)})"
@@ -188,11 +203,11 @@ SELECT community_key AS community, id AS post_id, rn FROM rk WHERE rn <= k AND a
     "thread_prune": duck_cte("v_threads").replace("WITH ", "WITH RECURSIVE ", 1) + "," + PRUNE_CTE + """
 SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth FROM r""",
 
-    "thread_flatten": duck_cte("v_threads").replace("WITH ", "WITH RECURSIVE ", 1) + "," + PRUNE_CTE + """
-SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth FROM r""",
+    "thread_flatten": duck_cte("v_threads").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _path_cte("v_threads") + """
+SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth, path, author, md5(body) AS body_md5 FROM r""",
 
-    "thread_nest": duck_cte("v_threads").replace("WITH ", "WITH RECURSIVE ", 1) + "," + PRUNE_CTE + """
-SELECT conv_id, count(*) FILTER (WHERE depth = 1) AS n_roots, count(*) AS n_nodes FROM r GROUP BY conv_id""",
+    "thread_nest": duck_cte("v_threads").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _path_cte(_KEPT) + """
+SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth, path FROM r""",
 
     "comment_recount": duck_cte("v_threads").replace("WITH ", "WITH RECURSIVE ", 1) + "," + PRUNE_CTE + """,
 k AS (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id),

@@ -271,17 +271,15 @@ def q_thread_flatten(spark: SparkSession, d: str) -> DataFrame:
                  F.lit("}}]")).alias("payload"))
     art = split_article(article)
     flat = flatten_threads(art, "conv_id", "__roots")
-    return flat.select(F.col("post_id").alias("conv_id"), F.col("ups").alias("turn"),
-                       _bigint("depth").alias("depth"))
+    return flat.select(F.col("post_id").alias("conv_id"), F.col("ups").alias("turn"), _bigint("depth").alias("depth"),
+                       F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"), "author", F.md5("body").alias("body_md5"))
 
 
 def q_thread_nest(spark: SparkSession, d: str) -> DataFrame:
     v = adapter(spark, d, "v_threads")
-    nested = _nested_articles(v, prune=True)
-    return nested.select(
-        "conv_id",
-        _bigint(F.size(F.from_json("roots_json", ArrayType(StringType())))).alias("n_roots"),
-        _bigint(F.size(F.split("roots_json", '"kind":"t1"')) - 1).alias("n_nodes"))
+    flat = flatten_threads(_nested_articles(v, prune=True), "conv_id", "roots_json")
+    return flat.select(F.col("post_id").alias("conv_id"), F.col("ups").alias("turn"), _bigint("depth").alias("depth"),
+                       F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
 
 
 def q_comment_recount(spark: SparkSession, d: str) -> DataFrame:

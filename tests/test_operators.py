@@ -205,3 +205,49 @@ def test_broadcast_is_decided_by_bytes(spark):
     df = spark.createDataFrame([("x" * 1000, [1, 2]), (None, None)], "t string, a array<int>")
     rows, size = measure(df)
     assert rows == 2 and 1000 < size < 1200
+
+
+def test_pruning_of_deep_threads_takes_log_rounds(spark, monkeypatch):
+    """Chains of 1,500 and 700 nodes, one cut in the middle, with side branches: depths as by a walk, few joins."""
+    from forumflow.operators import threads
+    rows = [("a", i, i - 1 if i else None, True) for i in range(1500)] + [("b", i, i - 1 if i else None, i != 400) for i in range(700)]
+    rows += [("a", 5000 + i, i, i % 2 == 0) for i in range(0, 1500, 7)] + [("c", 1, 2, True), ("c", 2, 1, True), ("c", 3, 9, True), ("c", 4, None, True)]
+    up = {(p, n): (u, ok) for p, n, u, ok in rows}
+    want = {}
+    for p, n, _, _ in rows:
+        depth, at, seen = 0, n, set()
+        while at is not None and (p, at) in up and up[p, at][1] and at not in seen:
+            seen.add(at)
+            depth, at = depth + 1, up[p, at][0]
+        if at is None:
+            want[p, n] = depth
+    rounds = []
+    cut = threads.cut_lineage
+    monkeypatch.setattr(threads, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    edges = spark.createDataFrame(rows, "post string, node long, parent long, ok boolean").repartition(4)
+    got = {(r.post, r.node): r.depth for r in threads.prune_threads(edges, "post", "node", "parent", F.col("ok")).collect()}
+    assert got == want and max(got.values()) == 1500
+    assert len(rounds) < 15
+
+
+def test_nested_threads_of_random_trees(spark):
+    import json
+    import random
+    from forumflow.operators.threads import nest_threads
+    rng = random.Random(3)
+    rows, tree = [], {}
+    for p in range(20):
+        for n in range(rng.randrange(1, 40)):
+            rows.append((p, n, None if n == 0 or rng.random() < 0.2 else rng.randrange(n), rng.randrange(5), f'b"{n}\\'))
+    for p, n, u, o, b in sorted(rows, key=lambda r: (r[3], r[1])):
+        tree.setdefault((p, u), []).append((n, b))
+
+    def listing(p, u):
+        out = []
+        for n, b in tree.get((p, u), []):
+            kids = listing(p, n)
+            out.append({"kind": "t1", "data": {"body": b, "n": n, "replies": {"kind": "Listing", "data": {"children": kids}} if kids else ""}})
+        return out
+    nodes = spark.createDataFrame(rows, "post int, node int, parent int, o int, body string")
+    got = nest_threads(nodes, "post", "node", "parent", "o", "depth", F.lit("t1"), [F.col("body"), F.col("node").alias("n")])
+    assert {r.post: json.loads(r.roots_json) for r in got.collect()} == {p: listing(p, None) for p in range(20)}

@@ -318,14 +318,12 @@ def test_flatten_without_partial_json_results(spark):
     assert got == want and len(got) == 17
 
 
-@pytest.mark.parametrize("every", [1, 3])
-def test_nest_flatten_round_trip_deep(spark, every):
+def test_nest_flatten_round_trip_deep(spark):
     rows = [("p", 0, None, "t1", "n0")] + [("p", i, i - 1, "t1", f"n{i}") for i in range(1, 10)]
     rows += [("p", 100, 0, "t1", "side"), ("p", 101, 5, "more", "stub")]
     edges = spark.createDataFrame(rows, "post string, node long, parent long, kind string, body string")
     lv = thread_levels(edges, "post", "node", "parent")
     nested = nest_threads(lv, "post", "node", "parent", "node", "depth", F.col("kind"),
-                          [F.lit("a").alias("author"), F.col("body"), F.col("node").alias("ups")],
-                          checkpoint_every=every)
+                          [F.lit("a").alias("author"), F.col("body"), F.col("node").alias("ups")])
     flat = {r.ups: (r.depth, tuple(r.path)) for r in flatten_threads(nested, "post", "roots_json").collect()}
     assert flat[9] == (10, (0,) * 10) and flat[100] == (2, (0, 1)) and 101 not in flat and len(flat) == 11
