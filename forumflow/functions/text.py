@@ -72,36 +72,30 @@ def age_years(epoch, as_of: int) -> Column:
     return F.concat(n.cast("bigint").cast("string"), F.lit("yr(s)"))
 
 
-def _trim_decimal(txt: Column) -> Column:
-    # drop trailing zeros and a trailing dot: '12.50' -> '12.5', '3.00' -> '3'
-    return F.regexp_replace(F.regexp_replace(txt, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
 def human_count(n) -> Column:
     """C4: count -> '999', '1.23K', '4.5M', '1B', '2.1T'; '' when 0 or missing.
 
     Two decimals, half-even rounding on exact decimals (no float error),
     trailing zeros dropped, no roll-over to the next suffix (999,999 -> 1000K).
     """
-    v = _c(n).cast("decimal(20,0)")
-    scaled = [
-        (10 ** 12, "T"),
-        (10 ** 9, "B"),
-        (10 ** 6, "M"),
-        (10 ** 3, "K"),
-    ]
-    out = v.cast("string")
-    expr = None
-    absval = F.abs(v)
-    for div, suffix in scaled:
-        # hundredths by exact division, half-even on the exact remainder
-        unit = F.lit(div // 100).cast("decimal(20,0)")
-        rest = absval % unit
-        low = ((absval - rest) / unit).cast("decimal(20,0)")
+    v = _c(n).cast("bigint")
+    size = F.when(v < 0, -F.greatest(v, F.lit(-(2 ** 63 - 1)))).otherwise(v)
+    div = lambda a, b: F.call_function("div", a, b)  # noqa: E731  (whole-number division)
+
+    def text(unit: int, suffix: str) -> Column:
+        low, rest = div(size, F.lit(unit)), size % unit
         up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
-        hundredths = F.when(up, low + 1).otherwise(low) * F.when(v < 0, -1).otherwise(1)
-        txt = F.concat(_trim_decimal((hundredths.cast("decimal(20,0)") / F.lit(100)).cast("decimal(38,2)").cast("string")),
-                       F.lit(suffix))
-        expr = (F.when(absval >= div, txt) if expr is None else expr.when(absval >= div, txt))
-    expr = expr.otherwise(out)
-    return F.when(F.coalesce(v, F.lit(0)) == 0, F.lit("")).otherwise(expr)
+        return _bound(F.when(up, low + 1).otherwise(low), lambda h: F.concat(
+            F.when(v < 0, F.lit("-")).otherwise(F.lit("")), div(h, F.lit(100)).cast("string"),
+            F.when(h % 100 == 0, F.lit("")).when(h % 10 == 0, F.concat(F.lit("."), div(h % 100, F.lit(10)).cast("string")))
+            .otherwise(F.concat(F.lit("."), F.lpad((h % 100).cast("string"), 2, "0"))), F.lit(suffix)))
+
+    # a unit is a hundredth of what the suffix stands for
+    return (F.when(F.coalesce(v, F.lit(0)) == 0, F.lit("")).when(size < 1000, v.cast("string"))
+            .when(size < 10 ** 6, text(10, "K")).when(size < 10 ** 9, text(10 ** 4, "M"))
+            .when(size < 10 ** 12, text(10 ** 7, "B")).otherwise(text(10 ** 10, "T")))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

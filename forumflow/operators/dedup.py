@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from forumflow.session import cut_lineage
 
@@ -52,18 +53,40 @@ def keep_last(df: DataFrame, keys, order) -> DataFrame:
 
 
 def distinct_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Whole-row distinct. MAP columns are not comparable in Spark; they
-    are compared through their JSON text and one representative is kept."""
+    """Whole-row distinct. Columns that hold maps, at any depth, are compared
+    in a canonical form, where the order of a map's entries does not count, and
+    one representative is kept."""
     if cols is not None:
         df = df.select(*cols)
-    map_cols = [f.name for f in df.schema.fields if f.dataType.typeName() == "map"]
+    map_cols = [f for f in df.schema.fields if _has_map(f.dataType)]
     if not map_cols:
         return df.distinct()
-    keyed = df
-    for m in map_cols:
-        keyed = keyed.withColumn(f"__json_{m}", F.to_json(F.col(m)))
-    other = [c for c in df.columns if c not in map_cols] + [f"__json_{m}" for m in map_cols]
-    return keyed.dropDuplicates(other).drop(*[f"__json_{m}" for m in map_cols])
+    keyed, names = df, []
+    for n, f in enumerate(map_cols):
+        names.append(f"__canonical_{n}")
+        keyed = keyed.withColumn(names[-1], _canonical(F.col(f"`{f.name}`"), f.dataType))
+    held = {f.name for f in map_cols}
+    return keyed.dropDuplicates([c for c in df.columns if c not in held] + names).drop(*names)
+
+
+def _has_map(t: DataType) -> bool:
+    if isinstance(t, MapType):
+        return True
+    if isinstance(t, ArrayType):
+        return _has_map(t.elementType)
+    return isinstance(t, StructType) and any(_has_map(f.dataType) for f in t.fields)
+
+
+def _canonical(c: Column, t: DataType) -> Column:
+    """``c`` with every map as its entries sorted by key; NULL stays NULL."""
+    if not _has_map(t):
+        return c
+    if isinstance(t, ArrayType):
+        return F.transform(c, lambda x: _canonical(x, t.elementType))
+    if isinstance(t, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_canonical(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
+    entry = lambda e: F.struct(_canonical(e["key"], t.keyType).alias("key"), _canonical(e["value"], t.valueType).alias("value"))
+    return F.sort_array(F.transform(F.map_entries(c), entry))
 
 
 def positional_index(df: DataFrame, order, index_col: str = "pos", partitions: int | None = None) -> DataFrame:

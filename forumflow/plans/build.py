@@ -304,22 +304,18 @@ def merge_original_datasets(spark: SparkSession, root: str, out: str | None, map
     def glob(kind: str) -> str:
         return f"{root.rstrip('/')}/*/*{_ci_glob(ORIGINAL_FILES[kind])}*"
 
-    def with_order(df: DataFrame) -> DataFrame:
-        # a single-document JSON file is one partition, read in order
-        return (df.withColumn("__file", F.col("_metadata.file_path"))
-                .withColumn("__pos", F.monotonically_increasing_id()))
-
     merged: dict[str, DataFrame] = {}
     for kind in ORIGINAL_FILES:
         try:
             if kind == "communities":
                 rows = read_communities_map(spark, glob(kind))
                 # file order: topics in map order, then list position
-                rows = with_order(rows).withColumn("__pos", F.struct("topic_pos", "ord")).drop("topic_pos")
+                rows = (rows.withColumn("__file", F.col("_metadata.file_path"))
+                        .withColumn("__pos", F.struct("topic_pos", "ord")).drop("topic_pos"))
             elif kind == "topics":
                 rows = read_topics(spark, glob(kind)).select("topic")
             else:
-                rows = with_order(read_curated_array(spark, glob(kind), kind))
+                rows = read_curated_array(spark, glob(kind), kind, place=True)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

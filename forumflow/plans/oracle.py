@@ -301,6 +301,10 @@ SELECT min(doc_id) AS doc_id FROM documents GROUP BY text""",
     "catalog_distinct": """
 SELECT DISTINCT p_brand, p_type, p_size FROM part""",
 
+    "curated_array": """
+SELECT c_custkey, '}"{[\\' || c_name || 'é]' AS title,
+       row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord FROM customer""",
+
     "union_dedup": """
 WITH u AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, 'ds_a' AS from_set FROM documents WHERE doc_id % 3 <> 0

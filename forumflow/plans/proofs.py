@@ -32,6 +32,7 @@ from forumflow.operators.topk import sort_order, top_k_per_group
 from forumflow.plans.adapters import adapter, table
 from forumflow.session import pin_utc, staging_path
 from forumflow.sinks.writers import write_table
+from forumflow.sources.curated import read_curated_array
 from forumflow.sources.datasets import read_datasets
 from forumflow.sources.html import extract_pairs, extract_sections, extract_table_rows
 from forumflow.sources.landed import (explode_moderators, explode_post_listing, explode_topic_map,
@@ -445,7 +446,24 @@ def q_dedup_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_catalog_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_rows(_t(spark, d, "part"), ["p_brand", "p_type", "p_size"])
+    """Rows whose nested maps are equal but for the order of their entries are one row."""
+    a = F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type")
+    b = F.create_map(F.lit("type"), "p_type", F.lit("brand"), "p_brand")
+    m = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit(1), a, F.lit(2), b)).otherwise(F.create_map(F.lit(2), a, F.lit(1), b))
+    rows = _t(spark, d, "part").select("p_size", F.array(F.struct(m.alias("m"))).alias("maps"))
+    first = F.col("maps")[0]["m"][1]
+    return distinct_rows(rows).select(first["brand"].alias("p_brand"), first["type"].alias("p_type"), "p_size")
+
+
+def q_curated_array(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON array per file, read by byte ranges: every element with its place."""
+    root = staging_path(spark, "curated")
+    text = F.concat(F.lit('}"{[\\'), "c_name", F.lit("é]"))
+    rows = F.sort_array(F.collect_list(F.struct("c_custkey", text.alias("title"), F.col("c_custkey").cast("string").alias("image_link"))))
+    files = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(rows).alias("value"))
+    files.write.partitionBy("c_nationkey").text(root)
+    found = read_curated_array(spark, f"{root}/*/*.txt", "awards", place=True)
+    return found.select(F.col("image_link").cast("bigint").alias("c_custkey"), "title", F.col("__pos").alias("ord"))
 
 
 def q_union_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -669,6 +687,7 @@ QUERIES: dict[str, Query] = {
     "users_table": q_users_table,
     "dedup_first": q_dedup_first,
     "catalog_distinct": q_catalog_distinct,
+    "curated_array": q_curated_array,
     "union_dedup": q_union_dedup,
     "merge_children": q_merge_children,
     "landing_stage": q_landing_stage,

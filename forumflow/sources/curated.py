@@ -8,9 +8,8 @@ existing outputs can be merged, split or analysed with the same operators.
   top-level JSON array per file; ``read_curated_array`` makes it rows.
 * ``topics.json`` - the topic map; see ``sources.landed.read_topics``.
 
-Such files are single JSON documents and cannot be split: each file is one
-task (the original files are tens of MB). Convert them once with these
-readers and keep Parquet afterwards. Nested comments stay JSON text
+Arrays are read by byte ranges (``sources.json_arrays``), so a large file
+spreads over tasks; the maps are one record per file. Nested comments stay JSON text
 (``comments``) and are flattened by ``flatten_curated_comments``; the media
 union stays JSON text (``media_content``).
 """
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, MapType, StringType,
                                StructField, StructType)
 
+from forumflow.sources.json_arrays import array_records
+
 TROPHY = StructType([StructField("title", StringType()), StructField("description", StringType()),
                      StructField("image_link", StringType())])
 AWARD = StructType([StructField("title", StringType()), StructField("image_link", StringType())])
@@ -68,6 +69,9 @@ def read_communities_map(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("topic", F.coalesce(F.col("topic"), F.col("__map_topic"))).drop("__map_topic"))
 
 
-def read_curated_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A top-level JSON array of ``kind`` (posts, users, awards, trophies)."""
-    return spark.read.schema(ARRAY_SCHEMAS[kind]).option("multiLine", "true").json(path)
+def read_curated_array(spark: SparkSession, path: str, kind: str, place: bool = False) -> DataFrame:
+    """A top-level JSON array of ``kind`` (posts, users, awards, trophies); with ``place`` also ``__file`` and
+    ``__pos``, the path and the position in it."""
+    rows = array_records(spark, path).select(F.from_json("record", ARRAY_SCHEMAS[kind]).alias("__r"),
+                                             F.col("file").alias("__file"), F.col("ord").alias("__pos"))
+    return rows.select("__r.*", "__file", "__pos") if place else rows.select("__r.*")

@@ -2,8 +2,11 @@
 
 import json
 import os
+import random
 import tempfile
 
+import pytest
+
 from forumflow.plans.build import BuildOptions, build_forum, merge_datasets, split_users
 from forumflow.sinks.writers import write_table
 
@@ -236,3 +239,47 @@ def test_merge_published_below_its_root(spark):
         assert [r.title for r in spark.read.parquet(f"{out}/posts").collect()] == ["title set1"]
         got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/comments").collect())
         assert got == [("9", "old"), ("only-set1", "old"), ("only-set2", "new")]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_arrays_by_byte_ranges(spark, tmp_path, indent):
+    """Many small byte ranges give the same elements in the same order as the whole file."""
+    from forumflow.sources.json_arrays import array_records
+    rng = random.Random(indent or 1)
+    bits = ["}", "{", "[", "]", '"', "\\", "\\\\", ",", ":", "é", "\n", "x" * 40, "null", "\U0001F600", '\\"}']
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.3:
+            return {"".join(rng.choices(bits, k=2)): value(depth - 1) for _ in range(rng.randrange(3))}
+        if depth and kind < 0.5:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return "".join(rng.choices(bits, k=rng.randrange(6))) if kind < 0.9 else rng.randrange(100)
+    want = {}
+    for n, size in enumerate((0, 1, 150)):
+        rows = [{"id": i, "v": value(4), **({"w": value(3)} if i % 3 else {})} for i in range(size)] + [{}] * (size > 1)
+        want[n] = rows
+        (tmp_path / f"{n}.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=bool(indent)), encoding="utf-8")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = {}
+        for r in array_records(spark, f"{tmp_path}/*.json").orderBy("file", "ord").collect():
+            got.setdefault(int(r.file[-6]), []).append((r.ord, json.loads(r.record)))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == {n: list(enumerate(rows)) for n, rows in want.items() if rows}
+
+
+def test_equal_maps_in_another_order_are_one_row(spark):
+    from forumflow.operators.dedup import distinct_rows
+    rows = spark.sql("""
+        SELECT 1 AS k, map('a', map('x', 1, 'y', 2), 'b', NULL) AS m, array(named_struct('n', map(1, 'p', 2, 'q'))) AS s
+        UNION ALL SELECT 1, map('b', NULL, 'a', map('y', 2, 'x', 1)), array(named_struct('n', map(2, 'q', 1, 'p')))
+        UNION ALL SELECT 1, map('b', NULL, 'a', map('y', 2, 'x', 3)), array(named_struct('n', map(2, 'q', 1, 'p')))
+        UNION ALL SELECT 1, NULL, NULL UNION ALL SELECT 1, NULL, NULL""")
+    out = distinct_rows(rows)
+    assert out.count() == 3 and out.columns == rows.columns
