@@ -6,12 +6,16 @@ and reads back as the next stage's documents.
 
 1. toxicity: documents predicted toxic go.
 2. near_duplicates: of each class of texts with a 5-word-shingle similarity of
-   0.8 or more the document with the least doc_id stays.
+   0.8 or more one row with the least doc_id stays.
 3. decontamination: documents that share a window of 10 words with a benchmark
    item go.
 4. secrets: found secrets are replaced by a mark; all documents stay.
 5. tokens: doc_id, n_tokens, ids and digests of the ids and of the bytes that
    they decode to.
+
+Toxic and contaminated rows go by their own text, whatever their id. Stages hand
+texts to Python in batches of at most ``BATCH_BYTES``, whatever the texts'
+lengths; the setting stays with the session.
 """
 
 from __future__ import annotations
@@ -21,16 +25,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from forumflow.llm import bpe, decontam, ngram_join, secret_scan, toxicity
 from forumflow.llm.common import staged, table
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +52,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return bpe.encode_decode(docs).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
