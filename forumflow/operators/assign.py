@@ -4,59 +4,105 @@ Sequential meaning: groups in ascending ``group_order`` each take their first
 ``cap`` (by ``pos``) items not taken by an earlier group. An item a group
 skipped past its cap is *not* blocked for later groups.
 
-Set form, one round:
+Set form, one round over the groups that are not settled:
   1. every group proposes its first ``cap`` still-allowed candidates
      (``row_number <= cap``: a literal limit, so Catalyst runs a partial
      ``WindowGroupLimit`` before the shuffle - a hot group ships at most
      ``cap`` rows per map partition);
   2. every proposed item keeps its earliest proposing group
      (``min(group_order) over item``);
-  3. the other proposals are rejected for good (``left_anti``).
-Stop when a round rejects nothing; the proposals are then the answer.
-
-A rejection is final: the winning group keeps proposing that item until an
-even earlier group takes it, so the item never returns to the loser.
-
-Per round only small data moves: proposals are at most ``cap`` per group,
-so the rejected pairs have a proven bound and are broadcast into a narrow
-anti-join; the large candidate table is never shuffled by it. Each round's
-proposals are checkpointed (reliable, shared folder); the candidate table
-is checkpointed every ``checkpoint_every`` rounds, so after an executor loss
-at most that many narrow anti-joins are recomputed.
+  3. the other proposals are rejected for good.
+A round that rejects nothing ends the loop. A rejection is final: the winning
+group keeps proposing that item until an even earlier group takes it, so the
+item never returns to the loser.
+
+Groups before the first one with a rejection are settled: nothing before them
+can change. They leave the state with the items they took. Where many groups
+want the same items, rejections alone would settle about one group a round, so
+a round also settles the next ``block`` groups outright: each needs at most its
+first ``block * cap`` allowed candidates, since the others of the block take
+fewer, and the sequential loop over these rows is one task with at most
+``BLOCK_ROWS`` of them. 1,001 groups with one candidate list end in 7 rounds
+with the default and a cap of 6.
+
+Settled items and rejected pairs leave the candidates by narrow anti-joins when
+their size allows a broadcast. Proposals and blocks are checkpointed (reliable,
+shared folder); the candidate table is checkpointed every ``checkpoint_every``
+rounds, so after an executor loss at most that many anti-joins are recomputed.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumflow.operators.dedup import positional_index
-from forumflow.operators.joins import BROADCAST_MAX_BYTES, broadcast_if_small, measure
+from forumflow.operators.dedup import partial_limit_max, positional_index, rank_in_groups
+from forumflow.operators.joins import broadcast_if_small
 from forumflow.session import cut_lineage
 
 
+# rows of the sequential loop over one block of groups: block * block * cap
+BLOCK_ROWS = 200_000
+
+
+def _block_loop(cap: int):
+    """The sequential loop over the candidates (group, order, item, pos) of one block of groups."""
+    def loop(rows: pa.Table) -> pa.Table:
+        order, item, pos = (rows.column(i).to_pylist() for i in (1, 2, 3))
+        taken, count, kept = set(), Counter(), []
+        for i in sorted(range(rows.num_rows), key=lambda i: (order[i], pos[i], item[i])):
+            if count[order[i]] < cap and item[i] not in taken:
+                taken.add(item[i])
+                count[order[i]] += 1
+                kept.append(i)
+        return rows.take(pa.array(kept, pa.int64()))
+    return loop
+
+
+def _without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    return df.join(broadcast_if_small(gone), on, "left_anti")
+
+
 def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos: str,
-                  cap: int, checkpoint_every: int = 8) -> DataFrame:
+                  cap: int, checkpoint_every: int = 8, block: int | None = None) -> DataFrame:
     """cands: (group, group_order, item, pos), one row per (group, item).
+    Candidates without an item are no candidates.
 
     Returns (group, group_order, item, pos) for the accepted pairs.
     """
-    cur = cut_lineage(cands.select(group, group_order, item, pos))
+    limit_max, n_cap = partial_limit_max(cands), max(cap, 1)
+    block = block or max(1, min(math.isqrt(BLOCK_ROWS // n_cap), limit_max // n_cap))
+    cur = cut_lineage(cands.where(F.col(item).isNotNull()).select(group, group_order, item, pos))
     by_group = Window.partitionBy(group).orderBy(F.col(pos), F.col(item))
-    by_item = Window.partitionBy(item)
-    for r in count(1):  # every round rejects at least one pair for good, so the loop ends
-        proposals = (cur.withColumn("__rn", F.row_number().over(by_group))
-                     .where(F.col("__rn") <= cap).drop("__rn"))
-        marked = proposals.withColumn("__best", F.min(group_order).over(by_item))
-        marked = cut_lineage(marked)
-        rejected = marked.where(F.col(group_order) > F.col("__best")).select(group, item)
-        # one aggregate: ends the loop when empty, else decides the broadcast
-        n, size = measure(rejected)
-        if n == 0:
-            return marked.drop("__best")
-        cur = cur.join(F.broadcast(rejected) if size <= BROADCAST_MAX_BYTES else rejected, [group, item], "left_anti")
+    settled: list[DataFrame] = []
+
+    def first_candidates(df: DataFrame, n: int) -> DataFrame:
+        ranked = (rank_in_groups(df, group, [pos, item], "__rn") if n > limit_max
+                  else df.withColumn("__rn", F.row_number().over(by_group)))
+        return ranked.where(F.col("__rn") <= n).drop("__rn").select(group, group_order, item, pos)
+
+    for r in count(1):  # every round settles at least one group, so the loop ends
+        marked = cut_lineage(first_candidates(cur, cap)
+                             .withColumn("__best", F.min(group_order).over(Window.partitionBy(item))))
+        rejected = marked.where(F.col(group_order) > F.col("__best"))
+        first = rejected.agg(F.min(group_order)).first()[0]
+        if first is None:
+            return reduce(DataFrame.unionByName, [*settled, marked.drop("__best")])
+        done = marked.where(F.col(group_order) < first).drop("__best")
+        last = (marked.where(F.col(group_order) >= first).select(group_order).distinct()
+                .orderBy(group_order).limit(block).agg(F.max(group_order)).first()[0])
+        cur = _without(cur.where(F.col(group_order) >= first), rejected.select(group, item), [group, item])
+        cur = _without(cur, done.select(item), [item])
+        rows = first_candidates(cur.where(F.col(group_order) <= last), block * cap)
+        solved = cut_lineage(rows.groupBy(F.lit("block")).applyInArrow(_block_loop(cap), rows.schema))
+        settled += [done, solved]
+        cur = _without(cur.where(F.col(group_order) > last), solved.select(item), [item])
         if r % checkpoint_every == 0:
             cur = cut_lineage(cur)
 

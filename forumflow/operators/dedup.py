@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from forumflow.operators.joins import broadcast_if_small
 from forumflow.session import cut_lineage
 
 _RN = "__rn"
@@ -126,3 +127,34 @@ def split_by_position(df: DataFrame, order, part_col: str = "part") -> DataFrame
     n = indexed.count()
     half = n // 2
     return indexed.withColumn(part_col, F.when(F.col("__pos") <= half, 1).otherwise(2)).drop("__pos")
+
+
+def partial_limit_max(df: DataFrame) -> int:
+    """The largest literal k for which Spark limits a window before its shuffle."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
+def rank_in_groups(df: DataFrame, groups, order, rank_col: str = "rn") -> DataFrame:
+    """1-based position of every row within its group, as ``row_number`` gives,
+    without any task holding a whole group.
+
+    Rows are range-partitioned on (groups, order), so a hot group is cut into
+    many partitions, and sorted there; a group's rows follow one another in a
+    partition. One row per (partition, group) keeps the first row number and
+    the count; there are at most partitions + groups of them, so their running
+    sum is a small window, and they are joined back by size. ``order`` should
+    be unique within a group; NULL groups are groups of their own."""
+    gs, oc = ([groups] if isinstance(groups, str) else list(groups)), _cols(order)
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(g) for g in gs], *oc).sortWithinPartitions(*gs, *oc)
+                         .withColumn("__mid", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+    starts = ranged.groupBy("__pid", *gs).agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*gs).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(F.col("__pid").alias("__p"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(gs)],
+                           (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    on = F.col("__pid") == F.col("__p")
+    for i, g in enumerate(gs):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return (ranged.join(broadcast_if_small(starts), on)
+            .withColumn(rank_col, F.col("__mid") + F.col("__shift"))
+            .drop("__mid", "__pid", "__p", "__shift", *[f"__g{i}" for i in range(len(gs))]))

@@ -251,3 +251,74 @@ def test_nested_threads_of_random_trees(spark):
     nodes = spark.createDataFrame(rows, "post int, node int, parent int, o int, body string")
     got = nest_threads(nodes, "post", "node", "parent", "o", "depth", F.lit("t1"), [F.col("body"), F.col("node").alias("n")])
     assert {r.post: json.loads(r.roots_json) for r in got.collect()} == {p: listing(p, None) for p in range(20)}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.integers(min_value=0, max_value=10**6), st.integers(min_value=1, max_value=3), st.integers(min_value=1, max_value=3))
+def test_assign_capped_in_blocks_equals_sequential(spark, seed, cap, block):
+    rnd = random.Random(seed)
+    rows = [(f"g{rnd.randint(0, 8)}", rnd.randint(0, 9), i) for i in range(rnd.randint(1, 80))]
+    df = spark.createDataFrame(rows, "g string, item int, pos long")
+    out = assign_capped(candidates_from_positions(df, "g", "item", "pos"), "g", "group_ord", "item", "pos", cap,
+                        checkpoint_every=1, block=block)
+    assert sorted((r.g, r.item) for r in out.collect()) == sorted(sequential_assign(rows, cap))
+
+
+def test_assign_capped_many_groups_one_list_in_few_rounds(spark, monkeypatch):
+    from forumflow.operators import assign
+    cuts = []
+    monkeypatch.setattr(assign, "cut_lineage", lambda df: cuts.append(1) or df.checkpoint(eager=True))
+    groups, cap = 1001, 3
+    df = (spark.range(groups).withColumnRenamed("id", "group_ord")
+          .select(F.format_string("g%04d", "group_ord").alias("g"), "group_ord",
+                  F.explode(F.sequence(F.lit(0), F.lit(59))).alias("item")).withColumn("pos", F.col("item")))
+    out = assign_capped(df, "g", "group_ord", "item", "pos", cap).collect()
+    assert sorted((r.g, r.item) for r in out) == [(f"g{i // cap:04d}", i) for i in range(60)]
+    assert len(cuts) <= 1 + 2 * 6
+
+
+def test_assign_capped_drops_candidates_without_item(spark):
+    df = spark.createDataFrame([("a", 0, None, 0), ("a", 0, "x", 1), ("b", 1, "x", 0)], "g string, o int, i string, p int")
+    assert [tuple(r) for r in assign_capped(df, "g", "o", "i", "p", 2).collect()] == [("a", 0, "x", 1)]
+    assert assign_capped(df.limit(0), "g", "o", "i", "p", 2).collect() == []
+
+
+def test_rank_in_groups_equals_row_number(spark):
+    from pyspark.sql import Window
+    from forumflow.operators.dedup import rank_in_groups
+    # one group holds a third of all rows, one group is NULL, equal order values fall back to the id
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None))
+        .otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"),
+        (F.col("id") * 7919 % 100).alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    got = rank_in_groups(df, "g", order, "rn").select("id", "rn")
+    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint").alias("rn"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert rank_in_groups(df.limit(0), "g", order, "rn").collect() == []
+
+
+def test_top_k_beyond_the_partial_limit(spark):
+    posts = spark.range(8000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit("cold")).alias("c"),
+                                     (F.col("id") * 31 % 1000).alias("ups"), F.col("id"))
+    reqs = spark.createDataFrame([("hot", 5000), ("cold", 2), ("none", 3)], "c string, k int")
+    out = top_k_per_group(posts, reqs, "c", "k", sort_order("top"))
+    rows = sorted(posts.collect(), key=lambda r: (-r.ups, r.id))
+    want = {(r.c, i + 1, r.id) for c, k in (("hot", 5000), ("cold", 2))
+            for i, r in enumerate([x for x in rows if x.c == c][:k])}
+    assert {(r.c, r.rn, r.id) for r in out.collect()} == want
+
+
+def test_child_pages_hold_whole_lists_in_order(spark):
+    from forumflow.operators.child_pages import child_pages
+    kids = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") == 1, F.lit(None))
+                                    .otherwise(F.col("id") % 20 + 2).alias("parent"), (-F.col("id")).alias("o"), "id")
+    pages = child_pages(kids, "parent", ["o"], ["id"], page_rows=10).orderBy("parent", "page").collect()
+    got = {}
+    for r in pages:
+        assert r.page == len(got.get(r.parent, [])) / 10 and 1 <= len(r["items"]) <= 10
+        got.setdefault(r.parent, []).extend(x.id for x in r["items"])
+    want = {}
+    for r in sorted(kids.where("parent IS NOT NULL").collect(), key=lambda r: r.o):
+        want.setdefault(r.parent, []).append(r.id)
+    assert got == want
