@@ -7,6 +7,8 @@ unsigned 32-bit integer are the seed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -94,19 +96,24 @@ def seeded_sample(df: DataFrame, key: str, catalog: DataFrame, item_index: str,
             .drop("__k", "__start", *[f"__p{j}" for j in range(n_slots)]))
 
 
-def user_row(id_col: str, name_col: str, enrich: bool = False, as_of: int = 1_800_000_000) -> list[Column]:
+# Defaults of the fabricated profile columns; callers may pass their own.
+AVATAR_BASE = "https://avatars.invalid/"
+DESCRIPTIONS = ("Reads more than they post.", "Here for the long threads.", "Collects small facts.", "Asks before answering.")
+
+
+def user_row(id_col: str, name_col: str, enrich: bool = False, as_of: int = 1_800_000_000,
+             avatar_base: str = AVATAR_BASE, descriptions: Sequence[str] = DESCRIPTIONS) -> list[Column]:
     """User row from id + name. Fabricated columns only when ``enrich``;
-    otherwise NULL. ``is_synthetic`` marks enriched rows."""
+    otherwise NULL. ``is_synthetic`` marks enriched rows. The banner is always
+    empty; trophies are attached by the build (X4)."""
     k = F.col(id_col)
-    if enrich:
-        cake = seeded_int(k, "cake", 1_136_073_600, 1_704_067_199)
-        key_c, primary_c = seeded_color_pair(k, "key", "primary")
-        fab = [cake.alias("cake_day_utc"), shifted_date(cake).alias("cake_day_human"),
-               age_years(cake, as_of).alias("age"), key_c.alias("keycolor"), primary_c.alias("primarycolor"),
-               seeded_color(k, "icon").alias("iconcolor")]
-    else:
-        fab = [F.lit(None).cast("bigint").alias("cake_day_utc"), F.lit(None).cast("string").alias("cake_day_human"),
-               F.lit(None).cast("string").alias("age"), F.lit(None).cast("string").alias("keycolor"),
-               F.lit(None).cast("string").alias("primarycolor"), F.lit(None).cast("string").alias("iconcolor")]
-    return [k.alias("id"), F.col(name_col).alias("name"), *fab,
+    cake = seeded_int(k, "cake", 1_136_073_600, 1_704_067_199)
+    key_c, primary_c = seeded_color_pair(k, "key", "primary")
+    fab = {"cake_day_utc": cake, "cake_day_human": shifted_date(cake), "age": age_years(cake, as_of),
+           "avatar_img": F.concat(F.lit(avatar_base), F.md5(F.concat(k.cast("string"), F.lit("avatar"))), F.lit(".png")),
+           "public_description": seeded_pick(k, "description", F.array(*[F.lit(d) for d in descriptions])),
+           "keycolor": key_c, "primarycolor": primary_c, "iconcolor": seeded_color(k, "icon")}
+    cols = [c.alias(n) if enrich else F.lit(None).cast("bigint" if n == "cake_day_utc" else "string").alias(n)
+            for n, c in fab.items()]
+    return [k.alias("id"), F.col(name_col).alias("name"), *cols, F.lit("").alias("banner_img"),
             F.lit(False).alias("over18"), F.lit(False).alias("suspended"), F.lit(enrich).alias("is_synthetic")]

@@ -215,8 +215,12 @@ def media_struct_sql(d: str, pid: str, t: str) -> str:
     entries = f"map_entries({d}.media_metadata)"
     en1, en2, en3, m, i = nm("en"), nm("en"), nm("en"), nm("m"), nm("i")
     gal_items = f"filter({entries}, {en1} -> {_ne(f'{en1}.value.p')})"
+    # every resolution has the id that it has in ``media_assets``
+    gj, gr, gi = nm("j"), nm("r"), nm("i")
+    with_ids = (f"transform({_gallery_item(f'{en2}.value', nm)}, ({gr}, {gi}) -> named_struct('id', {_sid(pid, gj, gi)}, "
+                f"'width', {gr}.width, 'height', {gr}.height, 'url', {gr}.url))")
     gallery = (f"named_struct('id', {_sid(pid, _q('gallery'))}, 'images', "
-               f"transform({gal_items}, {en2} -> {_gallery_item(f'{en2}.value', nm)}))")
+               f"transform({gal_items}, ({en2}, {gj}) -> {with_ids}))")
     multi_items = f"filter(transform({entries}, {en3} -> {_multi_item(f'{en3}.value', nm)}), {m} -> {m}._type IS NOT NULL)"
     mm = nm("m")
     multi = (f"transform({multi_items}, ({mm}, {i}) -> named_struct('id', {_sid(pid, _q('multi'), i)}, "

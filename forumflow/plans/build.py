@@ -19,11 +19,13 @@ file, ``requests`` the on-demand JSON array.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from forumflow.functions.rewrite import MERGE_REWRITE_MAP, rewrite_text
 from forumflow.functions.text import is_nonblank, strip_all
@@ -37,12 +39,14 @@ from forumflow.operators.posts import DEFAULT_POSTS_PER_COMMUNITY, not_deleted,
 from forumflow.operators.threads import flatten_threads, recount_comments
 from forumflow.operators.joins import broadcast_if_small
 from forumflow.operators.topk import sort_order, top_k_per_group
+from forumflow.sinks.versions import publish_version, read_version
 from forumflow.sinks.writers import publish_collections, staged, write_collections, write_table
 from forumflow.sources.datasets import read_datasets
 from forumflow.sources.html import extract_table_rows
 from forumflow.sources.landed import (explode_community_search, explode_moderators, explode_post_listing,
-                                      explode_rules, parse_community_about, parse_flairs, payload_text, read_landed,
-                                      read_requests, read_topics, split_article, split_envelopes, unparsed)
+                                      envelope_state, explode_rules, last_per_key, parse_community_about, parse_flairs,
+                                      payload_text, read_landed, read_requests, read_topics, rejects, split_article,
+                                      split_envelopes)
 
 # The collections of a finished dataset and how each is
 # de-duplicated when datasets are merged (by id, first wins; or whole row).
@@ -73,8 +77,9 @@ class BuildOptions:
     posts_per_community: int = DEFAULT_POSTS_PER_COMMUNITY
     sort: str = "landed"
     enrich_users: bool = False
-    as_of: int = 1_800_000_000
+    as_of: int = field(default_factory=lambda: int(time.time()))  # ages are as of this time; fix it for equal reruns
     output_format: str = "parquet"
+    versioned: bool = False  # publish as a new version of the dataset (sinks.versions)
 
     def __post_init__(self):
         for name in ("communities_per_topic", "posts_per_community"):
@@ -95,20 +100,9 @@ def stage_landed(spark: SparkSession, landing: str) -> tuple[DataFrame, DataFram
     meta = F.col("_metadata")
     place = F.struct(meta.getField("file_path").alias("file"), meta.getField("file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row"))
-    placed = staged(raw.select("*", place.alias("__place")), "landed", partition_by="endpoint")
-    ok, rejects = split_envelopes(placed)
-    bad = unparsed(ok)
-    good = ok.join(bad.select("__place"), "__place", "left_anti")
-    last = good.groupBy("endpoint", "key").agg(F.max("__place").alias("__place"), F.count(F.lit(1)).alias("__n"))
-    repeated = last.where("__n > 1").select(F.col("endpoint").alias("__endpoint"), F.col("key").alias("__key"),
-                                            F.col("__place").alias("__last"))
-    good = (good.join(repeated, F.col("endpoint").eqNullSafe(F.col("__endpoint")) & F.col("key").eqNullSafe(F.col("__key")), "left")
-            .where(F.col("__last").isNull() | (F.col("__last") == F.col("__place")))
-            .select("endpoint", "key", "payload", "result_state"))
-    rejects = rejects.unionByName(bad.select(
-        "endpoint", "key", F.coalesce("result_state.status_code", F.lit(-1)).alias("status_code"),
-        F.concat(F.lit("payload does not parse: "), F.col("payload")).alias("error")))
-    return staged(good, "envelopes", partition_by="endpoint"), rejects
+    placed = staged(raw.select("*", place.alias("place"), envelope_state(raw).alias("state")), "landed", partition_by="endpoint")
+    good = last_per_key(placed.where("state = 'ok'").select("endpoint", "key", "payload", "result_state", "place")).drop("place")
+    return staged(good, "envelopes", partition_by="endpoint"), rejects(placed)
 
 
 def _ok(env: DataFrame, endpoint: str) -> DataFrame:
@@ -221,7 +215,7 @@ def build_forum(spark: SparkSession, landing: str, topics_path: str, requests_pa
                 opts: BuildOptions | None = None) -> dict[str, DataFrame]:
     opts = opts or BuildOptions()
     # the landing is read once: one row per (endpoint, key), partitioned by endpoint
-    env, rejects = stage_landed(spark, landing)
+    env, failed = stage_landed(spark, landing)
     topics = read_topics(spark, topics_path)
     requests = read_requests(spark, requests_path)
     c = build_communities(spark, env, topics, requests, opts)
@@ -232,20 +226,27 @@ def build_forum(spark: SparkSession, landing: str, topics_path: str, requests_pa
     p["posts"] = attach_sample(p["posts"], "id", cat["awards"], "awards", "title", salt="awards")
     if opts.enrich_users:
         p["users"] = attach_sample(p["users"], "id", cat["trophies"], "trophies", "title", salt="trophies")
+    else:
+        item = StructType(cat["trophies"].schema.fields)
+        p["users"] = p["users"].withColumn("trophies", F.array().cast(ArrayType(item)))
     tables = {**{k: v for k, v in c.items() if k != "moderators"}, **p, **cat, "topics": topics}
-    tables["rejects"] = rejects
+    tables["rejects"] = failed
     if out:
-        write_collections(tables, out, opts.output_format)
+        if opts.versioned:
+            publish_version(tables, out, opts.output_format)
+        else:
+            write_collections(tables, out, opts.output_format)
     return tables
 
 
 def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERGE_REWRITE_MAP,
-                   fmt: str = "parquet") -> dict[str, DataFrame]:
+                   fmt: str = "parquet", versioned: bool = False) -> dict[str, DataFrame]:
     """Entry 3: union every dataset of a kind below ``root``; entities with an
     id keep the first row per non-blank id (file, then row order), and their
     children come from the dataset of that row; catalogs keep distinct rows;
     then the ordered text rewrite. ``out`` may be below ``root``: everything
-    is staged before it is published."""
+    is staged before it is published. With ``versioned`` the result is a new
+    version of the dataset ``out``, seen whole or not at all."""
     merged = {}
     winners: dict[str, DataFrame] = {}
     for kind in KINDS_BY_ID + KINDS_WHOLE_ROW:
@@ -268,6 +269,8 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
             rows = distinct_rows(rows.drop("from_set", "src_file", "src_row"))
         paths = [p for p in MERGE_PATHS.get(kind, []) if p.split(".")[0].removesuffix("[]") in rows.columns]
         merged[kind] = rewrite_text(rows, paths, mapping) if paths else rows
+    if out and versioned:
+        return read_version(spark, out, publish_version(merged, out, fmt))
     return publish_collections(merged, out, fmt) if out else merged
 
 

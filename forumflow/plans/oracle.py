@@ -422,4 +422,42 @@ s AS (SELECT c_custkey AS key, least(""" + _seed("c_custkey", "k") + """ % 4, n.
 slots AS (SELECT s.key, t.j, (s.st + t.j) % s.n AS idx FROM s JOIN (SELECT range AS j FROM range(0, 3)) t ON t.j < s.k)
 SELECT s.key, coalesce(string_agg(cat.r_name, '|' ORDER BY slots.j), '') AS picks
 FROM s LEFT JOIN slots ON s.key = slots.key LEFT JOIN cat ON cat.idx = slots.idx GROUP BY s.key""",
+
+    "top_deep": """
+SELECT l_returnflag, rn, l_extendedprice, l_orderkey, l_partkey FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag
+         ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn <= 5000""",
+
+    "child_pages": """
+WITH r AS (SELECT o_orderstatus, o_orderkey,
+                  (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 500 AS page FROM orders)
+SELECT o_orderstatus, CAST(page AS BIGINT) AS page, count(*) AS n,
+       md5(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS keys_md5
+FROM r WHERE o_orderstatus IS NOT NULL GROUP BY ALL""",
+
+    "topic_map_file": """
+WITH t AS (SELECT 'Café ' || p_partkey AS category, [p_name, p_type] AS topics FROM part)
+SELECT category, CAST(unnest([0, 1]) AS BIGINT) AS ord, unnest(topics) AS topic FROM t""",
+
+    "gallery_ids": duck_cte("v_assets") + """,
+g AS (SELECT * FROM v_assets WHERE post_id % 4 = 3),
+kept AS (SELECT post_id, height, width, url, row_number() OVER (PARTITION BY post_id ORDER BY height, ord) - 1 AS res_ord
+         FROM g WHERE ord > 0 AND url <> ''),
+n AS (SELECT post_id, count(*) AS n FROM kept GROUP BY post_id),
+a AS (SELECT * FROM kept UNION ALL
+      SELECT g.post_id, g.height, g.width, g.url, coalesce(n.n, 0) FROM g LEFT JOIN n ON g.post_id = n.post_id
+      WHERE g.ord = 0 AND g.url <> '' AND EXISTS (SELECT 1 FROM g h WHERE h.post_id = g.post_id AND h.ord > 0))
+SELECT post_id, CAST(0 AS BIGINT) AS item_ord, CAST(res_ord AS BIGINT) AS res_ord,
+       md5(concat_ws('|', CAST(post_id AS VARCHAR), '0', CAST(res_ord AS VARCHAR))) AS id, height, width, url FROM a""",
+
+    "user_columns": """
+WITH u AS (SELECT c_custkey AS id, c_name AS name, """ + _seed("c_custkey", "description") + """ % 4 + 1 AS p,
+             """ + _seed("c_custkey", "trophies-k") + """ % 4 AS k, """ + _seed("c_custkey", "trophies") + """ AS st FROM customer),
+n AS (SELECT count(*) AS n FROM region),
+cat AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS idx FROM region),
+s AS (SELECT u.id, t.j, (u.st + t.j) % n.n AS idx FROM u JOIN (SELECT range AS j FROM range(0, 3)) t ON t.j < u.k JOIN n ON true),
+picks AS (SELECT s.id, string_agg(cat.r_name, '|' ORDER BY s.j) AS trophies FROM s JOIN cat ON cat.idx = s.idx GROUP BY s.id)
+SELECT u.id, u.name, 'https://a.test/' || md5(CAST(u.id AS VARCHAR) || 'avatar') || '.png' AS avatar_img, '' AS banner_img,
+  (['alpha', 'beta', 'gamma', 'delta'])[p] AS public_description, coalesce(picks.trophies, '') AS trophies
+FROM u LEFT JOIN picks ON picks.id = u.id""",
 }

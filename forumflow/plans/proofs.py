@@ -18,6 +18,7 @@ from forumflow.functions.rewrite import rewrite_text
 from forumflow.functions.text import age_years, epoch_seconds, human_count, human_date, shifted_date, strip_all
 from forumflow.functions.urls import MEDIA_REDIRECT_MARKER, clean_url
 from forumflow.operators.assign import assign_capped, candidates_from_positions
+from forumflow.operators.child_pages import child_pages
 from forumflow.operators.communities import community_columns, eligible, flair_rows, group_by_key
 from forumflow.operators.dedup import distinct_rows, keep_first, keep_last, positional_index, split_by_position
 from forumflow.operators.enrich import seeded_color, seeded_color_pair, seeded_int, seeded_pick, seeded_sample, \
@@ -31,12 +32,12 @@ from forumflow.operators.threads import flatten_threads, nest_threads, prune_thr
 from forumflow.operators.topk import sort_order, top_k_per_group
 from forumflow.plans.adapters import adapter, table
 from forumflow.session import pin_utc, staging_path
-from forumflow.sinks.writers import write_table
+from forumflow.sinks.writers import write_table, write_topic_map
 from forumflow.sources.curated import read_curated_array
 from forumflow.sources.datasets import read_datasets
 from forumflow.sources.html import extract_pairs, extract_sections, extract_table_rows
 from forumflow.sources.landed import (explode_moderators, explode_post_listing, explode_topic_map,
-                                      parse_community_about, parse_flairs, parse_once, read_landed,
+                                      parse_community_about, parse_flairs, parse_once, read_landed, read_topic_lines,
                                       split_article, status_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,6 +241,34 @@ def q_top_posts(spark: SparkSession, d: str) -> DataFrame:
         F.col("community_key").alias("community"), F.col("id").alias("post_id"), _bigint("rn").alias("rn"))
 
 
+def q_top_deep(spark: SparkSession, d: str) -> DataFrame:
+    """The first 5,000 rows of each group, more than Spark limits before a shuffle."""
+    li = _t(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    reqs = li.select("l_returnflag").distinct().withColumn("k", F.lit(5000))
+    order = [F.col("l_extendedprice").desc(), *[F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]]
+    return top_k_per_group(li, reqs, "l_returnflag", "k", order).select(
+        "l_returnflag", "rn", "l_extendedprice", "l_orderkey", "l_partkey")
+
+
+def q_child_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of each status in pages of 500, in key order."""
+    pages = child_pages(_t(spark, d, "orders"), "o_orderstatus", ["o_orderkey"], ["o_orderkey"], page_rows=500)
+    keys = F.transform("items", lambda x: x.getField("o_orderkey").cast("string"))
+    return pages.select("o_orderstatus", "page", _bigint(F.size("items")).alias("n"), F.md5(F.array_join(keys, ",")).alias("keys_md5"))
+
+
+def q_topic_map_file(spark: SparkSession, d: str) -> DataFrame:
+    """The topic map written from extracted sections, read back as topics."""
+    part = _t(spark, d, "part")
+    key = F.col("p_partkey").cast("string")
+    html = F.concat(F.lit('<i>before</i><nav title="'), F.lit("Caf&eacute; "), key, F.lit('"><li>'), "p_name", F.lit("</li><li>"), "p_type", F.lit("</li>"))
+    sections = extract_sections(part.select("p_partkey", html.alias("html")), "p_partkey", "html", r'<nav title="([^"]*)"',
+                                r"<li>([^<]*)</li>", item_group=1)
+    path = staging_path(spark, "topic-map")
+    write_topic_map(sections, path)
+    return read_topic_lines(spark, path).select("category", "ord", "topic")
+
+
 # --------------------------------------------------------------------------
 # threads
 # --------------------------------------------------------------------------
@@ -394,6 +423,15 @@ def q_media_multi(spark: SparkSession, d: str) -> DataFrame:
         "post_id", _bigint(F.size(tags)).alias("n_tags"), _bigint(F.size("media.multi")).alias("n_items"))
 
 
+def q_gallery_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Gallery resolutions with their ids, sizes and urls, as nested in the media column."""
+    parsed = parse_once(_asset_payloads(spark, d), "payload", POST_DETAIL, "__detail")
+    out = classify_media(parsed, "__detail", "post_id").where("media_type = 'gallery'")
+    images = out.select("post_id", F.posexplode("media.gallery.images").alias("item_ord", "image"))
+    return images.select("post_id", _bigint("item_ord").alias("item_ord"), F.posexplode("image").alias("res_ord", "r")).select(
+        "post_id", "item_ord", _bigint("res_ord").alias("res_ord"), "r.id", "r.height", "r.width", "r.url")
+
+
 # --------------------------------------------------------------------------
 # members and users
 # --------------------------------------------------------------------------
@@ -433,7 +471,19 @@ def q_users_table(spark: SparkSession, d: str) -> DataFrame:
     u = users_table(mods, mems, "community")
     u = u.withColumn("uname", F.concat(F.lit("user"), F.col("user_id").cast("string")))
     cols = user_row("user_id", "uname", enrich=True, as_of=AS_OF)
-    return u.select("source", "community", *cols).withColumnRenamed("id", "user_id")
+    # the profile columns have a query of their own (user_columns)
+    return u.select("source", "community", *cols).withColumnRenamed("id", "user_id").drop("avatar_img", "banner_img", "public_description")
+
+
+def q_user_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Avatar, banner, description and trophies of enriched users."""
+    cus, reg = _t(spark, d, "customer"), _t(spark, d, "region")
+    users = cus.select(F.col("c_custkey").alias("uid"), "c_name").select(
+        *user_row("uid", "c_name", enrich=True, as_of=AS_OF, avatar_base="https://a.test/", descriptions=PICK_LIST))
+    catalog = positional_index(reg.select(F.col("r_name").alias("title")), "title", "item_index")
+    out = seeded_sample(users, "id", catalog, "item_index", seeded_int(F.col("id"), "trophies-k", 0, 3), "trophies", out_col="trophies")
+    return out.select("id", "name", "avatar_img", "banner_img", "public_description",
+                      F.array_join(F.transform("trophies", lambda t: t.getField("title")), "|").alias("trophies"))
 
 
 # --------------------------------------------------------------------------
@@ -669,12 +719,15 @@ QUERIES: dict[str, Query] = {
     "community_filter": q_community_filter,
     "capped_assign": q_capped_assign,
     "child_attach": q_child_attach,
+    "child_pages": q_child_pages,
     "richtext_union": q_richtext_union,
     "moderator_last_wins": q_moderator_last_wins,
     "envelope_split": q_envelope_split,
     "post_row": q_post_row,
     "text_fallback": q_text_fallback,
     "top_posts": q_top_posts,
+    "top_deep": q_top_deep,
+    "topic_map_file": q_topic_map_file,
     "thread_prune": q_thread_prune,
     "thread_flatten": q_thread_flatten,
     "thread_nest": q_thread_nest,
@@ -682,9 +735,11 @@ QUERIES: dict[str, Query] = {
     "media_type": q_media_type,
     "media_sort": q_media_sort,
     "media_multi": q_media_multi,
+    "gallery_ids": q_gallery_ids,
     "member_set": q_member_set,
     "members_join": q_members_join,
     "users_table": q_users_table,
+    "user_columns": q_user_columns,
     "dedup_first": q_dedup_first,
     "catalog_distinct": q_catalog_distinct,
     "curated_array": q_curated_array,

@@ -4,6 +4,7 @@
   dataset (one directory per topic, sorted within partitions).
 * ``write_table`` - arrays of entities (posts, users, awards, trophies) as
   Parquet or JSON lines; JSON keeps NULL fields like the original output.
+* ``write_topic_map`` - an extracted topic map, one heading per line.
 * ``write_collections`` - one dataset directory per collection.
 * ``stage_then_publish`` - K6: never read and overwrite one path in one
   plan; write to a new staged path and, given a target, publish it there.
@@ -13,6 +14,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from forumflow.session import staging_path
@@ -39,6 +41,14 @@ def write_by_topic(df: DataFrame, path: str, topic_col: str = "topic", order_col
     w.format(fmt).save(path)
 
 
+def write_topic_map(sections: DataFrame, path: str, section: str = "section", items: str = "items") -> None:
+    """K8: an extracted topic map, one object ``{heading: [topic, ...]}`` per line, so it is written and read in parts
+    (``sources.landed.read_topic_lines``). Rows without a heading are left out; no items are an empty list."""
+    kept = sections.where(F.col(section).isNotNull())
+    line = F.to_json(F.create_map(F.col(section), F.coalesce(F.col(items), F.array().cast("array<string>"))))
+    kept.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_collections(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
     """K7 re-aimed: each collection is its own dataset directory (overwrite)."""
     for name, df in tables.items():

@@ -4,7 +4,8 @@
 whose name contains the kind, case-insensitively, is read in one scan (a
 Hadoop glob with per-letter character classes; no driver listing loop). The
 first-wins order is the file path, then the row position inside the file
-(``_metadata.row_index``), both carried as columns.
+(``_metadata.row_index``), both carried as columns. A dataset published in
+versions (``sinks.versions``) gives its last complete one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumflow.sinks.versions import current_folders, glob_paths
+
 
 def _ci_glob(word: str) -> str:
     out = []
@@ -33,7 +36,12 @@ def read_datasets(spark: SparkSession, root: str, kind: str, fmt: str = "parquet
     For other formats the position is (start of the file split, row id):
     a split's rows are read in order by one task, so the pair orders rows
     within a file without a global numbering."""
-    path = f"{root.rstrip('/')}/*/*{_ci_glob(kind)}*"
+    name = f"*{_ci_glob(kind)}*"
+    path = [f"{root.rstrip('/')}/*/{name}"]
+    versioned = [f"{folder}/{name}" for folder in current_folders(spark, f"{root.rstrip('/')}/*")]
+    versioned = [p for p in versioned if glob_paths(spark, p)]
+    if versioned:
+        path = [p for p in path if glob_paths(spark, p)] + versioned
     # datasets may differ in columns: the union of all of them, absent ones NULL
     reader = spark.read.format(fmt)
     df = (reader.option("mergeSchema", "true") if fmt == "parquet" else reader).load(path)
@@ -45,6 +53,6 @@ def read_datasets(spark: SparkSession, root: str, kind: str, fmt: str = "parquet
         pos = F.struct(meta.getField("file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("row"))
     return df.select(*cols,
-                     F.regexp_extract(meta.getField("file_path"), r"/([^/]+)/[^/]+/[^/]+$", 1).alias("from_set"),
+                     F.regexp_extract(meta.getField("file_path"), r"/([^/]+)(?:/version-\d+)?/[^/]+/[^/]+$", 1).alias("from_set"),
                      meta.getField("file_path").alias("src_file"),
                      pos.alias("src_row"))

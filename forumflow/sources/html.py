@@ -105,7 +105,7 @@ def extract_table_rows(df: DataFrame, id_col: str, html_col: str, scheme: str |
                        two_line: bool = False) -> DataFrame:
     """Table rows whose first image has an address.
 
-    * awards (``two_line=False``): title = text of the first ``<p>`` as is, empty without one;
+    * awards (``two_line=False``): title = text of the first ``<p>`` as is; a row without one is no award;
     * trophies (``two_line=True``): the row text with leading and trailing
       newlines stripped (C13), split on newlines; title = line 0,
       description = line 1 if there is one (even if empty), else line 0
@@ -120,7 +120,8 @@ def extract_table_rows(df: DataFrame, id_col: str, html_col: str, scheme: str |
         title = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
         desc = F.coalesce(F.get(lines, F.lit(1)), title)
     else:
-        title = F.coalesce("first_p", F.lit(""))
+        rows = rows.where(F.col("first_p").isNotNull())
+        title = F.col("first_p")
         desc = F.lit(None).cast("string")
     return (rows.select(id_col, "ord", title.alias("title"), desc.alias("description"), link.alias("image_link"))
             .sortWithinPartitions(id_col, "ord"))

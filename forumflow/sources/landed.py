@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType,
                                StringType, StructField, StructType)
 
+from forumflow.operators.joins import broadcast_if_small
 from forumflow.operators.media import POST_DETAIL
+from forumflow.session import cut_lineage
 
 RESULT_STATE = StructType([
     StructField("status_code", IntegerType()), StructField("success", BooleanType()),
@@ -103,9 +105,10 @@ def split_envelopes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, rejects
 
 
-def unparsed(ok: DataFrame, payload: str = "payload") -> DataFrame:
-    """Rows of ``ok`` whose payload is no JSON of its endpoint's form, so that
-    it would give no rows; other endpoints' payloads (pages) are left alone."""
+def envelope_state(df: DataFrame, payload: str = "payload") -> Column:
+    """Per response: ``none`` without a payload, ``bad`` where the payload is no
+    JSON of its endpoint's form, so that it would give no rows, else ``ok``.
+    Other endpoints' payloads (pages) are always ``ok``."""
     p, e = F.col(payload), F.col("endpoint")
     form = lambda *paths: F.coalesce(*[F.get_json_object(p, x) for x in paths])
     need = {"community_about": form("$.data"), "community_search": form("$.data.children"), "rules": form("$.rules"),
@@ -114,7 +117,30 @@ def unparsed(ok: DataFrame, payload: str = "payload") -> DataFrame:
     bad = F.lit(False)
     for endpoint, found in need.items():
         bad = F.when(e == endpoint, found.isNull()).otherwise(bad)
-    return ok.where(bad)
+    return F.when(~envelope_ok(df), "none").when(bad, "bad").otherwise("ok")
+
+
+def rejects(df: DataFrame, state: str = "state") -> DataFrame:
+    """The responses of ``df`` that are not ``ok``: key, status code and error text; a line that is no envelope and a
+    payload that does not parse keep their text as the error."""
+    error = F.col("result_state.error")
+    if "_corrupt_record" in df.columns:
+        error = F.coalesce(error, F.col("_corrupt_record"))
+    error = F.when(F.col(state) == "bad", F.concat(F.lit("payload does not parse: "), F.col("payload"))).otherwise(error)
+    return df.where(F.col(state) != "ok").select(
+        "endpoint", "key", F.coalesce("result_state.status_code", F.lit(-1)).alias("status_code"), error.alias("error"))
+
+
+def last_per_key(ok: DataFrame, place: str = "place") -> DataFrame:
+    """Of several rows for one (endpoint, key), NULL keys included, the one with the greatest ``place``.
+
+    Only keys and places are grouped; the payloads stay where they are and
+    meet the (few) repeated keys, broadcast behind a check of their size."""
+    last = ok.groupBy("endpoint", "key").agg(F.max(place).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    repeated = cut_lineage(last.where("__n > 1").select(F.col("endpoint").alias("__endpoint"), F.col("key").alias("__key"), "__last"))
+    same = F.col("endpoint").eqNullSafe(F.col("__endpoint")) & F.col("key").eqNullSafe(F.col("__key"))
+    return (ok.join(broadcast_if_small(repeated), same, "left")
+            .where(F.col("__last").isNull() | (F.col("__last") == F.col(place))).drop("__endpoint", "__key", "__last"))
 
 
 def payload_text(payload: str = "payload") -> Column:
@@ -147,6 +173,11 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     return explode_topic_map(spark.read.text(path, wholetext=True), "value")
 
 
+def read_topic_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S1 on what ``sinks.writers.write_topic_map`` wrote: one object ``{heading: [topic, ...]}`` per line."""
+    return explode_topic_map(spark.read.text(path), "value")
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """On-demand request list (a top-level JSON array becomes rows).
     ``ord`` is the list order: a multi-line JSON file is one partition, read
