@@ -90,8 +90,9 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
     for r in count(1):  # every round settles at least one group, so the loop ends
         marked = cut_lineage(first_candidates(cur, cap)
                              .withColumn("__best", F.min(group_order).over(Window.partitionBy(item))))
-        rejected = marked.where(F.col(group_order) > F.col("__best"))
-        first = rejected.agg(F.min(group_order)).first()[0]
+        lost = F.col(group_order) > F.col("__best")
+        rejected = marked.where(lost)
+        first, end = marked.agg(F.min(F.when(lost, F.col(group_order))), F.max(group_order)).first()
         if first is None:
             return reduce(DataFrame.unionByName, [*settled, marked.drop("__best")])
         done = marked.where(F.col(group_order) < first).drop("__best")
@@ -102,6 +103,8 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
         rows = first_candidates(cur.where(F.col(group_order) <= last), block * cap)
         solved = cut_lineage(rows.groupBy(F.lit("block")).applyInArrow(_block_loop(cap), rows.schema))
         settled += [done, solved]
+        if last == end:  # the block held all groups that were left
+            return reduce(DataFrame.unionByName, settled)
         cur = _without(cur.where(F.col(group_order) > last), solved.select(item), [item])
         if r % checkpoint_every == 0:
             cur = cut_lineage(cur)
