@@ -460,4 +460,23 @@ picks AS (SELECT s.id, string_agg(cat.r_name, '|' ORDER BY s.j) AS trophies FROM
 SELECT u.id, u.name, 'https://a.test/' || md5(CAST(u.id AS VARCHAR) || 'avatar') || '.png' AS avatar_img, '' AS banner_img,
   (['alpha', 'beta', 'gamma', 'delta'])[p] AS public_description, coalesce(picks.trophies, '') AS trophies
 FROM u LEFT JOIN picks ON picks.id = u.id""",
+
+    "community_search": """
+WITH r AS (SELECT n_name, s.*, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS pos
+           FROM supplier s JOIN nation ON s_nationkey = n_nationkey)
+SELECT n_name AS topic, pos, CAST(s_suppkey AS VARCHAR) AS id, 'r/' || s_name AS title,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || s_name ELSE '' END AS public_description, CAST(s_suppkey AS BIGINT) AS subscribers
+FROM r WHERE s_suppkey % 5 <> 0""",
+
+    "request_files": """
+SELECT s_name AS title, CASE WHEN s_suppkey % 3 <> 0 THEN 't' END AS topic, CAST(s_suppkey % 7 AS INTEGER) AS posts_count
+FROM supplier""",
+
+    "topic_folders": """
+SELECT n_name AS topic, s_name AS title, true AS in_order FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+
+    "rule_rows": """
+SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ord, p_name AS short_name,
+  replace(""" + _rewrite("p_type || ' the ' || p_name", TEXT_MAP) + """, '&amp;', '&') AS description
+FROM part""",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -32,13 +32,13 @@ from forumflow.operators.threads import flatten_threads, nest_threads, prune_thr
 from forumflow.operators.topk import sort_order, top_k_per_group
 from forumflow.plans.adapters import adapter, table
 from forumflow.session import pin_utc, staging_path
-from forumflow.sinks.writers import write_table, write_topic_map
+from forumflow.sinks.writers import write_by_topic, write_table, write_topic_map
 from forumflow.sources.curated import read_curated_array
 from forumflow.sources.datasets import read_datasets
 from forumflow.sources.html import extract_pairs, extract_sections, extract_table_rows
-from forumflow.sources.landed import (explode_moderators, explode_post_listing, explode_topic_map,
-                                      parse_community_about, parse_flairs, parse_once, read_landed, read_topic_lines,
-                                      split_article, status_counts)
+from forumflow.sources.landed import (explode_community_search, explode_moderators, explode_post_listing, explode_rules,
+                                      explode_topic_map, parse_community_about, parse_flairs, parse_once, read_landed,
+                                      read_requests, read_topic_lines, split_article, status_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -166,6 +166,53 @@ def q_richtext_union(spark: SparkSession, d: str) -> DataFrame:
                 F.col("p.url").alias("url"), F.col("full_text"))
 
 
+def q_community_search(spark: SparkSession, d: str) -> DataFrame:
+    """Search responses, one per nation with its suppliers in key order; every fifth child has no detail."""
+    sup, nat = _t(spark, d, "supplier"), _t(spark, d, "nation")
+    detail = F.when(F.col("s_suppkey") % 5 != 0, F.struct(
+        F.concat(F.lit("t5_"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("public").alias("subreddit_type"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("about "), "s_name")).alias("public_description"),
+        F.col("s_suppkey").cast("bigint").alias("subscribers")))
+    child = F.struct("s_suppkey", F.struct(F.concat(F.lit("r/"), "s_name").alias("subreddit_name_prefixed"), detail.alias("sr_detail")).alias("data"))
+    packed = (sup.join(nat, sup.s_nationkey == nat.n_nationkey).groupBy("n_name")
+              .agg(F.array_sort(F.collect_list(child)).alias("children")))
+    landed = packed.select(F.col("n_name").alias("key"), F.to_json(F.struct(F.struct(
+        F.transform("children", lambda c: F.struct(c.getField("data").alias("data"))).alias("children")).alias("data"))).alias("payload"))
+    found = explode_community_search(landed).where(F.col("__detail").isNotNull())
+    return found.select(_bigint("pos").alias("pos"), *community_columns(F.col("__detail"), title=F.col("__title"), topic=F.col("key"))).select(
+        "topic", "pos", "id", "title", "public_description", "subscribers")
+
+
+def q_rule_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rules responses, one per brand with its parts in key order, descriptions rewritten."""
+    rule = F.struct("p_partkey", F.struct(F.col("p_name").alias("short_name"), F.concat("p_type", F.lit(" the "), "p_name").alias("description")).alias("r"))
+    packed = _t(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    landed = packed.select("p_brand", F.to_json(F.struct(F.transform("rules", lambda x: x.getField("r")).alias("rules"))).alias("payload"))
+    rows = explode_rules(landed).select("p_brand", _bigint("ord").alias("ord"), "short_name", "description")
+    return rewrite_text(rows, ["description"], TEXT_MAP)
+
+
+def q_request_files(spark: SparkSession, d: str) -> DataFrame:
+    """On-demand request lists, one JSON file per nation, read back as rows."""
+    sup = _t(spark, d, "supplier")
+    req = F.struct(F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 3 != 0, F.lit("t")).alias("topic"),
+                   (F.col("s_suppkey") % 7).cast("int").alias("posts_count"))
+    path = staging_path(spark, "requests")
+    (sup.groupBy("s_nationkey").agg(F.to_json(F.collect_list(req)).alias("value"))
+     .repartition(F.col("s_nationkey")).write.partitionBy("s_nationkey").option("maxRecordsPerFile", 1).text(path))
+    return read_requests(spark, f"{path}/*").select("title", "topic", "posts_count")
+
+
+def q_topic_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Communities written by topic and read back; ``in_order`` is whether each file holds its titles ascending (K1, O2)."""
+    sup, nat = _t(spark, d, "supplier"), _t(spark, d, "nation")
+    path = staging_path(spark, "by-topic")
+    write_by_topic(sup.join(nat, sup.s_nationkey == nat.n_nationkey).select(F.col("n_name").alias("topic"), F.col("s_name").alias("title")), path)
+    rows = spark.read.parquet(path).select("topic", "title", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i"))
+    before = F.lag("title").over(Window.partitionBy("file").orderBy("i"))
+    return rows.select(F.col("topic").cast("string").alias("topic"), "title", F.coalesce(before <= F.col("title"), F.lit(True)).alias("in_order"))
+
+
 def q_moderator_last_wins(spark: SparkSession, d: str) -> DataFrame:
     ev = _t(spark, d, "events")
     child = F.struct(F.concat(F.lit("t2_"), F.col("user_id").cast("string")).alias("id"),
@@ -721,6 +768,10 @@ QUERIES: dict[str, Query] = {
     "child_attach": q_child_attach,
     "child_pages": q_child_pages,
     "richtext_union": q_richtext_union,
+    "community_search": q_community_search,
+    "rule_rows": q_rule_rows,
+    "request_files": q_request_files,
+    "topic_folders": q_topic_folders,
     "moderator_last_wins": q_moderator_last_wins,
     "envelope_split": q_envelope_split,
     "post_row": q_post_row,
