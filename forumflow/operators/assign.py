@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumflow.operators.dedup import partial_limit_max, positional_index, rank_in_groups
-from forumflow.operators.joins import broadcast_if_small
+from forumflow.operators.joins import BROADCAST_MAX_BYTES, broadcast_if_small, row_bytes
 from forumflow.session import cut_lineage
 
 
@@ -65,10 +65,6 @@ def _block_loop(cap: int):
     return loop
 
 
-def _without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(broadcast_if_small(gone), on, "left_anti")
-
-
 def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos: str,
                   cap: int, checkpoint_every: int = 8, block: int | None = None) -> DataFrame:
     """cands: (group, group_order, item, pos), one row per (group, item).
@@ -92,20 +88,23 @@ def assign_capped(cands: DataFrame, group: str, group_order: str, item: str, pos
                              .withColumn("__best", F.min(group_order).over(Window.partitionBy(item))))
         lost = F.col(group_order) > F.col("__best")
         rejected = marked.where(lost)
-        first, end = marked.agg(F.min(F.when(lost, F.col(group_order))), F.max(group_order)).first()
+        first, end, size = marked.agg(F.min(F.when(lost, F.col(group_order))), F.max(group_order),
+                                      F.sum(row_bytes(marked))).first()
         if first is None:
             return reduce(DataFrame.unionByName, [*settled, marked.drop("__best")])
         done = marked.where(F.col(group_order) < first).drop("__best")
         last = (marked.where(F.col(group_order) >= first).select(group_order).distinct()
                 .orderBy(group_order).limit(block).agg(F.max(group_order)).first()[0])
-        cur = _without(cur.where(F.col(group_order) >= first), rejected.select(group, item), [group, item])
-        cur = _without(cur, done.select(item), [item])
+        sized = F.broadcast if size <= BROADCAST_MAX_BYTES else lambda df: df
+        cur = (cur.where(F.col(group_order) >= first)
+               .join(sized(rejected.select(group, item)), [group, item], "left_anti")
+               .join(sized(done.select(item)), [item], "left_anti"))
         rows = first_candidates(cur.where(F.col(group_order) <= last), block * cap)
         solved = cut_lineage(rows.groupBy(F.lit("block")).applyInArrow(_block_loop(cap), rows.schema))
         settled += [done, solved]
         if last == end:  # the block held all groups that were left
             return reduce(DataFrame.unionByName, settled)
-        cur = _without(cur.where(F.col(group_order) > last), solved.select(item), [item])
+        cur = cur.where(F.col(group_order) > last).join(broadcast_if_small(solved.select(item)), [item], "left_anti")
         if r % checkpoint_every == 0:
             cur = cut_lineage(cur)
 
