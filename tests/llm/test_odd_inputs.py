@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import tempfile
 
 import numpy as np
@@ -109,6 +110,20 @@ def test_weights_are_copies():
     assert np.abs(once.scores(rows) - many.scores(rows)).max() < 1e-6
 
 
+def test_pair_screening_is_bounded_in_memory():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(2500, 60, replace=False)).astype(np.int32) for _ in range(5000)]
+    y = (rng.random(len(rows)) < 0.2).astype(float)
+    every, sizes = np.concatenate(rows), [len(r) for r in rows]
+    seen, toxic = np.bincount(every, minlength=2500), np.bincount(every, np.repeat(y, sizes), 2500)
+    tracemalloc.start()
+    found = toxicity.paired(rows, y, seen, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert found.tolist() == toxicity.paired(rows, y, seen, toxic, 2048).tolist()
+
+
 def test_gradient_against_finite_differences():
     rows, y, weight = odd_sample()
     rng = np.random.default_rng(0)
