@@ -1,8 +1,9 @@
-"""Join helpers: broadcast only behind a size check, pre-aggregated child
-attachment (J3)."""
+"""Join helpers: broadcast only behind a size check, partitions by measured
+size, pre-aggregated child attachment (J3)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 # bytes of values; a dimension side above this is joined with a shuffle instead
 BROADCAST_MAX_BYTES = 64 << 20
+# bytes of values in a partition of ``dealt``; sorts and hash tables over it take a few times as much
+PART_BYTES = 32 << 20
 # bytes that a row and each of its fields take beside the text
 ROW_BYTES, FIELD_BYTES = 16, 8
 
@@ -44,6 +47,20 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> D
     return F.broadcast(df) if measure(df)[1] <= max_bytes else df
 
 
+def parts_for(size: int, part_bytes: int = PART_BYTES) -> int:
+    return max(1, math.ceil(size / part_bytes))
+
+
+def dealt(df: DataFrame, *keys: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``df`` hashed by ``keys`` into partitions of about ``part_bytes`` of values, whatever its size; as it is if that
+    is one.
+
+    Adaptive execution merges the partitions of its own shuffles by their compressed bytes, so a task's sorts and hash
+    tables grow with the input up to many times that; a number given here stays."""
+    n = parts_for(measure(df)[1], part_bytes)
+    return df.repartition(n, *[F.col(k) for k in keys]) if n > 1 else df
+
+
 def attach_children(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
                     order: Sequence[str], fields: Sequence[str], out_col: str) -> DataFrame:
     """Per-parent array of child structs in ``order``, ``[]`` when none.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from forumflow.operators.assign import assign_capped, candidates_from_positions
 from forumflow.operators.dedup import keep_first, keep_last, positional_index, split_by_position
+from forumflow.operators.joins import dealt
 from forumflow.operators.members import join_members, users_table
 from forumflow.operators.posts import request_plan
 from forumflow.operators.topk import sort_order, top_k_per_group
@@ -322,3 +323,18 @@ def test_child_pages_hold_whole_lists_in_order(spark):
     for r in sorted(kids.where("parent IS NOT NULL").collect(), key=lambda r: r.o):
         want.setdefault(r.parent, []).append(r.id)
     assert got == want
+
+
+# -- partitions by size -------------------------------------------------------
+
+def sizes(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+
+
+def test_partitions_grow_with_the_rows(spark):
+    df = spark.range(4000).select("id", F.lit("x" * 68).alias("text"))       # 100 bytes a row
+    assert dealt(df, "id").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    for rows, parts in ((1000, 10), (4000, 40)):
+        got = dealt(df.where(F.col("id") < rows), "id", part_bytes=10_000)
+        assert got.rdd.getNumPartitions() == parts
+        assert sum(r["count"] for r in sizes(got)) == rows and max(r["count"] for r in sizes(got)) < 200
