@@ -632,7 +632,8 @@ def q_html_rows(spark: SparkSession, d: str) -> DataFrame:
 def q_html_table(spark: SparkSession, d: str) -> DataFrame:
     """Award rows (title as is) and trophy rows (title and description by line) of packed pages: upper-case tags, single
     quotes and none, end tags left out, tables inside tables."""
-    part = _t(spark, d, "part")
+    # dealt while they are narrow: a file is one task, whose pages take many times its bytes
+    part = dealt(_t(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
     key = F.col("p_partkey").cast("string")
     inner = F.when(F.col("p_partkey") % 5 == 0, F.lit("<table><tr><td><img src=//i.test/in.png>y<p>inner &#8217;</table>")).otherwise(F.lit(""))
     award = F.concat(F.lit("<TABLE><TR><TD>no image</TD></TR><TR CLASS=r><TD><IMG ALT='a>b' SRC='//i.test/"), key, F.lit(".png'></TD><TD><P>"),

@@ -5,7 +5,8 @@ Anchors and sections are ``regexp_extract_all`` / ``split`` / ``posexplode``
 over a page. Table rows come from a tag tokenizer: a page becomes one row per
 tag with the text behind it, and window sums over the tags keep the stack of
 open tables, rows and paragraphs. All of it stays in the JVM; a page with very
-many tags is sorted and spilled, never held as one list.
+many tags is sorted and spilled, never held as one list. Pages are dealt before
+they become tags, into partitions by the bytes that their tags will take.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from forumflow.functions.entities import decode_entities, decode_entity_arrays
 from forumflow.functions.text import strip_all, strip_newlines
 from forumflow.operators.dedup import keep_last
+from forumflow.operators.joins import PART_BYTES, parts_for
+
+# bytes that the row of a tag takes beside its text
+TAG_BYTES = 128
 
 ANCHOR_RE = r'<a href="([^"]*)">([^<]*)</a>'
 # A tag, a comment or an element whose content is no markup; '>' in quoted
@@ -43,11 +48,21 @@ def extract_pairs(df: DataFrame, id_col: str, html_col: str, pattern: str = ANCH
                     F.col("__m.a").alias(names[0]), F.col("__m.b").alias(names[1])))
 
 
-def page_tags(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def tag_bytes(df: DataFrame, html_col: str) -> int:
+    """About the bytes of all tags' rows: the pages' text, and a fixed part per '<'."""
+    html = F.col(html_col)
+    size = F.octet_length(html) + TAG_BYTES * F.regexp_count(html, F.lit("<"))
+    return df.agg(F.sum(size.cast("bigint")).alias("size")).first()["size"] or 0
+
+
+def page_tags(df: DataFrame, id_col: str, html_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, __page, pos, name, closes, src, text): a page's tags in order from 1, and the decoded text behind each.
 
     Names are lower case; comments and script-like elements have none."""
     pages = df.select(F.col(id_col), F.col(html_col).alias("__html"), F.monotonically_increasing_id().alias("__page"))
+    n = parts_for(tag_bytes(pages, "__html"), part_bytes)
+    if n > 1:
+        pages = pages.repartition(n, "__page")
     tags = F.regexp_extract_all("__html", F.lit(TAG_RE), 0)
     texts = F.split("__html", TAG_RE, -1)
     rows = pages.select(id_col, "__page", F.posexplode(F.arrays_zip(
@@ -61,7 +76,7 @@ def page_tags(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return out.withColumn("src", decode_entities("src")).withColumn("text", decode_entities("text"))
 
 
-def table_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def table_rows(df: DataFrame, id_col: str, html_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, ord, level, src, text, first_p): every row of every table, ``ord`` from 0 by its place in the page.
 
     ``level`` is the number of tables around the row, ``src`` the address of the
@@ -71,7 +86,7 @@ def table_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     end tag, at the next row, section or end of its table, or with the page; an
     end tag without a table is none.
     """
-    tags = page_tags(df, id_col, html_col)
+    tags = page_tags(df, id_col, html_col, part_bytes)
     up = Window.partitionBy("__page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("name") == "table", F.when(F.col("closes"), -1).otherwise(1)).otherwise(0)
     tags = tags.withColumn("__sum", F.sum(step).over(up))

@@ -287,6 +287,15 @@ def test_table_rows_against_a_parser(spark):
     assert got == want
 
 
+def test_pages_are_dealt_by_the_size_of_their_tags(spark):
+    page = "<table><tr><td><img src=a.png><p>x</p></table>"            # 6 or 7 tags of 128 bytes and more
+    df = spark.createDataFrame([(i, page) for i in range(600)] + [(None, None)], "id int, html string")
+    rows = table_rows(df, "id", "html", part_bytes=20_000)
+    assert rows.rdd.getNumPartitions() > 20
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(tuple(r) for r in table_rows(df, "id", "html").collect())
+    assert rows.count() == 600
+
+
 def test_inner_rows_come_once_per_table_around_them(spark):
     page = "<TABLE><TR><TD><IMG SRC='o.png'><P>out</P><table><tr><td><img src=i.png><p>in</table></TD></TR></TABLE>"
     df = spark.createDataFrame([(1, page), (1, page)], "id int, html string")
