@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from forumflow.operators.joins import broadcast_if_small
+from forumflow.operators.joins import PART_BYTES, broadcast_if_small, measure, parts_for
 from forumflow.session import cut_lineage
 
 _RN = "__rn"
@@ -48,6 +48,19 @@ def keep_first(df: DataFrame, keys, order, descending: bool = False) -> DataFram
     return df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1).drop(_RN)
 
 
+def keep_first_by_size(df: DataFrame, keys: Sequence[str], order: Sequence[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """``keep_first`` whose tasks sort about ``part_bytes`` of values each, whatever the input's files and size.
+
+    Rows are dealt evenly and the first of each key in a deal is kept, so a hot key leaves a row per deal; these rows
+    are then dealt by key. Small inputs go the plain way."""
+    n = parts_for(measure(df)[1], part_bytes)
+    if n == 1:
+        return keep_first(df, keys, order)
+    deals = df.withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(16 * n))).repartition(n, "__deal")
+    once = keep_first(deals, ["__deal", *keys], order).drop("__deal")
+    return keep_first(once.repartition(n, *keys), keys, order)
+
+
 def keep_last(df: DataFrame, keys, order) -> DataFrame:
     """A later row overwrites an earlier one with the same key."""
     return keep_first(df, keys, order, descending=True)

@@ -31,13 +31,13 @@ from forumflow.functions.rewrite import MERGE_REWRITE_MAP, rewrite_text
 from forumflow.functions.text import is_nonblank, strip_all
 from forumflow.operators.assign import assign_capped
 from forumflow.operators.communities import community_columns, eligible, flair_rows
-from forumflow.operators.dedup import distinct_rows, keep_first, positional_index, split_by_position
+from forumflow.operators.dedup import distinct_rows, keep_first, keep_first_by_size, positional_index, split_by_position
 from forumflow.operators.enrich import seeded_int, seeded_sample, user_row
 from forumflow.operators.media import classify_media, media_assets, source_flags
 from forumflow.operators.members import join_members, member_refs, users_table
 from forumflow.operators.posts import DEFAULT_POSTS_PER_COMMUNITY, not_deleted, post_columns, request_plan
 from forumflow.operators.threads import flatten_threads, recount_comments
-from forumflow.operators.joins import broadcast_if_small
+from forumflow.operators.joins import broadcast_if_small, dealt
 from forumflow.operators.topk import sort_order, top_k_per_group
 from forumflow.sinks.versions import publish_version, read_version
 from forumflow.sinks.writers import publish_collections, staged, write_collections, write_table
@@ -257,14 +257,14 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
                 raise
             continue  # no dataset holds this kind
         if kind in KINDS_BY_ID:
-            rows = keep_first(rows.where(is_nonblank("id")), ["id"], ["src_file", "src_row"])
+            rows = keep_first_by_size(rows.where(is_nonblank("id")), ["id"], ["src_file", "src_row"])
             winners[kind] = rows.select(F.col("id").alias("__id"), F.col("from_set").alias("__set"))
             rows = rows.drop("from_set", "src_file", "src_row")
         else:
             key, parent = CHILDREN.get(kind, (None, None))
             if parent in winners and key in rows.columns:
                 # rows of an entity that another dataset gave are not part of it
-                rows = (rows.join(winners[parent], F.col(key) == F.col("__id"), "left")
+                rows = (dealt(rows.drop("src_file", "src_row"), key).join(winners[parent], F.col(key) == F.col("__id"), "left")
                         .where(F.col("__set").isNull() | (F.col("__set") == F.col("from_set"))).drop("__id", "__set"))
             rows = distinct_rows(rows.drop("from_set", "src_file", "src_row"))
         paths = [p for p in MERGE_PATHS.get(kind, []) if p.split(".")[0].removesuffix("[]") in rows.columns]

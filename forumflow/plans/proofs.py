@@ -584,7 +584,7 @@ def q_merge_children(spark: SparkSession, d: str) -> DataFrame:
     """Two datasets that share a third of their posts, with different comments on them."""
     from forumflow.plans.build import merge_datasets
     root = staging_path(spark, "merge")
-    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    lines = dealt(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
     orders = _t(spark, d, "orders").select("o_orderkey")
     for name, left_out in (("a", 0), ("b", 1)):
         posts = orders.where(F.col("o_orderkey") % 3 != left_out)

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from forumflow.operators.assign import assign_capped, candidates_from_positions
-from forumflow.operators.dedup import keep_first, keep_last, positional_index, split_by_position
+from forumflow.operators.dedup import keep_first, keep_first_by_size, keep_last, positional_index, split_by_position
 from forumflow.operators.joins import dealt
 from forumflow.operators.members import join_members, users_table
 from forumflow.operators.posts import request_plan
@@ -338,3 +338,14 @@ def test_partitions_grow_with_the_rows(spark):
         got = dealt(df.where(F.col("id") < rows), "id", part_bytes=10_000)
         assert got.rdd.getNumPartitions() == parts
         assert sum(r["count"] for r in sizes(got)) == rows and max(r["count"] for r in sizes(got)) < 200
+
+
+def test_first_by_size_is_the_first(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.4 else rng.choice(["", None, *map(str, range(900))]), rng.choice("ab"), n, n % 7) for n in range(3000)]
+    df = spark.createDataFrame(rows, "id string, src_file string, src_row long, v int")
+    args = ["id"], ["src_file", "src_row"]
+    got = keep_first_by_size(df, *args, part_bytes=8_000)
+    assert got.columns == df.columns
+    assert got.rdd.getNumPartitions() >= 20
+    assert sorted(map(str, got.collect())) == sorted(map(str, keep_first(df, *args).collect()))
