@@ -264,7 +264,11 @@ def merge_datasets(spark: SparkSession, root: str, out: str | None, mapping=MERG
             key, parent = CHILDREN.get(kind, (None, None))
             if parent in winners and key in rows.columns:
                 # rows of an entity that another dataset gave are not part of it
-                rows = (dealt(rows.drop("src_file", "src_row"), key).join(winners[parent], F.col(key) == F.col("__id"), "left")
+                whole = rows.drop("src_file", "src_row")
+                rows, first = dealt(whole, key), winners[parent]
+                if rows is not whole:   # else it may be broadcast by its files' compressed size, whole to every task
+                    first = first.hint("merge")
+                rows = (rows.join(first, F.col(key) == F.col("__id"), "left")
                         .where(F.col("__set").isNull() | (F.col("__set") == F.col("from_set"))).drop("__id", "__set"))
             rows = distinct_rows(rows.drop("from_set", "src_file", "src_row"))
         paths = [p for p in MERGE_PATHS.get(kind, []) if p.split(".")[0].removesuffix("[]") in rows.columns]
