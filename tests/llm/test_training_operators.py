@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,102 @@ def test_coordinate_regions_keep_all_that_reach_the_bound():
         assert set(np.flatnonzero(s >= bound)) <= set(kept)
 
 
+def joins_of_repeated_rows(df):
+    """Names of the joins in the plan that have an explode below one of their sides."""
+    found = []
+
+    def walk(node):
+        below = any([walk(node.children().apply(i)) for i in range(node.children().size())])
+        name = node.nodeName()
+        if "Join" in name and below:
+            found.append(name)
+        return below or name == "Generate"
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if plan.nodeName().startswith("Adaptive") else plan)
+    return found
+
+
+def test_top_k_repeated_packs_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes a repeated table by its files, so a broadcast of it may be any size."""
+    plans, write = [], topk.staged
+    monkeypatch.setattr(topk, "staged", lambda df, name: (plans.append(df), write(df, name))[1])
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(100)], "vec_id bigint, embedding array<float>")
+    v = topk.integer_vectors(df)
+    plans.append(topk.top_k(v, v.where("vec_id % 20 = 0"), block_rows=16))
+    joins = [j for df in plans for j in joins_of_repeated_rows(df)]
+    assert len(joins) >= 2 and not [j for j in joins if j.startswith("Broadcast")]
+
+
+def test_top_k_gives_the_batch_size_back(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    assert top(spark, [(0, [1.0], 1, "b", 2), (1, [2.0], 1, "b", 2)]) == [(0, 1, 1, 64 * 128)]
+    assert spark.conf.get(name) == before
+
+
+def as_block(ids, m, width):
+    order = np.lexsort((ids, -(m.astype(float) ** 2).sum(1)))
+    return topk._Block(m.shape[1], ids[order].tobytes(), topk._narrow(m[order]).tobytes(), width)
+
+
+@pytest.mark.parametrize("scale, kind", [(20, np.float32), (40_000, np.float64), (2_000_000_000, np.int64)])
+@pytest.mark.parametrize("coordinate_from", [0.0, 0.6, 2.0])
+def test_search_of_blocks_is_exact(scale, kind, coordinate_from):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(5, 12))
+    m = np.floor(scale * (base[rng.integers(0, 5, 600)] + rng.normal(size=(600, 12)) * rng.choice([0, 0.01, 1], (600, 1)))).astype(np.int64)
+    m[:3], ids = 0, rng.permutation(5000)[:600]
+    q = as_block(ids[:40], m[:40, :10], 12)                                      # shorter by two components
+    best = topk._Best(q, np.full(40, -np.inf), 7)
+    for a in range(0, 600, 100):
+        p = as_block(ids[a:a + 100], m[a:a + 100], 12)
+        best.search(p, 100, 16, coordinate_from)
+    assert topk._exact_type(p, q) is kind
+    got = best.hits(3)
+    assert set(got.column("qb").to_pylist()) == {3}
+    want = []
+    for j in range(40):
+        s = sorted((-int(m[j, :10] @ m[r, :10]), int(ids[r])) for r in range(600) if r != j)[:7]
+        want += [(int(ids[j]), i, -x) for x, i in s]
+    assert sorted(zip(*(got.column(c).to_pylist() for c in ("query_id", "vec_id", "score")))) == sorted(want)
+
+
+def test_search_of_equal_vectors_keeps_the_least_ids():
+    m = np.full((4000, 4), 3, np.int64)
+    q = as_block(np.arange(5), m[:5], 4)
+    for bounds, coordinate_from in ((-np.inf, 0.6), (36.0, 0.6), (36.0, 2.0)):
+        best = topk._Best(q, np.full(5, bounds), 20)
+        best.search(as_block(np.arange(4000), m, 4), 4000, 256, coordinate_from)
+        assert best.size <= 4 * 20 * 5 or coordinate_from < 1
+        got = best.hits(0)
+        assert sorted(zip(got.column("query_id").to_pylist(), got.column("vec_id").to_pylist())) == [
+            (j, i) for j in range(5) for i in [x for x in range(21) if x != j][:20]]
+
+
+def test_blocks_are_bounded_by_their_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ELEMENTS", 40)
+    lens = [8] * 9 + [0, 100, 1, 60] + [8] * 3 + [0] * 20
+    ids, vecs = pa.array(range(len(lens)), pa.int64()), pa.array([[i] * n for i, n in enumerate(lens)], pa.list_(pa.int64()))
+    rows = pa.RecordBatch.from_arrays([ids, vecs], ["vec_id", "vec"])
+    monkeypatch.setattr(topk, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    for cut in (1, 5, len(lens)):
+        blocks = [b.to_pylist()[0] for b in topk._packer(6)([rows.slice(a, cut) for a in range(0, len(lens), cut)])]
+        assert all(b["bucket"] == 3 and (b["n"] == 1 or b["n"] * b["dim"] <= 40 and b["n"] <= 6) for b in blocks)
+        got = [(int(i), v.tolist()) for b in blocks for x in [topk._Block(b["dim"], b["ids"], b["vecs"], b["dim"])] for i, v in zip(x.ids, x.vecs)]
+        assert [i for i, _ in got] == list(range(len(lens)))
+        assert all(v[:n] == [i] * n and not any(v[n:]) for (i, v), n in zip(got, lens))
+        assert [b["n"] for b in blocks] == [5, 5, 1, 1, 1, 5, 6, 6, 6] or cut < len(lens)
+
+
+def test_narrow_holds_every_value():
+    for x in (127, -128, 128, 32767, 32768, 2 ** 31, -2 ** 63, 2 ** 63 - 1):
+        m = topk._narrow(np.array([[x, 0]], np.int64))
+        assert m.tolist() == [[x, 0]]
+        assert topk._Block(2, np.zeros(1, np.int64).tobytes(), m.tobytes(), 3).vecs.tolist() == [[x, 0, 0]]
+
+
 # -- 3 ------------------------------------------------------------------------
 
 def test_token_counts_follow_edits(docs, odd, empty):
